@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import packing, token_counts
+from wayfold.llm import language, packing, token_counts, toxicity
 from wayfold.llm.common import read
 
 
@@ -18,8 +18,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_best_fit_packing)
+    f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op6_language_id, op9_toxicity)
 }
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {}
