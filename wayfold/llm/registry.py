@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import language, packing, token_counts, toxicity
+from wayfold.llm import jaccard, language, packing, token_counts, toxicity
 from wayfold.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op6_language_id, op9_toxicity)
+    f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_best_fit_packing, op6_language_id, op9_toxicity)
 }
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {}
