@@ -34,8 +34,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_best_fit_packing, op4_suffix_dedup, op6_language_id, op9_toxicity)
+    f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_best_fit_packing, op4_suffix_dedup, op6_language_id, op9_toxicity, pipeline)
 }
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {}
