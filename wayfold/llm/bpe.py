@@ -69,7 +69,7 @@ def encoder() -> RunEncoder:
 
 
 class BoundedCache(dict):
-    """run -> value; holds ``most`` entries, then starts again from ``frequent``."""
+    """key -> value, but for very long texts; holds ``most`` entries, then starts again from ``frequent``."""
 
     def __init__(self, make, most: int, frequent: dict | None = None):
         super().__init__(frequent or {})
@@ -80,7 +80,7 @@ class BoundedCache(dict):
             self.clear()
             self.update(self.frequent)
         value = self.make(run)
-        if len(run) < 200:
+        if not isinstance(run, str) or len(run) < 200:
             self[run] = value
         return value
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import jaccard, language, packing, suffix_dedup, token_counts, toxicity, vector_search, warc
+from wayfold.llm import jaccard, language, packing, pieces, suffix_dedup, token_counts, toxicity, vector_search, warc
 from wayfold.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_and_decode(read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_best_fit_packing, op4_suffix_dedup, op6_language_id, op7_exact_top_k, op8_warc, op9_toxicity, pipeline)
+    f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_best_fit_packing, op4_suffix_dedup, op5_sentencepiece, op6_language_id, op7_exact_top_k, op8_warc, op9_toxicity, pipeline)
 }
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {
