@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import jaccard, language, packing, pieces, suffix_dedup, token_counts, toxicity, vector_search, warc
+from wayfold.llm import audio, jaccard, language, packing, pieces, suffix_dedup, token_counts, toxicity, vector_search, warc
 from wayfold.llm.common import read
 
 
@@ -47,6 +47,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.aligned(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -54,7 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_best_fit_packing, op4_suffix_dedup, op5_sentencepiece, op6_language_id, op7_exact_top_k, op8_warc, op9_toxicity, pipeline)
+    f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_best_fit_packing, op4_suffix_dedup, op5_sentencepiece, op6_language_id, op7_exact_top_k, op8_warc, op9_toxicity, op10_audio_fingerprints, pipeline)
 }
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {
