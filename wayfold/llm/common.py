@@ -32,10 +32,16 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/wayfold-{tag}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def stash(df: DataFrame, tag: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Where the number of ``rows`` is known, tasks take about ``each`` of them, so that a small table isn't written
+    as one tiny file per shuffle partition.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // each)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,6 +51,13 @@ def crc_bucket(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
+def slices(batches, rows: int = 1000):
+    """The same rows in smaller batches, so that their Python copies stay small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def planes(values: np.ndarray) -> bytes:
     """Byte planes of sorted integers: the leading planes then compress to almost nothing."""
     return values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()

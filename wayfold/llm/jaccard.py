@@ -85,7 +85,8 @@ def _by_class(owner: np.ndarray, shingle: np.ndarray, lists: np.ndarray, class_i
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
     ends = np.append(first, len(owner))
     entry = np.empty(len(owner), np.dtype([("h", "<u8"), ("f", "<u2")]))
-    entry["h"], entry["f"] = shingle, np.minimum(lists, 65535)
+    # lists count up to HEAVY only: beyond it some texts know their block's share alone, and the order must be one for all
+    entry["h"], entry["f"] = shingle, np.minimum(lists, HEAVY)
     data = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * 10).astype(np.int32)), pa.py_buffer(entry.tobytes())])
     who = owner[first]
     return [pa.array(class_ids[who]), pa.array(sizes[who].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), data]
@@ -206,22 +207,26 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _sets(percent: int):
-    """Task function: (cls, n, [data]) -> (cls, n, shared, prefix): the shared shingles sorted, and those whose lists are merged."""
+    """Task function: (cls, n, [data]) -> (cls, n, own, shared, prefix).
+
+    ``own`` counts the shingles of no other text; ``shared`` has the others, sorted, ``prefix`` those whose lists are merged.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, prefix = [], []
+            own, shared, prefix = [], [], []
             for n, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 e = np.frombuffer(b"".join(parts), np.dtype([("h", "<u8"), ("f", "<u2")]))
                 h, first = np.unique(e["h"], return_index=True)
                 f = np.zeros(len(h), np.int64)
                 np.maximum.at(f, np.searchsorted(h, e["h"]), e["f"])
+                own.append(n - len(h))
                 shared.append(h.tobytes())
                 short = max(0, len(h) - _needed(n, percent) + 1)  # all but the T - 1 longest lists
                 prefix.append(h[np.lexsort((h, f))[:short]].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["cls", "n", "shared", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["cls", "n", "own", "shared", "prefix"],
             )
 
     return sets
@@ -247,29 +252,33 @@ def _probe(percent: int):
 def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     """(v, c): the component of every class that links with another, or None if none does."""
     spark = sets.sparkSession
-    lists = sets.select("cls", "n", F.explode("prefix").alias("h"), F.col("cls").alias("comp"))
+    n = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    lists = sets.select("cls", "n", "own", F.posexplode("prefix").alias("at", "h"), F.col("cls").alias("comp"))
     edges = labels = None
     number, pivots_each = 0, 1
     while True:
         mixed = lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-        lists = stash(lists.join(mixed, "h", "left_semi"), "lists")
+        lists = stash(lists.join(mixed, "h", "left_semi"), "lists", n)
         if not lists.limit(1).count():
             return labels
         slot = F.pmod(F.xxhash64("cls", F.lit(number)), F.lit(pivots_each))
-        pivots = lists.groupBy("h", slot.alias("slot")).agg(F.min(F.struct("cls", "n", "comp")).alias("p")).select("h", "p.*")
-        other = pivots.select("h", *(F.col(k).alias(f"p_{k}") for k in ("cls", "n", "comp")))
-        fits = (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.col("comp") != F.col("p_comp"))
-        tried = stash(lists.join(other, "h").where(fits).select(F.col("cls").alias("a"), F.col("p_cls").alias("b")).distinct(), "tried")
+        # the text with the fewest shingles of its own is the likeliest to be what others were copied from
+        pivots = lists.groupBy("h", slot.alias("slot")).agg(F.min(F.struct("own", "cls", "n", "at", "comp")).alias("p")).select("h", "p.*")
+        other = pivots.select("h", *(F.col(k).alias(f"p_{k}") for k in ("own", "cls", "n", "at", "comp")))
+        # if this is the first shingle they share, they share no more than either has from here on; that bounds the sizes' ratio, too
+        most = F.least(F.col("n") - F.col("own") - F.col("at"), F.col("p_n") - F.col("p_own") - F.col("p_at"))
+        fits = ((100 + percent) * most >= percent * (F.col("n") + F.col("p_n"))) & (F.col("comp") != F.col("p_comp"))
+        tried = stash(lists.join(other, "h").where(fits).select(F.col("cls").alias("a"), F.col("p_cls").alias("b")).distinct(), "tried", n)
         side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("shared").alias(f"s{k}"))
         met = tried.join(side("b"), "b").join(side("a"), "a")
-        found = stash(met.mapInArrow(_probe(percent), "a long, b long"), "found")
+        found = stash(met.mapInArrow(_probe(percent), "a long, b long"), "found", tried.count(), 2000)
         done = lists.join(pivots.select("h", "cls"), ["h", "cls"], "left_anti")
         if found.limit(1).count():
-            edges = found if edges is None else stash(edges.unionByName(found), "found")
+            edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)
             done = done.drop("comp").join(labels.select(F.col("v").alias("cls"), F.col("c").alias("to")), "cls", "left")
-            done = done.select("cls", "n", "h", F.coalesce("to", "cls").alias("comp"))
-        lists, number, pivots_each = done, number + 1, 4 * pivots_each
+            done = done.select("cls", "n", "own", "at", "h", F.coalesce("to", "cls").alias("comp"))
+        lists, number, pivots_each = done, number + 1, 8 * pivots_each
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -290,7 +299,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members, shared = merged.where("kind = 0").select("id", "cls", "n"), merged.where("kind = 2")
     dense = shared.groupBy("cls").agg(F.sum("k").alias("s"), F.max("n").alias("n")).where(f"100 * s >= {percent} * n")
     gathered = shared.join(dense.select("cls"), "cls").groupBy("cls").agg(F.max("n").alias("n"), F.collect_list("data").alias("data"))
-    sets = stash(gathered.mapInArrow(_sets(percent), "cls long, n int, shared binary, prefix array<long>"), "sets")
+    sets = stash(gathered.mapInArrow(_sets(percent), "cls long, n int, own int, shared binary, prefix array<long>"), "sets")
     labels = _links(sets, percent)
     ids = members.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"))
     if labels is not None:
