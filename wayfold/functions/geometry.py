@@ -92,6 +92,16 @@ def pose(t: Column, q: Column) -> Column:
     return F.struct(t["x"].alias("tx"), t["y"].alias("ty"), t["z"].alias("tz"), *[q[k].alias(k) for k in ("qx", "qy", "qz", "qw")])
 
 
+def literal_pose(x: float, y: float, z: float, roll: float = 0.0, pitch: float = 0.0, yaw: float = 0.0) -> Column:
+    """A pose known when the plan is made: plain numbers in the plan, nothing to compute for each row."""
+    q = np.array([0.0, 0.0, 0.0, 1.0])
+    for axis, angle in ((2, yaw), (1, pitch), (0, roll)):
+        turn = np.zeros(3)
+        turn[axis] = angle
+        q = np_multiply(q, np_exp(turn))
+    return F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("tx", "ty", "tz", "qx", "qy", "qz", "qw"), (x, y, z, *q), strict=True)])
+
+
 def _t(p: Column) -> Column:
     return vector(p["tx"], p["ty"], p["tz"])
 

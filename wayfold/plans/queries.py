@@ -121,10 +121,8 @@ def pinhole_backproject(spark, d):
 
 @query(f"""WITH {PLANAR} SELECT event_id, round(1.5 + cos(0.3::DOUBLE) * x - sin(0.3::DOUBLE) * y, 6) AS x, round(-0.5 + sin(0.3::DOUBLE) * x + cos(0.3::DOUBLE) * y, 6) AS y, round(z + 0.2, 6) AS z FROM p""")
 def rigid_transform(spark, d):
-    p = planar(spark, d).withColumn("a", geo.pose(geo.vector(1.5, -0.5, 0.2), geo.quaternion(0.0, 0.0, 0.0, 1.0)))
-    p = p.withColumn("b", geo.pose(geo.vector(0.0, 0.0, 0.0), geo.from_rpy(F.lit(0.0), F.lit(0.0), F.lit(0.3))))
-    p = p.withColumn("pose", geo.compose(F.col("a"), F.col("b"))).withColumn("v", geo.vector(F.col("x"), F.col("y"), F.col("z")))
-    p = p.withColumn("q", geo.transform_point(F.col("pose"), F.col("v")))
+    pose = geo.literal_pose(1.5, -0.5, 0.2, yaw=0.3)
+    p = planar(spark, d).withColumn("q", geo.transform_point(pose, geo.vector(F.col("x"), F.col("y"), F.col("z"))))
     return p.select("event_id", r6("q.x", "x"), r6("q.y", "y"), r6("q.z", "z"))
 
 
