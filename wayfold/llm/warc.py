@@ -197,7 +197,7 @@ def read_archives(spark, path: str) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "target", "date", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         for batch in batches:
-            for content in batch.column(0).to_pylist():
+            for content in filter(None, batch.column(0).to_pylist()):
                 rows = [[] for _ in names]
                 for headers, block in parse_warc(zlib.decompress(content, wbits=47)):
                     if headers["warc-type"] not in ("response", "revisit"):
