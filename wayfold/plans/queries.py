@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as geo
 from wayfold.functions.time import format_stamp, parse_stamp
-from wayfold.operators import folds, spatial, stats, temporal, voxel
+from wayfold.operators import folds, registration, spatial, stats, temporal, voxel
 from wayfold.operators.rig import flattened
 from wayfold.plans.tables import LOG, PLANAR, beams, log, planar, read
 
@@ -488,3 +488,24 @@ def synthetic_trajectory(spark, d):
     w = 2 * math.pi / 10
     t = F.col("id") / 200.0
     return spark.range(4001).select(F.col("id").alias("stamp"), r5z(1.5 * (1 - F.cos(w * t)), "px"), r5z(1.5 * w**2 * F.cos(w * t), "ax"))
+
+
+@query()
+def scan_odometry(spark, d):
+    """Scans of one label as a run; the ranges are those of a random scene, so most scans coast."""
+    s = read(spark, d, "embeddings").select(F.col("label").alias("run_id"), (F.col("vec_id") * 100_000_000).alias("stamp_ns"), F.col("vec_id").alias("seq"), F.transform("embedding", lambda r: 5 + 2 * r.cast("double")).alias("ranges"))
+    s = s.withColumns({"angle_min": F.lit(-2.35), "angle_increment": F.lit(0.075), "range_min": F.lit(0.05), "range_max": F.lit(25.0)})
+    return folds.folded(s, registration.ScanOdometry, "run_id", ["stamp_ns", "seq"])
+
+
+@query()
+def pose_graph(spark, d):
+    """One chain of anchors per region, with a loop edge from the first to the last."""
+    n = read(spark, d, "nation").select(F.col("n_regionkey").alias("run_id"), F.col("n_nationkey").alias("id"))
+    n = n.withColumn("node", (F.row_number().over(Window.partitionBy("run_id").orderBy("id")) - 1).cast("int"))
+    anchors = n.select("run_id", "node", (F.col("node") * 10.0).alias("x"), (F.col("node") * 0.1).alias("y"), F.lit(0.0).alias("theta"))
+    last = n.groupBy("run_id").agg(F.max("node").alias("to"))
+    edge = lambda df, a, b, dx, dy, t, m: df.select("run_id", a.alias("from"), b.alias("to"), dx.alias("dx"), F.lit(dy).alias("dy"), F.lit(0.0).alias("dtheta"), F.lit(t).alias("sigma_turn"), F.lit(m).alias("sigma_move"))
+    hops = edge(n.where("node > 0"), F.col("node") - 1, F.col("node"), F.lit(10.0), 0.1, 0.05, 0.2)
+    loops = edge(last, F.lit(0), F.col("to"), F.col("to") * 10.0, 0.0, 0.01, 0.05)
+    return registration.optimised(anchors, hops.unionByName(loops), "run_id").withColumns({c: F.round(c, 6) for c in ("x", "y", "theta")})
