@@ -28,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from wayfold.llm.common import planes, stash, unplanes
+from wayfold.llm.common import planes, slices, stash, unplanes
 
 WINDOW, KEY = 50, 20
-#: Texts are scanned this many bytes at a time.
-FLAT = 1 << 22
-_PIECE = 1 << 20
+#: Texts are scanned this many bytes at a time; so many entries are sorted and sent on together.
+FLAT = 1 << 20
+_PIECE = 1 << 18
+SENT = 600_000
 #: Bytes of text whose anchors share a bucket; bytes of text that the splitters are taken from.
-BUCKET_BYTES, LEAST_BUCKETS, SAMPLED_BYTES, SAMPLED_KEYS = 16 << 20, 64, 32 << 20, 20_000
+BUCKET_BYTES, LEAST_BUCKETS, SAMPLED_BYTES, SAMPLED_KEYS = 10 << 20, 64, 32 << 20, 20_000
 _FIVE_BYTES = np.uint64((1 << 40) - 1)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
@@ -223,12 +224,16 @@ def _gathered(table: pa.Table, *kinds) -> tuple[list[np.ndarray], np.ndarray, np
             a.append(f)
         ids.append(i[who])
         tids.append(t[who])
-    ids, tids = np.concatenate(ids), np.concatenate(tids)
+    return [np.concatenate(a) for a in arrays], *_documents(np.concatenate(ids), np.concatenate(tids))
+
+
+def _documents(ids: np.ndarray, tids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The document of each entry as a number, and the documents' ids, ascending, with tids."""
     order = np.lexsort((tids, ids))
     new = np.append(True, (np.diff(ids[order]) != 0) | (np.diff(tids[order]) != 0))
     doc = np.empty(len(ids), np.int64)
     doc[order] = np.cumsum(new) - 1
-    return [np.concatenate(a) for a in arrays], doc, ids[order][new], tids[order][new]
+    return doc, ids[order][new], tids[order][new]
 
 
 def _groups(n: int, *sorted_keys: np.ndarray) -> np.ndarray:
@@ -247,25 +252,31 @@ def _anchors(splitters: tuple[np.ndarray, np.ndarray]):
         inside = [a + np.searchsorted(rest[a:b], r, "left") for a, b, r in zip(lo, hi, splitters[1], strict=True)]
         return np.concatenate([[0], np.array(inside, np.int64), [len(lead)]])
 
+    def send(home: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        lead, rest, whole, number, own, tid = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = multikey_order(lead, rest, whole, own)
+        lead, rest, whole, number, own, tid = (a[order] for a in (lead, rest, whole, number, own, tid))
+        start = _groups(len(order), lead, rest, whole)
+        gone = own > np.repeat(own[start], np.diff(np.append(start, len(order))))
+        doc, ids, tids = _documents(own, tid)
+        if gone.any():
+            yield _sent(home, _by_doc(GONE, doc[gone], number[gone], ids, tids))
+        stay = ~gone
+        lead, rest, whole, number, doc = (a[stay] for a in (lead, rest, whole, number, doc))
+        yield from _entries(cuts(lead, rest), [lead, rest, whole, number], doc, ids, tids)
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        task, sent, parts, size = TaskContext.get().partitionId(), 0, [], 0
+        for batch in slices(batches):
             ids, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for s in stretches([t.encode() for t in batch.column(2).to_pylist()]):
-                number += 1
-                lead, rest, whole = s.leading(), s.rest(), s.whole()
-                own = ids[s.doc]
-                order = multikey_order(lead, rest, whole, own)
-                lead, rest, whole, own = lead[order], rest[order], whole[order], own[order]
-                start = _groups(len(order), lead, rest, whole)
-                least = np.repeat(own[start], np.diff(np.append(start, len(order))))
-                gone = own > least
-                if gone.any():
-                    home = xxhash.xxh32_intdigest(f"{task}-{number}") % (len(splitters[0]) + 1)
-                    yield _sent(home, _by_doc(GONE, s.doc[order[gone]], s.order[order[gone]], ids, tids))
-                stay = ~gone
-                lead, rest, whole, order = lead[stay], rest[stay], whole[stay], order[stay]
-                yield from _entries(cuts(lead, rest), [lead, rest, whole, s.order[order].astype(np.uint32)], s.doc[order], ids, tids)
+                parts.append((s.leading(), s.rest(), s.whole(), s.order.astype(np.uint32), ids[s.doc], tids[s.doc]))
+                size += len(s)
+                if size >= SENT:
+                    yield from send(xxhash.xxh32_intdigest(f"{task}-{sent}") % (len(splitters[0]) + 1), parts)
+                    sent, parts, size = sent + 1, [], 0
+        if parts:
+            yield from send(xxhash.xxh32_intdigest(f"{task}-{sent}") % (len(splitters[0]) + 1), parts)
 
     return anchors
 
@@ -295,7 +306,7 @@ def _windows(buckets: int):
     """Task function: (id, tid, text, open) -> entries (hash, place) of the windows of open stretches."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             opened = [np.frombuffer(b"".join(x), "<u4") for x in batch.column(3).to_pylist()]
             base = np.cumsum([0, *(len(x) for x in opened)])
@@ -325,11 +336,11 @@ def _compare_windows(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(_by_doc(WINDOWS, doc[gone], place[gone], ids, tids), _NAMES[1:])
 
 
-def _spans(names: list[str]):
-    """Task function: rows with gone stretches and windows -> the same with the removed runs as (start, end) pairs."""
+def _spans(finish):
+    """Task function: rows with gone stretches and windows -> ``finish(batch, texts, removed runs)``, runs as start, end in turn."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode() if t else b"" for t in batch.column("__text").to_pylist()]
             gone = [np.frombuffer(b"".join(x or ()), "<u4").astype(np.int64) for x in batch.column("__gone").to_pylist()]
             windows = [np.frombuffer(b"".join(x or ()), "<u4").astype(np.int64) for x in batch.column("__windows").to_pylist()]
@@ -344,7 +355,7 @@ def _spans(names: list[str]):
                     starts[i].append(s.first[c] + s.shift[c])
                     ends[i].append(s.last[c] + WINDOW + s.shift[c])
             found = [_union(np.concatenate(a), np.concatenate(b)) for a, b in zip(starts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(found, pa.list_(pa.int64()))], [*names, "removed"])
+            yield finish(batch, texts, found)
 
     return spans
 
@@ -360,15 +371,14 @@ def _union(start: np.ndarray, end: np.ndarray) -> list[int]:
     return np.column_stack([start[first], end[np.append(first[1:], len(start)) - 1]]).ravel().tolist()
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``removed``: the runs of bytes, start and end in turn, that repeat a smaller document.
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the text and what of it goes, as ``_spans`` takes it.
 
     Ids are integers. Texts are taken as UTF-8 bytes; null is empty, and texts below WINDOW bytes lose nothing.
     Rows without id neither lose anything nor count as smaller. Rows with equal ids do not count against each
-    other. A column named ``removed`` is replaced.
+    other.
     """
     spark = docs.sparkSession
-    docs = docs.drop("removed")
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tid": F.xxhash64(text_col), "__text": F.col(text_col)})
     known = keyed.where("__id is not null")
     sized = known.where(f"octet_length(__text) >= {WINDOW}").select("__id", "__tid", "__text")
@@ -385,9 +395,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = handed.groupBy("bucket").applyInArrow(_compare_windows, _BACK)
     windows = windows.groupBy(F.col("id").alias("__id"), F.col("tid").alias("__tid")).agg(F.collect_list("data").alias("__windows"))
     joined = dealt.join(by_doc(GONE, "__gone"), ["__id", "__tid"], "left").join(windows, ["__id", "__tid"], "left")
-    names = docs.columns
-    found = joined.select(*names, "__text", "__gone", "__windows").mapInArrow(_spans(names), StructType([*docs.schema.fields]).add("removed", ArrayType(LongType())))
-    return found.unionByName(docs.where(F.col(id_col).isNull()).withColumn("removed", F.array().cast("array<bigint>")))
+    names = [*docs.columns, "__text", "__gone", "__windows"]
+    missing = {k: F.lit(None).cast("array<binary>") for k in names[-2:]}
+    return joined.select(names).unionByName(keyed.where("__id is null").withColumns(missing).select(names))
 
 
 def _splitters(sized: DataFrame, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -409,47 +419,51 @@ def _splitters(sized: DataFrame, size: int, buckets: int) -> tuple[np.ndarray, n
     return np.array([a for a, _ in key], np.uint64), np.array([b for _, b in key], np.uint64)
 
 
-def kept_bytes(text: str | None, removed: list[int]) -> bytes:
+def kept_bytes(raw: bytes, removed: list[int]) -> bytes:
     """What is left of a text's bytes."""
-    raw, at, out = (text or "").encode(), 0, []
+    at, out = 0, []
     for a, b in zip(removed[::2], removed[1::2], strict=True):
         out.append(raw[at:a])
         at = b
     return b"".join([*out, raw[at:]])
 
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``removed``: the runs of bytes, start and end in turn, that repeat a smaller document.
+
+    Ids are integers; null texts are empty; rows without id lose nothing. A column named ``removed`` is replaced.
+    """
+    docs = docs.drop("removed")
+    names = docs.columns
+
+    def finish(batch: pa.RecordBatch, texts: list[bytes], removed: list[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(removed, pa.list_(pa.int64()))], [*names, "removed"])
+
+    return _marked(docs, id_col, text_col).mapInArrow(_spans(finish), StructType([*docs.schema.fields]).add("removed", ArrayType(LongType())))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``."""
-    found = repeated_spans(docs.select(id_col, text_col), id_col, text_col)
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``; the cases are those of :func:`repeated_spans`."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept, size = kept_bytes(text, removed), len((text or "").encode())
-                rows.append((size, size - len(kept), len(removed) // 2, hashlib.sha256(kept).hexdigest()))
-            size, gone, spans, sha = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(sha, pa.string())],
-                [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+    def finish(batch: pa.RecordBatch, texts: list[bytes], removed: list[list[int]]) -> pa.RecordBatch:
+        kept = [kept_bytes(t, r) for t, r in zip(texts, removed, strict=True)]
+        size, left = (np.array([len(t) for t in x], np.int64) for x in (texts, kept))
+        spans = np.array([len(r) // 2 for r in removed], np.int64)
+        sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(size), pa.array(size - left), pa.array(spans), sha], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return found.mapInArrow(digest, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = _marked(docs.select(id_col, text_col), id_col, text_col)
+    return found.mapInArrow(_spans(finish), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes taken out of the text; a character cut in two goes as a whole. Columns stay."""
-    found = repeated_spans(docs, id_col, text_col)
-    names, at = docs.columns, docs.columns.index(text_col)
+    names = docs.columns
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed = batch.column(len(names)).to_pylist()
-            texts = batch.column(at).to_pylist()
-            new = [kept_bytes(t, r).decode(errors="ignore") if r else t for t, r in zip(texts, removed, strict=True)]
-            columns = batch.columns[: len(names)]
-            columns[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return found.select(*names, "removed").mapInArrow(cut, docs.schema)
+    def finish(batch: pa.RecordBatch, texts: list[bytes], removed: list[list[int]]) -> pa.RecordBatch:
+        new = [kept_bytes(t, r).decode(errors="ignore") for t, r in zip(texts, removed, strict=True)]
+        columns = [pa.array(new, pa.string(), mask=batch.column(k).is_null().to_numpy(zero_copy_only=False)) if k == text_col else batch.column(k) for k in names]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return _marked(docs, id_col, text_col).mapInArrow(_spans(finish), docs.schema)
