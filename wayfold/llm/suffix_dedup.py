@@ -9,7 +9,7 @@ Sampled splitters range-partition the anchors by the leading bytes of their suff
 by key, as a multikey quicksort does, and neighbours compared. Splitters are whole keys, so a group of equal
 keys is never parted at a bucket's boundary. Anchors whose whole stretch of windows is found in a smaller
 document are settled there. Of keys that have different surroundings, one stretch of each kind hands on its
-windows, which are then compared one by one.
+bytes, and the windows in them are then compared one by one.
 """
 
 from __future__ import annotations
@@ -21,9 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
@@ -37,7 +35,7 @@ _PIECE = 1 << 18
 SENT = 600_000
 #: Bytes of text whose anchors share a bucket; bytes of text that the splitters are taken from.
 BUCKET_BYTES, LEAST_BUCKETS, SAMPLED_BYTES, SAMPLED_KEYS = 10 << 20, 64, 32 << 20, 20_000
-_FIVE_BYTES = np.uint64((1 << 40) - 1)
+_FIVE_BYTES, _THREE_BYTES = np.uint64((1 << 40) - 1), np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
 _POWERS: list[np.ndarray] = []
@@ -87,7 +85,8 @@ class Stretches:
         return self.text[self.anchor[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
 
     def rest(self) -> np.ndarray:
-        return self.hashed(self.anchor + 8, self.anchor + KEY) & _FIVE_BYTES
+        """Stands for the rest of each key; unlike keys that share it only have more to compare."""
+        return self.hashed(self.anchor + 8, self.anchor + KEY) & _THREE_BYTES
 
     def whole(self) -> np.ndarray:
         """Of all that the windows of a stretch cover, and of where its anchor stands."""
@@ -199,8 +198,8 @@ def _by_doc(kind: int, doc: np.ndarray, number: np.ndarray, ids: np.ndarray, tid
     return [pa.array(np.full(len(first), kind, np.int8)), pa.array(ids[doc[first]]), pa.array(tids[doc[first]]), data]
 
 
-def _sent(bucket: int, columns: list[pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), bucket, np.int32)), *columns], _NAMES)
+def _sent(bucket: int | np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(bucket), len(columns[0]))), *columns], _NAMES)
 
 
 def _entries(cut: np.ndarray, arrays: list[np.ndarray], doc: np.ndarray, ids: np.ndarray, tids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -230,7 +229,7 @@ def _gathered(table: pa.Table, *kinds) -> tuple[list[np.ndarray], np.ndarray, np
 def _documents(ids: np.ndarray, tids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The document of each entry as a number, and the documents' ids, ascending, with tids."""
     order = np.lexsort((tids, ids))
-    new = np.append(True, (np.diff(ids[order]) != 0) | (np.diff(tids[order]) != 0))
+    new = np.append(True, (np.diff(ids[order]) != 0) | (np.diff(tids[order]) != 0))[: len(ids)]
     doc = np.empty(len(ids), np.int64)
     doc[order] = np.cumsum(new) - 1
     return doc, ids[order][new], tids[order][new]
@@ -252,7 +251,7 @@ def _anchors(splitters: tuple[np.ndarray, np.ndarray]):
         inside = [a + np.searchsorted(rest[a:b], r, "left") for a, b, r in zip(lo, hi, splitters[1], strict=True)]
         return np.concatenate([[0], np.array(inside, np.int64), [len(lead)]])
 
-    def send(home: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    def send(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         lead, rest, whole, number, own, tid = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = multikey_order(lead, rest, whole, own)
         lead, rest, whole, number, own, tid = (a[order] for a in (lead, rest, whole, number, own, tid))
@@ -260,23 +259,25 @@ def _anchors(splitters: tuple[np.ndarray, np.ndarray]):
         gone = own > np.repeat(own[start], np.diff(np.append(start, len(order))))
         doc, ids, tids = _documents(own, tid)
         if gone.any():
-            yield _sent(home, _by_doc(GONE, doc[gone], number[gone], ids, tids))
+            columns = _by_doc(GONE, doc[gone], number[gone], ids, tids)
+            home = columns[2].to_numpy().view(np.uint64) % np.uint64(len(splitters[0]) + 1)
+            yield _sent(home.astype(np.int32), columns)
         stay = ~gone
         lead, rest, whole, number, doc = (a[stay] for a in (lead, rest, whole, number, doc))
         yield from _entries(cuts(lead, rest), [lead, rest, whole, number], doc, ids, tids)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, sent, parts, size = TaskContext.get().partitionId(), 0, [], 0
+        parts, size = [], 0
         for batch in slices(batches):
             ids, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for s in stretches([t.encode() for t in batch.column(2).to_pylist()]):
                 parts.append((s.leading(), s.rest(), s.whole(), s.order.astype(np.uint32), ids[s.doc], tids[s.doc]))
                 size += len(s)
                 if size >= SENT:
-                    yield from send(xxhash.xxh32_intdigest(f"{task}-{sent}") % (len(splitters[0]) + 1), parts)
-                    sent, parts, size = sent + 1, [], 0
+                    yield from send(parts)
+                    parts, size = [], 0
         if parts:
-            yield from send(xxhash.xxh32_intdigest(f"{task}-{sent}") % (len(splitters[0]) + 1), parts)
+            yield from send(parts)
 
     return anchors
 
@@ -303,37 +304,71 @@ def _compare(table: pa.Table) -> pa.Table:
 
 
 def _windows(buckets: int):
-    """Task function: (id, tid, text, open) -> entries (hash, place) of the windows of open stretches."""
+    """Task function: (id, tid, text, open) -> the bytes of open stretches, by a hash of their keys."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             opened = [np.frombuffer(b"".join(x), "<u4") for x in batch.column(3).to_pylist()]
-            base = np.cumsum([0, *(len(x) for x in opened)])
-            key = np.sort(np.concatenate([np.int64(i) << np.int64(32) | x.astype(np.int64) for i, x in enumerate(opened)])) if base[-1] else np.zeros(0, np.int64)
+            key = np.sort(np.concatenate([np.int64(i) << np.int64(32) | x.astype(np.int64) for i, x in enumerate(opened)])) if opened else np.zeros(0, np.int64)
             for s in stretches([t.encode() for t in batch.column(2).to_pylist()]):
                 chosen = np.flatnonzero(np.isin(s.doc.astype(np.int64) << np.int64(32) | s.order, key))
-                each = s.last[chosen] - s.first[chosen] + 1
-                which = np.repeat(chosen, each)
-                start = s.first[which] + np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
-                h = s.hashed(start, start + WINDOW)
-                order = np.argsort(h, kind="stable")
-                h, which, start = h[order], which[order], start[order]
-                cut = np.searchsorted(h >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
-                yield from _entries(cut, [h, (start + s.shift[which]).astype(np.uint32)], s.doc[which], ids, tids)
+                if not len(chosen):
+                    continue
+                bucket = s.hashed(s.anchor[chosen], s.anchor[chosen] + KEY) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket, chosen = bucket[order], chosen[order]
+                size = s.last[chosen] - s.first[chosen] + WINDOW
+                place = (s.first[chosen] + s.shift[chosen]).astype(np.uint32)
+                start = _groups(len(bucket), bucket)
+                for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
+                    part, n = chosen[a:b], size[a:b]
+                    text = s.text[np.repeat(s.first[part] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    who, at = np.unique(s.doc[part], return_inverse=True)
+                    parts = _pack(ids[who], tids[who]), _pack(at.astype(np.uint32), place[a:b], n.astype(np.uint8)), zstandard.ZstdCompressor(level=3).compress(text.tobytes())
+                    data = b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+                    yield _sent(int(bucket[a]), [pa.array([ENTRIES], pa.int8()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())])
 
     return windows
 
 
+def _handed_on(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, place, id, tid) of all windows in a row of stretches, some at a time."""
+    raws, at = [], 0
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        raws.append(data[at + 4 : end])
+        at = end
+    ids, tids = _unpack(raws[0], np.int64, np.int64)
+    who, place, n = _unpack(raws[1], np.uint32, np.uint32, np.uint8)
+    text = np.frombuffer(zstandard.ZstdDecompressor().decompress(raws[2]), np.uint8)
+    ends = np.cumsum(n.astype(np.int64))
+    up, down = _powers()
+    first = 0
+    while first < len(n):  # as many stretches as the powers reach over
+        base = ends[first] - int(n[first])
+        last = int(np.searchsorted(ends, base + FLAT, "right"))
+        part = text[base : ends[last - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        each = n[first:last].astype(np.int64) - WINDOW + 1
+        which = np.repeat(np.arange(first, last), each)
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+        start = ends[which] - n[which] - base + inside
+        yield _mix((sums[start + WINDOW] - sums[start]) * down[start]), place[which].astype(np.int64) + inside, ids[who[which]], tids[who[which]]
+        first = last
+
+
 def _compare_windows(table: pa.Table) -> pa.Table:
     """One bucket: of equal windows, those in a document that is not the smallest go."""
-    (h, place), doc, ids, tids = _gathered(table, np.uint64, np.uint32)
-    own = ids[doc]
+    found = [w for data in table.column("data").to_pylist() for w in _handed_on(data)]
+    h, place, own, tid = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((own, h))
-    h, own, doc, place = h[order], own[order], doc[order], place[order]
+    h, own, place, tid = h[order], own[order], place[order], tid[order]
     start = _groups(len(h), h)
     gone = own > np.repeat(own[start], np.diff(np.append(start, len(h))))
-    return pa.Table.from_arrays(_by_doc(WINDOWS, doc[gone], place[gone], ids, tids), _NAMES[1:])
+    doc, ids, tids = _documents(own[gone], tid[gone])
+    return pa.Table.from_arrays(_by_doc(WINDOWS, doc, place[gone], ids, tids), _NAMES[1:])
 
 
 def _spans(finish):
