@@ -48,13 +48,13 @@ def nearest_in_grid(points: DataFrame, references: DataFrame, point_id: str, ref
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(*key, point_id, reference_id, "d2", "rank")
 
 
-def within_radius(queries: DataFrame, anchors: DataFrame, radius: float) -> DataFrame:
-    """Pairs of a query and an anchor at most ``radius`` apart, by cells as wide as the radius. Both have x and y."""
+def within_radius(queries: DataFrame, anchors: DataFrame, radius: float, key: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a query and an anchor of equal key at most ``radius`` apart, by cells as wide as the radius. Both have x and y."""
     cell = lambda c: F.floor(F.col(c) / radius)
     near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     a = anchors.withColumnsRenamed({"x": "ax", "y": "ay"})
     a = a.withColumn("__i", near).withColumn("__j", near).withColumns({"__cx": F.floor(F.col("ax") / radius) + F.col("__i"), "__cy": F.floor(F.col("ay") / radius) + F.col("__j")})
-    met = queries.withColumns({"__cx": cell("x"), "__cy": cell("y")}).join(a.drop("__i", "__j"), ["__cx", "__cy"]).drop("__cx", "__cy")
+    met = queries.withColumns({"__cx": cell("x"), "__cy": cell("y")}).join(a.drop("__i", "__j"), [*key, "__cx", "__cy"]).drop("__cx", "__cy")
     return met.withColumn("distance", F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))).where(F.col("distance") <= radius)
 
 

@@ -29,6 +29,12 @@ def query(sql: str | None = None):
     return register
 
 
+def uncut(name: str, cut: str) -> str:
+    """The SQL of a query without its filter on ids."""
+    assert cut in ORACLE_SQL[name]
+    return ORACLE_SQL[name].replace(cut, "")
+
+
 def r6(c, name):
     return F.round(c, 6).alias(name)
 
@@ -217,6 +223,32 @@ def radius_seed_join(spark, d):
     return m.withColumn("score", F.exp(-(ex * ex + ey * ey))).withColumn("n", F.row_number().over(best)).where("n = 1").select("event_id", "anchor", "dx", "dy", r6("score", "score"))
 
 
+_TURN = "q.th + s.dtheta - a.ath"
+
+
+@query(f"""WITH {PLANAR}, q AS (SELECT *, k / 20.0::DOUBLE AS th FROM p WHERE topic = 'purchase'), a AS (SELECT run_id, event_id AS anchor, x AS ax, y AS ay, k / 20.0::DOUBLE AS ath FROM p WHERE topic = 'error'),
+o AS (SELECT unnest([-1, 0, 1]) AS v), s AS (SELECT CAST(9 * i.v + 3 * j.v + l.v + 13 AS INTEGER) AS seed, i.v * 0.5::DOUBLE AS dx, j.v * 0.5::DOUBLE AS dy, l.v * 0.12::DOUBLE AS dtheta FROM o i, o j, o l),
+e2 AS (SELECT q.event_id, a.anchor, s.*, q.x + s.dx - a.ax AS ex, q.y + s.dy - a.ay AS ey, CASE WHEN {_TURN} > pi() THEN {_TURN} - 2 * pi() WHEN {_TURN} <= -pi() THEN {_TURN} + 2 * pi() ELSE {_TURN} END AS et
+       FROM q JOIN a ON q.run_id = a.run_id AND sqrt((q.x - a.ax) * (q.x - a.ax) + (q.y - a.ay) * (q.y - a.ay)) <= 1.0, s),
+m AS (SELECT *, exp(-(ex * ex + ey * ey + et * et)) AS score FROM e2), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(score, 9) DESC, anchor, seed) AS n FROM m)
+SELECT event_id, anchor, seed, dx, dy, dtheta, round(score, 6) AS score FROM r WHERE n = 1""")
+def radius_seed_join_all(spark, d):
+    """All runs, each within itself, with all 27 seeds."""
+    p = planar(spark, d).withColumn("th", F.col("k") / 20.0)
+    anchors = p.where("topic = 'error'").select("run_id", F.col("event_id").alias("anchor"), "x", "y", F.col("th").alias("ath"))
+    near = spatial.within_radius(p.where("topic = 'purchase'").select("run_id", "event_id", "x", "y", "th"), anchors, 1.0, ["run_id"])
+    seeds = F.explode(F.array(*[F.struct(F.lit(n).alias("seed"), F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(t).alias("dtheta")) for n, a, b, t in spatial.seeds(0.5, 0.12)])).alias("s")
+    m = near.select("event_id", "anchor", "x", "y", "th", "ax", "ay", "ath", seeds).select("*", "s.*")
+    ex, ey, et = F.col("x") + F.col("dx") - F.col("ax"), F.col("y") + F.col("dy") - F.col("ay"), geo.wrap_angle(F.col("th") + F.col("dtheta") - F.col("ath"))
+    best = Window.partitionBy("event_id").orderBy(F.desc(F.round("score", 9)), "anchor", "seed")
+    return m.withColumn("score", F.exp(-(ex * ex + ey * ey + et * et))).withColumn("n", F.row_number().over(best)).where("n = 1").select("event_id", "anchor", "seed", "dx", "dy", "dtheta", r6("score", "score"))
+
+
+def _rays(spark, d):
+    rays = read(spark, d, "embeddings").select(F.col("vec_id").alias("scan"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("beam"))
+    return rays.withColumns({"ox": F.col("scan") % 10 * 0.1, "oy": F.col("scan") % 7 * 0.1, "dx": F.cos(F.col("beam") * 0.4), "dy": F.sin(F.col("beam") * 0.4)})
+
+
 @query("""WITH b AS (SELECT vec_id AS scan, unnest(range(16)) AS beam FROM embeddings), c AS (SELECT p_partkey AS id, (p_partkey % 11) - 5.0 AS cx, (p_partkey % 7) - 3.0 AS cy, 0.3 + (p_partkey % 3) * 0.1 AS rad FROM part WHERE p_partkey < 40),
 r AS (SELECT scan, beam, (scan % 10) * 0.1::DOUBLE AS ox, (scan % 7) * 0.1::DOUBLE AS oy, cos(beam * 0.4::DOUBLE) AS dx, sin(beam * 0.4::DOUBLE) AS dy FROM b),
 m AS (SELECT scan, beam, (ox - cx) * dx + (oy - cy) * dy AS k, (ox - cx) * (ox - cx) + (oy - cy) * (oy - cy) - rad * rad AS c FROM r, c),
@@ -225,13 +257,25 @@ SELECT scan, CAST(beam AS INTEGER) AS beam, round(min(d), 6) AS d FROM t GROUP B
 def ray_obstacle_min(spark, d):
     obstacles = read(spark, d, "part").where("p_partkey < 40").select(F.col("p_partkey") % 11 - F.lit(5.0), F.col("p_partkey") % 7 - F.lit(3.0), F.lit(0.3) + F.col("p_partkey") % 3 * 0.1)
     known = [tuple(r) for r in obstacles.collect()]  # a handful of obstacles: literals of the plan
-    rays = read(spark, d, "embeddings").select(F.col("vec_id").alias("scan"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("beam"))
-    rays = rays.withColumns({"ox": F.col("scan") % 10 * 0.1, "oy": F.col("scan") % 7 * 0.1, "dx": F.cos(F.col("beam") * 0.4), "dy": F.sin(F.col("beam") * 0.4)})
+    rays = _rays(spark, d)
     circles = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y"), F.lit(float(c)).alias("r")) for a, b, c in known])
     hits = F.array_min(F.transform(circles, lambda c: spatial.ray_circle(F.col("ox"), F.col("oy"), F.col("dx"), F.col("dy"), c["x"], c["y"], c["r"])))
     return rays.select("scan", "beam", r6(F.when(hits < float("inf"), hits), "d"))
 
 
+@query(uncut("ray_obstacle_min", " WHERE p_partkey < 40").replace("SELECT p_partkey AS id,", "SELECT DISTINCT").replace("0.3 +", "0.33 +"))
+def ray_obstacle_min_all(spark, d):
+    """All parts as obstacles: however many, they are 231 different circles at most, which every ray meets.
+
+    They are a little wider than in ray_obstacle_min, as no ray should start on one: rounding would decide its distance.
+    """
+    n = F.col("p_partkey")
+    circles = read(spark, d, "part").select((n % 11 - F.lit(5.0)).alias("x"), (n % 7 - F.lit(3.0)).alias("y"), (F.lit(0.33) + n % 3 * 0.1).alias("r")).distinct()
+    met = _rays(spark, d).crossJoin(F.broadcast(circles))
+    hits = met.groupBy("scan", "beam").agg(F.min(spatial.ray_circle(*[F.col(c) for c in ("ox", "oy", "dx", "dy", "x", "y", "r")])).alias("d"))
+    return hits.select("scan", "beam", r6(F.when(F.col("d") < float("inf"), F.col("d")), "d"))
+
+
 @query(f"""WITH {LOG} SELECT topic, round(quantile_disc(value, 0.5) / 1000, 6) AS p50, round(quantile_disc(value, 0.95) / 1000, 6) AS p95, round(quantile_disc(value, 0.99) / 1000, 6) AS p99, round(max(value) / 1000, 6) AS max, round(avg(value) / 1000, 6) AS mean FROM e GROUP BY topic""")
 def latency_stats(spark, d):
     s = stats.latency_stats(log(spark, d), ["topic"], "value")
@@ -410,7 +454,16 @@ def nms_greedy(spark, d):
 
 @query(f"WITH {LOG}, m AS (SELECT DISTINCT run_id, CAST(value AS INTEGER) // 10 AS u, k // 10 AS v FROM e WHERE run_id < 30), o AS (SELECT unnest(range(-1, 2)) AS i) SELECT DISTINCT run_id, CAST(u + a.i AS INTEGER) AS u, CAST(v + b.i AS INTEGER) AS v FROM m, o a, o b")
 def dilate(spark, d):
-    m = log(spark, d).where("run_id < 30").select("run_id", F.expr("cast(round(value) as int) div 10").cast("int").alias("u"), F.expr("k div 10").cast("int").alias("v"))
+    return _dilated(log(spark, d).where("run_id < 30"))
+
+
+@query(uncut("dilate", " WHERE run_id < 30"))
+def dilate_all(spark, d):
+    return _dilated(log(spark, d))
+
+
+def _dilated(e):
+    m = e.select("run_id", F.expr("cast(round(value) as int) div 10").cast("int").alias("u"), F.expr("k div 10").cast("int").alias("v"))
     return spatial.dilated(m, ["run_id"], "u", "v", 1)
 
 
@@ -431,7 +484,16 @@ def rig_bfs(spark, d):
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey AS VARCHAR) || '.' || substr('0123456789987', 1, CAST(l_linenumber AS INTEGER) * 2) AS text FROM lineitem WHERE l_orderkey < 2000)
 SELECT text, l_orderkey * 1000000000 + CAST(rpad(substr(split_part(text, '.', 2), 1, 9), 9, '0') AS BIGINT) AS stamp_ns, CAST(l_orderkey AS VARCHAR) || '.' || rpad(substr(split_part(text, '.', 2), 1, 9), 9, '0') AS shown FROM s""")
 def exact_stamp_parse(spark, d):
-    s = read(spark, d, "lineitem").where("l_orderkey < 2000").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("."), F.expr("substr('0123456789987', 1, l_linenumber * 2)")).alias("text"))
+    return _parsed(read(spark, d, "lineitem").where("l_orderkey < 2000"))
+
+
+@query(uncut("exact_stamp_parse", " WHERE l_orderkey < 2000"))
+def exact_stamp_parse_all(spark, d):
+    return _parsed(read(spark, d, "lineitem"))
+
+
+def _parsed(items):
+    s = items.select(F.concat(F.col("l_orderkey").cast("string"), F.lit("."), F.expr("substr('0123456789987', 1, l_linenumber * 2)")).alias("text"))
     return s.withColumn("stamp_ns", parse_stamp(F.col("text"))).withColumn("shown", format_stamp(F.col("stamp_ns")))
 
 
@@ -452,7 +514,16 @@ i AS (SELECT event_id, step, CAST(floor(t * px / dist / 0.25) AS BIGINT) AS ix,
 l AS (SELECT *, lag(ix) OVER g AS jx, lag(iy) OVER g AS jy, lag(iz) OVER g AS jz FROM i WINDOW g AS (PARTITION BY event_id ORDER BY step))
 SELECT event_id, CAST(step AS INTEGER) AS step, ix, iy, iz, round(obs, 6) AS obs FROM l WHERE jx IS NULL OR jx <> ix OR jy <> iy OR jz <> iz""")
 def ray_integration(spark, d):
-    rays = planar(spark, d).where("run_id < 10").select("event_id", *[F.lit(0.0).alias(f"o{a}") for a in voxel.AXES], *[F.col(a).alias(f"p{a}") for a in voxel.AXES])
+    return _integrated(planar(spark, d).where("run_id < 10"))
+
+
+@query(uncut("ray_integration", " WHERE run_id < 10"))
+def ray_integration_all(spark, d):
+    return _integrated(planar(spark, d))
+
+
+def _integrated(p):
+    rays = p.select("event_id", *[F.lit(0.0).alias(f"o{a}") for a in voxel.AXES], *[F.col(a).alias(f"p{a}") for a in voxel.AXES])
     return voxel.ray_observations(rays, ["event_id"], 0.25, 0.75).withColumn("obs", F.round("obs", 6))
 
 
