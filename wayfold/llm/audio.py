@@ -2,8 +2,8 @@
 
 Power spectra of overlapping frames are folded to twelve pitch classes. On the integral image of those frames a
 set of rectangle filters compares areas, each gives two bits in Gray code, and every step packs them into one
-32-bit item. Recordings that share items vote for the offset between them; at the offset with the most votes
-their items are compared bit by bit, and a low error rate aligns them.
+32-bit item. Two recordings are compared bit by bit at every offset at which enough items meet; every right bit is
+a vote for the offset and every wrong one against it, and a low error rate aligns them.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ RATE, FRAME, HOP = 5512, 2048, 512
 CLASSES, LOWEST, HIGHEST = 12, 110.0, 1760.0
 #: Frames that an item looks at.
 SPAN = 8
-#: Items in common, after the vote, and share of wrong bits for an alignment; items compared at least.
+#: For an alignment: items compared that aren't silent in both, share of wrong bits in them, items that meet.
 LEAST_VOTES, MOST_ERRORS, LEAST_ITEMS = 3, 0.25, 8
+#: Items of the recordings and of the queries that meet at once.
+BLOCK = 1 << 15
 
 
 def filters() -> list[tuple[int, int, int, int, int, float]]:
@@ -144,13 +146,47 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return chosen.mapInArrow(render, f"id {chosen.schema[0].dataType.simpleString()}, samples binary")
 
 
-def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
-    """(items compared, share of wrong bits) with b's item k at a's item k + offset."""
-    lo, hi = max(0, offset), min(len(a), len(b) + offset)
-    if hi <= lo:
-        return 0, 1.0
-    wrong = np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).sum()
-    return hi - lo, float(wrong) / (32 * (hi - lo))
+def best_offsets(a: np.ndarray, many: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(which of ``many``, offset, items that meet, share of wrong bits) of those that align with ``a``, each at its best offset.
+
+    Item k of the other meets ``a``'s item k + offset. All offsets are tried. The best one has the most right bits less
+    wrong ones; of equal ones the nearest to 0, then the larger. Items that are silent in both count as neither.
+    """
+    size = np.array([len(b) for b in many])
+    out = []
+    order = np.argsort(size, kind="stable")
+    while len(order):  # recordings of similar length at once, as a table of one column each
+        near = int(np.searchsorted(size[order], max(1, size[order[0]]) * 1.5, "right"))
+        at, order = order[:near], order[near:]
+        out.append(_best_offsets(a, [many[i] for i in at], size[at], at))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+
+
+def _best_offsets(a: np.ndarray, many: list[np.ndarray], size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    longest = int(size.max())
+    table = np.zeros((longest, len(many)), np.uint32)
+    for i, b in enumerate(many):
+        table[: len(b), i] = b
+    there = None if size.min() == longest else np.arange(longest)[:, None] < size
+    quiet_a, quiet = a == SILENCE, table == SILENCE
+    silent = quiet_a.any() and quiet.any()
+    total = np.uint16 if 32 * min(len(a), longest) < 1 << 16 else np.uint32
+    best, offset, n_best, wrong_best, told_best = np.full(len(many), np.iinfo(np.int64).min), *np.zeros((4, len(many)), np.int64)
+    offsets = range(LEAST_ITEMS - longest, len(a) - LEAST_ITEMS + 1)
+    for o in sorted(offsets, key=lambda o: (abs(o), -o)):
+        lo, hi = max(0, o), min(len(a), longest + o)
+        bits = np.bitwise_count(a[lo:hi, None] ^ table[lo - o : hi - o])
+        if there is not None:
+            bits *= there[lo - o : hi - o]
+        wrong = bits.sum(0, dtype=total).astype(np.int64)
+        n = np.minimum(len(a), size + o) - lo
+        told = n - (quiet_a[lo:hi, None] & quiet[lo - o : hi - o]).sum(0) if silent else n
+        gain = 32 * told - 2 * wrong
+        better = np.flatnonzero((gain > best) & (n >= LEAST_ITEMS) & (told >= LEAST_VOTES) & (wrong <= MOST_ERRORS * 32 * told))
+        for x, y in ((best, gain), (offset, np.full(len(many), o)), (n_best, n), (wrong_best, wrong), (told_best, told)):
+            x[better] = y[better]
+    found = np.flatnonzero(n_best)
+    return at[found], offset[found], n_best[found], wrong_best[found] / (32 * told_best[found])
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -158,41 +194,44 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.withColumn("cls", F.when(F.size("items") > 0, F.xxhash64("items")))
 
 
+def _packed(prints: DataFrame, k: str) -> tuple[int, DataFrame]:
+    """The number of blocks, and ``prints`` (cls, items) as one row for each: (block, classes, sizes, items of all), named after ``k``."""
+    total = prints.agg(F.sum(F.size("items"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK))
+    rows = prints.groupBy(F.pmod("cls", F.lit(blocks)).cast("int").alias(f"{k}_block")).agg(F.collect_list(F.struct("cls", "items")).alias("r"))
+    return blocks, rows.select(f"{k}_block", F.col("r.cls").alias(k), F.transform("r.items", F.size).alias(f"{k}_sizes"), F.flatten("r.items").alias(f"{k}_items"))
+
+
+def _unpacked(sizes: pa.ListScalar, items: pa.ListScalar) -> list[np.ndarray]:
+    return np.split(items.values.to_numpy().astype(np.uint32), np.cumsum(sizes.values.to_numpy())[:-1])
+
+
 def alignments(prints: DataFrame, queries: DataFrame) -> DataFrame:
     """(q, c, offset, n, rate): for the class of each query the classes that align with it, its own with offset 0.
 
     ``prints`` has (id, items, cls), ``queries`` some of its rows. Recordings with equal items are one class and
-    meet once. Every item that two classes share votes for the offset it implies, but for those of silence, which
-    are at every offset alike. Of equally many votes the offset nearest to 0 wins. Recordings without items
-    align with nothing.
+    meet once. Every query class is compared with every class at every offset, block by block, so nothing that is
+    close enough is missed (see :func:`best_offsets`). Recordings without items align with nothing.
     """
     reps = stash(prints.where("cls is not null").groupBy("cls").agg(F.min_by("items", "id").alias("items")), "classes")
     asked = queries.where("cls is not null").select("cls", "items").dropDuplicates(["cls"])
-    posting = lambda df, k: df.select(F.col("cls").alias(k), F.posexplode("items").alias(f"{k}_at", "item")).where(F.col("item") != SILENCE)
-    votes = (
-        posting(asked, "q")
-        .join(posting(reps, "c"), "item")
-        .where("q <> c")
-        .groupBy("q", "c", (F.col("q_at") - F.col("c_at")).alias("offset"))
-        .agg(F.count("*").alias("votes"))
-        .where(F.col("votes") >= LEAST_VOTES)
-        .groupBy("q", "c")
-        .agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), "offset")).alias("offset"))
-    )
-    side = lambda k: reps.select(F.col("cls").alias(k), F.col("items").alias(f"{k}_items"))
-    met = votes.join(side("q"), "q").join(side("c"), "c")
+    blocks, file = _packed(reps, "c")
+    groups, wanted = _packed(asked, "q")
+    pairs = stash(wanted, "queries").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = stash(file, "recordings").join(pairs, "c_block").repartition(min(blocks * groups, 2000), "c_block", "q_block")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, rate = [], []
-            for a, b, offset in zip(batch.column("q_items"), batch.column("c_items"), batch.column("offset").to_pylist(), strict=True):
-                found = bit_errors(a.values.to_numpy().astype(np.uint32), b.values.to_numpy().astype(np.uint32), offset)
-                n.append(found[0])
-                rate.append(found[1])
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("c"), batch.column("offset"), pa.array(n, pa.int64()), pa.array(rate, pa.float64())], ["q", "c", "offset", "n", "rate"])
+            for c, c_sizes, c_items, q, q_sizes, q_items in zip(*(batch.column(k) for k in ("c", "c_sizes", "c_items", "q", "q_sizes", "q_items")), strict=True):
+                names, many = c.values.to_numpy(), _unpacked(c_sizes, c_items)
+                for name, items in zip(q.values.to_numpy(), _unpacked(q_sizes, q_items), strict=True):
+                    which, offset, n, rate = best_offsets(items, many)
+                    cls = names[which]
+                    other = cls != name
+                    columns = [np.full(other.sum(), name), cls[other], offset[other].astype(np.int32), n[other], rate[other]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "c", "offset", "n", "rate"])
 
     found = met.mapInArrow(compared, "q long, c long, offset int, n long, rate double")
-    found = found.where((F.col("n") >= LEAST_ITEMS) & (F.col("rate") <= MOST_ERRORS))
     same = asked.select(F.col("cls").alias("q"), F.col("cls").alias("c"), F.lit(0).alias("offset"), F.size("items").cast("long").alias("n"), F.lit(0.0).alias("rate"))
     return found.unionByName(same)
 
