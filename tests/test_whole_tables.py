@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from test_queries import plain
-from wayfold.operators import spatial
+from wayfold.operators import spatial, voxel
 from wayfold.plans.registry import ORACLE_SQL, QUERIES
 
 RUNS = (3, 25, 500, 70_001)
@@ -70,3 +70,31 @@ def test_seeds_against_brute_force(spark, wide):
     found = {r.event_id: r for r in QUERIES["radius_seed_join_all"](spark, d).collect()}
     assert {r for r in found} == set(want) and {next(e[2] for e in events if e[0] == i) for i in found} == set(RUNS)
     assert all((found[i].anchor, found[i].seed) == (a, n) and math.isclose(found[i].score, -s, abs_tol=2e-6) for i, (s, a, n) in want.items())
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 6, 40])
+def test_means_beyond_the_cap(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(k, i, float(rng.normal())) for k in (0, None) for i in rng.permutation(n).tolist()] + [(1, 0, 7.0)]
+    df = spark.createDataFrame(rows, "k int, t int, obs double")
+    want = {}
+    for k in (0, 1, None):
+        mean, weight = 0.0, 0
+        for _, x in sorted((t, x) for key, t, x in rows if key == k):
+            mean, weight = mean + (x - mean) / (weight + 1), min(weight + 1, 4)
+        want[k] = mean, weight
+    found = {r.k: (r.tsdf, r.weight) for r in voxel.fused(df, ["k"], cap=4, order=["t"]).collect()}
+    assert set(found) == set(want) and all(math.isclose(found[k][0], m, abs_tol=1e-12) and found[k][1] == w for k, (m, w) in want.items())
+
+
+def test_colours_beyond_the_cap(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS event_id, make_timestamp((i * 7919) % 500 * 1000) AS ts, 5 AS user_id, 'view' AS event_type, (i * 37 % 25)::DOUBLE AS value, '{{\"k\": 52}}' AS props FROM range(500) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    rows = sorted((i * 7919 % 500, (i * 37 % 25 / 490.02 - 0.5) * 255) for i in range(500))
+    mean, n = 0.0, 0
+    for _, x in rows:
+        mean, n = mean + (x - mean) / (n + 1), min(n + 1, 32)
+    (found,) = QUERIES["colour_mean_folded"](spark, str(tmp_path)).collect()
+    (want,) = con.sql(ORACLE_SQL["colour_mean_folded"]).fetchall()
+    assert math.isclose(found.red, mean, abs_tol=1e-4) and math.isclose(want[3], mean, abs_tol=1e-4)

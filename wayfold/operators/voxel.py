@@ -19,9 +19,26 @@ def block(i: Column | str) -> Column:
     return F.shiftright(i, 3)
 
 
-def fused(observations: DataFrame, key: Sequence[str], value: str = "obs", cap: int = 100_000) -> DataFrame:
-    """(key, tsdf, weight): running means of unit-weight observations, free of order while no weight reaches the cap."""
-    return observations.groupBy(*key).agg(F.avg(value).alias("tsdf"), F.least(F.count("*"), F.lit(cap).cast("long")).alias("weight"))
+def capped_mean(observations: DataFrame, key: Sequence[str], value: str, cap: int, order: Sequence[str]) -> DataFrame:
+    """(key, mean, n): running means whose weight stops at ``cap``, and the number of observations.
+
+    Each observation is added as mean += (value - mean) / (weight + 1), weight = min(weight + 1, cap). So up to cap + 1
+    observations it is their plain mean. Every later one shrinks all earlier shares by cap / (cap + 1) and has 1 / (cap + 1)
+    itself, which makes a weighted sum; only keys that go beyond the cap are numbered in ``order``.
+    """
+    sizes = observations.groupBy(*key).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    beyond = sizes.where(F.col("n") > cap + 1).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("n").alias("__n"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    numbered = observations.join(beyond, same).withColumn("__i", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    share = F.pow(F.lit(cap / (cap + 1)), F.col("__n") - F.greatest("__i", F.lit(cap + 1))) / (cap + 1)
+    folded = numbered.groupBy(*key).agg(F.sum(share * F.col(value)).alias("mean"), F.first("__n").alias("n"))
+    return sizes.where(F.col("n") <= cap + 1).unionByName(folded)
+
+
+def fused(observations: DataFrame, key: Sequence[str], value: str = "obs", cap: int = 100_000, order: Sequence[str] = ("stamp_ns", "event_id")) -> DataFrame:
+    """(key, tsdf, weight): running means of unit-weight observations, as an ordered fold once a weight has reached the cap."""
+    means = capped_mean(observations, key, value, cap, order)
+    return means.select(*key, F.col("mean").alias("tsdf"), F.least("n", F.lit(cap).cast("long")).alias("weight"))
 
 
 def ray_observations(rays: DataFrame, keep: Sequence[str], voxel: float, truncation: float) -> DataFrame:

@@ -156,6 +156,17 @@ def colour_mean_capped(spark, d):
     return c.select("map", "ix", "iy", F.round("c", 4).alias("red"), F.floor(F.col("c") + 0.5).alias("shown"))
 
 
+@query(f"""WITH {PLANAR}, c AS (SELECT run_id % 5 AS map, CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor((y - 5) / 0.5) AS BIGINT) AS iy, stamp_ns, event_id, (value / 490.02 - 0.5) * 255 AS c FROM p),
+n AS (SELECT map, ix, iy, c, row_number() OVER (w ORDER BY stamp_ns, event_id) AS i, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY map, ix, iy)),
+m AS (SELECT map, ix, iy, sum(c * CASE WHEN n <= 33 THEN 1 / n::DOUBLE ELSE (32 / 33::DOUBLE) ** (n - greatest(i, 33)) / 33 END) AS c FROM n GROUP BY ALL)
+SELECT map, ix, iy, round(c, 4) AS red, CAST(floor(c + 0.5) AS BIGINT) AS shown FROM m""")
+def colour_mean_folded(spark, d):
+    """In order of time, with the reference's cap of 32, which ``colour_mean_capped`` and its SQL don't have."""
+    v = _voxels(spark, d).withColumn("c", F.col("obs") * 255)
+    c = voxel.capped_mean(v, ["map", "ix", "iy"], "c", 32, ["stamp_ns", "event_id"])
+    return c.select("map", "ix", "iy", F.round("mean", 4).alias("red"), F.floor(F.col("mean") + 0.5).alias("shown"))
+
+
 @query(f"WITH {_VOXELS}, m AS (SELECT map, ix, iy, iz, avg(obs) AS tsdf FROM v GROUP BY ALL) SELECT map, ix, iy, iz, round(tsdf, 6) AS tsdf FROM m WHERE abs(tsdf) < 0.05")
 def surface_filter(spark, d):
     return voxel.surface(voxel.fused(_voxels(spark, d), ["map", "ix", "iy", "iz"]), 0.05).select("map", "ix", "iy", "iz", r6("tsdf", "tsdf"))
