@@ -24,10 +24,10 @@ CELLS = 16
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(id, v): each component as floor(scale * x). Rows without id, or with null or non-finite components, are left out."""
+    """(id, v): each component as floor(scale * x). Rows without id or components, or with null or non-finite ones, are left out."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).where(fine).select(
+    return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).where(fine).select(
         F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v")
     )
 
@@ -133,17 +133,18 @@ def _exact(edges: np.ndarray, k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products over ``vectors`` but its own row.
 
-    Both tables are (id, v) with whole numbers of equal count. Ties go to the smaller id; where fewer than k
-    other vectors exist, all are returned. An empty table gives no rows.
+    Both tables are (id, v) with whole numbers. Their length is the most frequent one of ``vectors``, of equally
+    frequent ones the larger; rows of another length, which have no product with those, are left out. Ties go to the
+    smaller id; where fewer than k other vectors exist, all are returned. An empty table gives no rows.
     """
-    first = vectors.select(F.size("v").alias("n")).limit(1).collect()
+    usual = vectors.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not first:
+    if not usual:
         return empty
-    dims = first[0].n
+    dims = usual.n
     vectors, queries = vectors.where(F.size("v") == dims), queries.where(F.size("v") == dims)
     n, m = vectors.count(), queries.count()
-    if not m or not dims:
+    if not m:
         return empty
     edges = cell_edges(vectors, dims)
     file = stash(packed(vectors, BLOCK, n, edges), "cells")
