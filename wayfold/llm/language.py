@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wayfold.llm.common import crc_bucket
+from wayfold.llm.common import crc_bucket, slices, small_batches, texts_of
 
 #: Sample of labelled rows that a dictionary is made of: rows a language, bytes of each, bytes in all.
-SAMPLE_ROWS, SLICE, DICTIONARY = 128, 1024, 65_536
+SAMPLE_ROWS, SLICE, DICTIONARY = 192, 1024, 65_536
 #: Texts are encoded block by block, so that the dictionary stays in reach throughout a long one.
 BLOCK = 4096
 LEVEL = 6
@@ -40,8 +40,8 @@ def letters(text: str) -> bytes:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, the most frequent language first.
 
-    Learns from at most ``SAMPLE_ROWS`` rows a language, chosen by a hash of the id, at most ``SLICE`` bytes of
-    each. Rows without language or text are left out.
+    Learns from at most ``SAMPLE_ROWS`` different texts a language, chosen by a hash of the id, and of each from ``SLICE``
+    bytes that lie evenly over the whole text. Rows without language, or without a letter in their text, are left out.
     """
     known = docs.select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("order")
@@ -52,22 +52,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # a few times the rows needed, of each language alike, before any of them is ranked
     span = 2.0**63
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 8 * SAMPLE_ROWS / n) * span))])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.length("text") < 200, "order", "text"))
-    rows = (
-        known.where(F.abs(F.col("order").cast("double")) <= F.element_at(share, F.col("lang")))
-        .select("lang", "order", F.substring("text", 1, 2 * SLICE).alias("text"))
-        .dropDuplicates(["lang", "text"])
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= SAMPLE_ROWS)
-        .orderBy("lang", "rank")
-        .collect()
-    )
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "copy"))
+    near = known.where(F.abs(F.col("order").cast("double")) <= F.element_at(share, F.col("lang"))).withColumn("copy", F.xxhash64("text"))
+    chosen = near.dropDuplicates(["lang", "copy"]).withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).select("lang", "rank", "text")
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column=2):
+            raw = [spread(letters(t)) for t in texts_of(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(raw, pa.binary())], ["lang", "rank", "raw"])
+
+    rows = small_batches(chosen).mapInArrow(drawn, "lang string, rank int, raw binary").collect()
     sample: dict[str, bytes] = {k: b"" for k in sizes}
-    for r in rows:
-        sample[r.lang] += letters(r.text)[:SLICE]
+    for r in sorted(rows, key=lambda r: r.rank):
+        sample[r.lang] += r.raw
     return [(k, sample[k][:DICTIONARY]) for k in sorted(sizes, key=lambda k: (-sizes[k], k))]
 
 
+def spread(raw: bytes, pieces: int = 4) -> bytes:
+    """``SLICE`` bytes in pieces that lie evenly over the whole of ``raw``; all of it if there are no more."""
+    if len(raw) <= SLICE:
+        return raw
+    each = SLICE // pieces
+    starts = [(len(raw) - each) * k // (pieces - 1) for k in range(pieces)]
+    return b"".join(raw[i : i + each] for i in starts)
+
+
 class Sizer:
     """Bytes that a text takes with each language's dictionary."""
 
@@ -109,8 +118,8 @@ def predict(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: st
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = Sizer(known.value)
-        for batch in batches:
-            found = [sizer.predict(t) for t in batch.column(at).to_pylist()]
+        for batch in slices(batches, column=at):
+            found = [sizer.predict(t) for t in texts_of(batch.column(at))]
             lang, score, accepted = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())],
@@ -118,7 +127,7 @@ def predict(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: st
             )
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("lang_score", "double").add("lang_accepted", "boolean")
-    return docs.mapInArrow(predicted, schema)
+    return small_batches(docs).mapInArrow(predicted, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

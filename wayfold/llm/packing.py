@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm import bpe
-from wayfold.llm.common import stash
+from wayfold.llm.common import slices, small_batches, stash, texts_of
 
 CACHED = 400_000
 CAPACITY = 2048
@@ -83,9 +83,9 @@ def _cut(capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ranks = TaskContext.get().partitionId(), Counter()
         ids_of = bpe.BoundedCache(bpe.packed, CACHED)
-        for batch in batches:
+        for batch in slices(batches, column=1):
             row, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(texts_of(batch.column(1))):
                 ids = b"".join(map(ids_of.__getitem__, bpe.runs(text))) + END if text else END
                 total = len(ids) // 4
                 first = total % capacity or capacity
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     kind = chosen.schema[0].dataType.simpleString()
     # ranks count within a task, so they hold only for the rows as this table keeps them
     pieces = stash(
-        chosen.mapInArrow(_cut(capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long"),
+        small_batches(chosen).mapInArrow(_cut(capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long"),
         "pieces",
     )
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))

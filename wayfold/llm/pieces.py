@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.bpe import BoundedCache
+from wayfold.llm.common import slices, small_batches, texts_of
 
 MODEL = "piece_bpe_32k.model"
 CACHED, PAIRS = 400_000, 500_000
@@ -274,9 +275,9 @@ def _mapped(docs: DataFrame, path: str | None, id_col: str, text_col: str, ids:
         known = BoundedCache(t.packed, CACHED)
         byte = np.zeros(len(t.pieces), bool)
         byte[t.byte_ids] = True
-        for batch in batches:
+        for batch in slices(batches, column=1):
             raws, rows = [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts_of(batch.column(1)):
                 text = text or ""
                 raw = b"".join(map(known.__getitem__, t.units(t.normalise(text))))
                 raws.append(raw)
@@ -296,4 +297,4 @@ def _mapped(docs: DataFrame, path: str | None, id_col: str, text_col: str, ids:
     chosen = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     kind = chosen.schema[0].dataType.simpleString()
     rest = "ids array<int>" if ids else "n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
-    return chosen.mapInArrow(mapped, f"`{id_col}` {kind}, {rest}")
+    return small_batches(chosen).mapInArrow(mapped, f"`{id_col}` {kind}, {rest}")
