@@ -80,7 +80,7 @@ class BoundedCache(dict):
             self.clear()
             self.update(self.frequent)
         value = self.make(run)
-        if not isinstance(run, str) or len(run) < 200:
+        if not isinstance(run, str | bytes) or len(run) < 200:
             self[run] = value
         return value
 
