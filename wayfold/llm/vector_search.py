@@ -1,9 +1,10 @@
 """Exact top-k by inner product over a vector-approximation file.
 
-Each component is kept as one of 16 cells. From the cells alone a query bounds its product with every vector from
-below and above; the k-th largest lower bound, over all vectors, is a product that k vectors are sure to reach,
-so only vectors with an upper bound that high are read exactly, in the order of their bounds, until the k-th
-result is certain. Queries and vectors meet block by block.
+The file keeps each component as the number of one of 64 cells, apart from the exact vectors. From the middles of the
+cells a product is known but for a slack, the same for all vectors, that the cells' widths and the query give. Queries
+and blocks of the file meet once; that gives the k-th best bound of each query and the blocks that can reach it. Only
+in those are vectors picked whose upper bound reaches it, and of those the exact vectors are read: first the k with
+the best bounds, then those whose bound is not below the k-th exact product, which makes the result certain.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import stash
 
-#: Vectors and queries that meet at once.
-BLOCK, QUERIES = 8192, 512
-CELLS = 16
+#: Vectors of a block of the file and queries that meet at once, and rows of it whose products are held at a time.
+BLOCK, QUERIES, PART = 16_384, 512, 2048
+CELLS = 64
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -33,28 +34,29 @@ def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def _blocks(edges: np.ndarray | None):
-    """Task function: (block, ids, vectors flat) -> packed blocks: cells, where ``edges`` are given, and exact numbers."""
+    """Task function: (block, ids, vectors flat) -> the vectors as cells, where ``edges`` are given, or as exact numbers."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, exact = [], []
+            packed = []
             for n, flat in zip(batch.column(1), batch.column(2), strict=True):
                 v = flat.values.to_numpy().reshape(len(n), -1)
-                exact.append(v.astype("<i8").tobytes())
-                found = np.stack([np.searchsorted(e[1:-1], c, "right") for e, c in zip(edges, v.T, strict=True)], 1) if edges is not None else v[:0]
-                cells.append(found.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary()), pa.array(exact, pa.binary())], ["block", "ids", "cells", "exact"])
+                if edges is None:
+                    packed.append(v.astype("<i8").tobytes())
+                else:
+                    packed.append(np.stack([np.searchsorted(e[1:-1], c, "right") for e, c in zip(edges, v.T, strict=True)], 1).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["block", "ids", "packed"])
 
     return blocks
 
 
 def packed(numbered: DataFrame, size: int, count: int, edges: np.ndarray | None = None) -> DataFrame:
-    """(block, ids, cells, exact): ``numbered`` (id, v) dealt into ``ceil(count / size)`` blocks by a hash of the id."""
+    """(block, ids, packed): ``numbered`` (id, v) dealt into ``ceil(count / size)`` blocks by a hash of the id."""
     blocks = max(1, math.ceil(count / size))
     dealt = numbered.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     rows = dealt.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("r"))
     flat = rows.select("block", F.col("r.id").alias("ids"), F.flatten("r.v").alias("flat"))
-    return flat.mapInArrow(_blocks(edges), "block int, ids array<long>, cells binary, exact binary")
+    return flat.mapInArrow(_blocks(edges), "block int, ids array<long>, packed binary")
 
 
 def cell_edges(numbered: DataFrame, dims: int) -> np.ndarray:
@@ -63,100 +65,116 @@ def cell_edges(numbered: DataFrame, dims: int) -> np.ndarray:
     return np.array([np.floor(np.linspace(found[f"lo{i}"], found[f"hi{i}"] + 1, CELLS + 1)) for i in range(dims)])
 
 
-def _bounds(edges: np.ndarray, cells: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bound of the product of every query with every vector; whole numbers, so doubles hold them."""
-    at = np.arange(edges.shape[0])
-    lo, hi = edges[at, cells], edges[at, cells + 1] - 1
-    hi = np.maximum(hi, lo)
-    up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
-    low, high = lo @ up + hi @ down, hi @ up + lo @ down
-    # sums of whole numbers below 2**53 are exact; the slack is for larger ones
-    return np.floor(low - 1e-9 * np.abs(low)), np.ceil(high + 1e-9 * np.abs(high))
+class Cells:
+    """Middles of the cells, and how far a number can be from its cell's middle, by dimension."""
 
+    def __init__(self, edges: np.ndarray):
+        self.middle = (edges[:, :-1] + np.maximum(edges[:, 1:] - 1, edges[:, :-1])) / 2
+        self.half = (np.maximum(edges[:, 1:] - 1, edges[:, :-1]) - edges[:, :-1]).max(1) / 2
+        self.at = np.arange(len(edges))
 
-def _numbers(raw: bytes, n: int) -> np.ndarray:
+    def products(self, raw: pa.Buffer, n: int, q: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, products of the middles with the queries), some rows at a time."""
+        cells = np.frombuffer(raw, np.uint8).reshape(n, -1)
+        for i in range(0, n, PART):
+            yield i, self.middle[self.at, cells[i : i + PART]] @ q.T
+
+    def slack(self, q: np.ndarray) -> np.ndarray:
+        """How far each query's products can be from those of the middles; for sums beyond 2**53 with the rounding."""
+        top = np.abs(self.middle).max(1) + self.half
+        return np.abs(q) @ self.half + 1e-12 * (np.abs(q) @ top)
+
+
+def _numbers(raw: pa.Buffer, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<i8").reshape(n, -1).astype(np.float64)
 
 
-def _floors(edges: np.ndarray, k: int):
-    """Task function: met blocks -> (query, lows): the k largest lower bounds of each query in a block."""
+def _bests(edges: np.ndarray, k: int):
+    """Task function: a block of the file and one of queries -> (query, group, block, slack, best): the k best products of the middles."""
 
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = Cells(edges)
         for batch in batches:
-            for ids, cells, qids, q in zip(*(batch.column(c) for c in ("ids", "cells", "qids", "q")), strict=True):
+            for block, ids, raw, group, qids, q in zip(*(batch.column(c) for c in ("block", "ids", "packed", "group", "qids", "q")), strict=True):
                 ids, qids = ids.values.to_numpy(), qids.values.to_numpy()
-                low, _ = _bounds(edges, np.frombuffer(cells.as_buffer(), np.uint8).reshape(len(ids), -1), _numbers(q.as_buffer(), len(qids)))
-                low[ids[:, None] == qids[None, :]] = -np.inf
-                best = np.sort(np.partition(low, max(0, len(low) - k), 0)[-k:], 0)[::-1].T
-                rows = [x[np.isfinite(x)].astype(np.int64).tolist() for x in best]
-                yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(rows, pa.list_(pa.int64()))], ["query", "lows"])
+                q = _numbers(q.as_buffer(), len(qids))
+                best = np.full((0, len(qids)), -np.inf)
+                for i, found in cells.products(raw.as_buffer(), len(ids), q):
+                    found[ids[i : i + PART, None] == qids] = -np.inf
+                    found = np.concatenate([best, found])
+                    best = np.partition(found, len(found) - k, 0)[-k:] if len(found) > k else found
+                rows = [x[np.isfinite(x)].tolist() for x in np.sort(best, 0)[::-1].T]
+                same = [pa.array(np.full(len(qids), x.as_py(), np.int32)) for x in (group, block)]
+                yield pa.RecordBatch.from_arrays([pa.array(qids), *same, pa.array(cells.slack(q)), pa.array(rows, pa.list_(pa.float64()))], ["query", "group", "block", "slack", "best"])
 
-    return floors
+    return bests
 
 
-def _exact(edges: np.ndarray, k: int):
-    """Task function: met blocks with each query's floor -> (query, id, score) of those that may be among the k best."""
+def _picked(edges: np.ndarray):
+    """Task function: a block of the file and the queries that it may serve -> (query, id, bound) of vectors that may be among the best."""
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = Cells(edges)
         for batch in batches:
-            for ids, cells, raw, qids, q, floors in zip(*(batch.column(c) for c in ("ids", "cells", "exact", "qids", "q", "floors")), strict=True):
+            for ids, raw, qids, q, limits in zip(*(batch.column(c) for c in ("ids", "packed", "qids", "q", "limits")), strict=True):
                 ids, qids = ids.values.to_numpy(), qids.values.to_numpy()
-                exact_query, v = (np.frombuffer(x.as_buffer(), "<i8").reshape(len(i), -1) for x, i in ((q, qids), (raw, ids)))
-                _, high = _bounds(edges, np.frombuffer(cells.as_buffer(), np.uint8).reshape(len(ids), -1), exact_query.astype(np.float64))
-                known = dict(floors.as_py())
-                out = [], [], []
-                for j, name in enumerate(qids):
-                    floor, best = known.get(name, -math.inf), np.zeros(0)
-                    near = np.flatnonzero((high[:, j] >= floor) & (ids != name))
-                    near = near[np.argsort(-high[near, j], kind="stable")]
-                    for part in range(0, len(near), 64):  # in the order of the bounds, until none can do better
-                        at = near[part : part + 64]
-                        if high[at[0], j] < floor:
-                            break
-                        score = v[at] @ exact_query[j]
-                        best = np.sort(np.append(best, score))[-k:]
-                        floor = max(floor, best[0]) if len(best) == k else floor
-                        for column, x in zip(out, (np.full(len(at), name), ids[at], score), strict=True):
-                            column.append(x)
-                if out[0]:
-                    query_ids, found, score = (np.concatenate(x) for x in out)
-                    order = np.lexsort((found, -score, query_ids))
-                    query_ids, found, score = query_ids[order], found[order], score[order]
-                    start = np.flatnonzero(np.append(True, query_ids[1:] != query_ids[:-1]))
-                    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-                    top = rank < k
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[top]), pa.array(found[top]), pa.array(score[top].astype(np.int64))], ["query", "id", "score"])
-
-    return exact
+                known = dict(limits.as_py())
+                at = np.flatnonzero([x in known for x in qids.tolist()])
+                q, qids = _numbers(q.as_buffer(), len(qids))[at], qids[at]
+                limit, slack = np.array([known[x] for x in qids.tolist()]), cells.slack(q)
+                for i, found in cells.products(raw.as_buffer(), len(ids), q):
+                    row, column = np.nonzero((found >= limit) & (ids[i : i + PART, None] != qids))
+                    columns = [qids[column], ids[i + row], found[row, column] + slack[column]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query", "id", "bound"])
+
+    return picked
+
+
+def _scored(pairs: DataFrame, exact: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, id, score) of pairs (query, id): the exact vectors of those ids are read."""
+    asked = queries.select(F.col("id").alias("query"), F.col("v").alias("q"))
+    met = pairs.select("query", "id").join(exact, "id").join(asked, "query")
+    score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return met.select("query", "id", score.alias("score"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products over ``vectors`` but its own row.
 
     Both tables are (id, v) with whole numbers. Their length is the most frequent one of ``vectors``, of equally
-    frequent ones the larger; rows of another length, which have no product with those, are left out. Ties go to the
-    smaller id; where fewer than k other vectors exist, all are returned. An empty table gives no rows.
+    frequent ones the larger; rows of another length, which have no product with those, are left out, as are null
+    vectors. Ties go to the smaller id; where fewer than k other vectors exist, all are returned. Ids are unique, but
+    repeated vectors are vectors of their own. An empty table gives no rows; other columns are not read.
     """
     usual = vectors.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not usual:
         return empty
-    dims = usual.n
-    vectors, queries = vectors.where(F.size("v") == dims), queries.where(F.size("v") == dims)
-    n, m = vectors.count(), queries.count()
+    dims, n = usual.n, usual["count"]
+    queries = queries.where(F.size("v") == dims)
+    m = queries.count()
     if not m:
         return empty
-    edges = cell_edges(vectors, dims)
-    file = stash(packed(vectors, BLOCK, n, edges), "cells")
-    asked = packed(queries, QUERIES, m).select(F.col("block").alias("group"), F.col("ids").alias("qids"), F.col("exact").alias("q"))
+    exact = stash(vectors.where(F.size("v") == dims).select("id", "v"), "exact")
+    edges = cell_edges(exact, dims)
+    file = stash(packed(exact, BLOCK, n, edges), "cells")
+    asked = stash(packed(queries, QUERIES, m).select(F.col("block").alias("group"), F.col("ids").alias("qids"), F.col("packed").alias("q")), "queries")
     blocks = max(1, math.ceil(n / BLOCK))
-    met = lambda groups: file.join(groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block")
-    asked = stash(asked, "queries")
-    lows = met(asked).select("ids", "cells", "qids", "q").mapInArrow(_floors(edges, k), "query long, lows array<long>")
-    kth = F.sort_array(F.flatten(F.collect_list("lows")), asc=False)
-    floors = lows.groupBy("query").agg(kth.alias("lows")).where(F.size("lows") >= k).select("query", F.col("lows")[k - 1].alias("floor"))
-    by_group = asked.select("group", F.explode("qids").alias("query")).join(floors, "query").groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("query", "floor"))).alias("floors"))
-    ready = stash(asked.join(by_group, "group", "left").withColumn("floors", F.coalesce("floors", F.expr("map()").cast("map<bigint,bigint>"))), "floors")
-    found = met(ready).select("ids", "cells", "exact", "qids", "q", "floors").mapInArrow(_exact(edges, k), "query long, id long, score long")
+    # a stated set of queries against all rows, block by block
+    met = file.join(asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block")
+    bests = stash(met.mapInArrow(_bests(edges, k), "query long, group int, block int, slack double, best array<double>"), "bests")
+    kth = F.sort_array(F.flatten(F.collect_list("best")), asc=False)
+    floors = bests.groupBy("query").agg(kth.alias("best")).select("query", F.coalesce(F.get("best", F.lit(k - 1)), F.lit(float("-inf"))).alias("kth"))
+    limit = F.col("kth") - 2 * F.col("slack")
+    near = bests.join(floors, "query").where((F.size("best") > 0) & (F.get("best", F.lit(0)) >= limit))
+    served = near.groupBy("block", "group").agg(F.map_from_entries(F.collect_list(F.struct("query", limit))).alias("limits"))
+    again = served.join(file, "block").join(asked, "group")
+    picked = stash(again.select("ids", "packed", "qids", "q", "limits").mapInArrow(_picked(edges), "query long, id long, bound double"), "picked")
+    by_bound = Window.partitionBy("query").orderBy(F.desc("bound"), "id")
+    ranked = picked.withColumn("place", F.row_number().over(by_bound))
+    first = stash(_scored(ranked.where(F.col("place") <= k), exact, queries), "first")
+    sure = first.groupBy("query").agg(F.min("score").alias("sure"))
+    rest = ranked.where(F.col("place") > k).join(sure, "query").where("bound >= sure")
+    found = first.unionByName(_scored(rest, exact, queries))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
