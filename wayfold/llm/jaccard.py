@@ -165,7 +165,7 @@ def _blocks(buckets: int, id_type: pa.DataType):
         shingle, owner = shingle[new], owner[new]
         sizes = np.bincount(owner, minlength=len(first)).astype(np.uint32)
         n = np.where(filled, sizes[inverse], 0).astype(np.int32)
-        yield _rows(id_type, TEXT, home, len(texts), id=pa.concat_arrays(ids), cls=pa.array(key, mask=~filled), n=pa.array(n))
+        yield _rows(id_type, TEXT, (home + np.arange(len(texts))) % buckets, len(texts), id=pa.concat_arrays(ids), cls=pa.array(key, mask=~filled), n=pa.array(n))
         if not len(shingle):
             return
         start = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
