@@ -10,8 +10,9 @@ candidates; a candidate's occurrences in the short lists are counted, and only i
 for what lacks of T are those looked up by binary search in its sorted set.
 
 Within a list, a pivot is tried first, and pairs across components only, so a large group of copies costs a star
-rather than all pairs. Lists in which many pairs would be left are split by the next lists that their texts have: two
-texts that need more occurrences than the lists met so far must meet in one of those, too. Nothing is left out.
+rather than all pairs. More pivots follow each round. Lists whose texts have few lists to share next are split by
+those instead: two texts that need more occurrences than the lists met so far must meet in one of them, too. So texts
+made of common passages do not meet in pairs for each passage. Nothing is left out.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ BLOCK = 1_000_000
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
 #: A block that has a shingle in so many classes sends its number of them, and keeps their names until lengths come back.
 HEAVY = 16
-#: Pairs across components that each text of a list may be tried with, on average, before the list is split.
+#: Pairs across components that each text of a list may be tried with, on average, before pivots are or the list is split.
 FEW = 6
+#: A list is split if its texts have so many lists to share next, on average; of near copies, which share all, they have more.
+NEXT, DEPTH = 8, 8
 CACHED = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: A list in a text's set: its hash, its length, and how many of the text's shingles have it.
@@ -433,7 +436,7 @@ def _split(percent: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            h, n, r, w, at, comp, cls = (batch.column(k).to_numpy() for k in ("h", "n", "r", "w", "at", "comp", "cls"))
+            h, n, r, w, at, comp, depth, cls = (batch.column(k).to_numpy() for k in ("h", "n", "r", "w", "at", "comp", "depth", "cls"))
             for i, x in enumerate(batch.column("lists")):
                 e = np.frombuffer(x.as_buffer(), _LIST)[at[i] + 1 :]
                 before = np.cumsum(e["w"], dtype=np.int64) - e["w"]
@@ -441,16 +444,16 @@ def _split(percent: int):
                 k = int(np.searchsorted(before, slack, "right"))
                 reach = np.searchsorted(before, slack + e["w"][:k].astype(np.int64), "right") - np.arange(1, k + 1)
                 key = _mix(e["h"][:k] * _ODD[1] + h[i : i + 1].view(np.uint64)).view(np.int64)
-                out.append((key, np.full(k, cls[i]), np.full(k, n[i]), r[i] - before[:k], w[i] + e["w"][:k].astype(np.int64), at[i] + 1 + np.arange(k), np.maximum(reach, 0), np.full(k, comp[i])))
+                out.append((key, np.full(k, cls[i]), np.full(k, n[i]), r[i] - before[:k], w[i] + e["w"][:k].astype(np.int64), at[i] + 1 + np.arange(k), np.maximum(reach, 0), np.full(k, comp[i]), np.full(k, depth[i] + 1)))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "cls", "n", "r", "w", "at", "next", "comp"])
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "cls", "n", "r", "w", "at", "next", "comp", "depth"])
 
     return split
 
 
-_MET = ["h", "cls", "n", "r", "w", "at", "next", "comp"]
+_MET = ["h", "cls", "n", "r", "w", "at", "next", "comp", "depth"]
 
 
 def _links(sets: DataFrame, percent: int) -> tuple[DataFrame | None, list[int]]:
@@ -460,7 +463,7 @@ def _links(sets: DataFrame, percent: int) -> tuple[DataFrame | None, list[int]]:
     there, w is what the lists met weigh.
     """
     lists = sets.select(F.col("cls"), "n", "own", F.posexplode("short").alias("at", "s")).select(
-        F.col("s.h").alias("h"), "cls", "n", (F.col("n") - F.col("own") - F.col("s.before")).alias("r"), F.col("s.w").alias("w"), "at", F.col("s.next").alias("next"), F.col("cls").alias("comp"), F.lit(False).alias("whole")
+        F.col("s.h").alias("h"), "cls", "n", (F.col("n") - F.col("own") - F.col("s.before")).alias("r"), F.col("s.w").alias("w"), "at", F.col("s.next").alias("next"), F.col("cls").alias("comp"), F.lit(False).alias("whole"), F.lit(1).alias("depth")
     )
     total = sets.agg(F.sum(F.size("short"))).first()[0] or 0
     lists = stash(lists, "lists", total)
@@ -468,11 +471,12 @@ def _links(sets: DataFrame, percent: int) -> tuple[DataFrame | None, list[int]]:
     number, counts = 0, []
     while True:
         lacks = F.col("n") - F.col("r")
-        by_comp = lists.groupBy("h", "comp").agg(F.count("*").cast("double").alias("m"), F.min(lacks).alias("lacks"), F.sum("next").alias("next"), F.max("whole").alias("whole"))
-        of = by_comp.groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.min("lacks").alias("lacks"), F.sum("next").alias("next"), F.max_by("comp", "m").alias("most"), F.count("*").alias("comps"), F.max("whole").alias("done"))
+        by_comp = lists.groupBy("h", "comp").agg(F.count("*").cast("double").alias("m"), F.min(lacks).alias("lacks"), F.sum("next").alias("next"), F.max("whole").alias("whole"), F.max("depth").alias("depth"))
+        of = by_comp.groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.min("lacks").alias("lacks"), F.sum("next").alias("next"), F.max_by("comp", "m").alias("most"), F.count("*").alias("comps"), F.max("whole").alias("done"), F.max("depth").alias("d"))
         each = (F.col("m") * F.col("m") - F.col("mm")) / F.col("m")  # pairs across components that a text has on average
-        few = (each <= FEW) | (~F.col("done") & (each <= F.col("next") / F.col("m")))
-        stats = stash(of.where("comps > 1").select("h", "lacks", "most", (few & F.lit(number > 0)).alias("few"), "done"), "sizes")
+        few = F.lit(number > 0) & ((each <= FEW) | (~F.col("done") & (each <= F.col("next") / F.col("m"))))
+        split = F.lit(number > 0) & ~few & ~F.col("done") & (F.col("next") <= NEXT * F.col("m")) & (F.col("d") < DEPTH)
+        stats = stash(of.where("comps > 1").select("h", "lacks", "most", few.alias("few"), split.alias("split")), "sizes")
         # a text whose best partner here couldn't share enough has none here
         old, lists = lists, stash(lists.join(stats.withColumnRenamed("lacks", "least"), "h").where(100 * F.col("r") >= percent * (F.col("n") + F.col("least"))), "met", total)
         discard(old, stats)
@@ -483,15 +487,12 @@ def _links(sets: DataFrame, percent: int) -> tuple[DataFrame | None, list[int]]:
         counts.append(tried.count())
         side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("lists").alias(f"s{k}"))
         found = stash(small_batches(tried).join(side("b"), "b").join(side("a"), "a").mapInArrow(_probe(percent), "a long, b long"), "found", counts[-1], 2000)
-        left = lists.where("not few")
+        again = lists.where("split")
+        left = lists.where("not few and not split").join(pivots.select("h", "cls"), ["h", "cls"], "left_anti").select(*_MET, "whole")  # pivots have met all others
         if number:
-            again = left.where("not done")
-            parts = again.join(sets.select("cls", "lists"), "cls").mapInArrow(_split(percent), "h long, cls long, n int, r int, w int, at int, next int, comp long")
-            enough = left.where(F.col("done") | (100 * F.col("w") >= percent * F.col("n")))  # may link without a further list
-            enough = enough.join(pivots.where("done").select("h", "cls"), ["h", "cls"], "left_anti")  # they have met all others
-            left = parts.withColumn("whole", F.lit(False)).unionByName(enough.select(*_MET, F.lit(True).alias("whole")))
-        else:
-            left = left.select(*_MET, "whole")
+            parts = again.join(sets.select("cls", "lists"), "cls").mapInArrow(_split(percent), "h long, cls long, n int, r int, w int, at int, next int, comp long, depth int")
+            enough = again.where(100 * F.col("w") >= percent * F.col("n"))  # may link without a further list
+            left = left.unionByName(parts.withColumn("whole", F.lit(False))).unionByName(enough.select(*_MET, F.lit(True).alias("whole")))
         if found.limit(1).count():
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)
@@ -504,12 +505,12 @@ def _links(sets: DataFrame, percent: int) -> tuple[DataFrame | None, list[int]]:
 
 
 def _pivots(lists: DataFrame, number: int) -> DataFrame:
-    """(h, done, cls, n, r, comp): a text of each list that isn't short of pairs; more of those that can't be split, the more the later."""
-    slots = F.when(F.col("done"), F.lit(8 ** min(number, 7))).otherwise(1)
+    """(h, cls, n, r, comp): a text of each list that isn't short of pairs; more of those that aren't split, the more the later."""
+    slots = F.when(F.col("split"), 1).otherwise(F.lit(8 ** min(number, 7)))
     slot = F.pmod(F.xxhash64("cls", F.lit(number)), slots)
     # the text that lacks least of what is shared is the likeliest to be what others were copied from
     least = F.min(F.struct(F.col("n") - F.col("r"), "cls", "n", "r", "comp")).alias("p")
-    return lists.where("not few").groupBy("h", "done", slot.alias("slot")).agg(least).select("h", "done", "p.cls", "p.n", "p.r", "p.comp")
+    return lists.where("not few").groupBy("h", slot.alias("slot")).agg(least).select("h", "p.cls", "p.n", "p.r", "p.comp")
 
 
 def _tried(lists: DataFrame, pivots: DataFrame, percent: int, number: int) -> DataFrame:
