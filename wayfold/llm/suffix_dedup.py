@@ -1,15 +1,15 @@
 """Exact substring dedup over a sparse suffix array.
 
-A byte goes if a WINDOW-byte string that covers it also starts in a document with a smaller id. Sorting every
-suffix would move several times the input, so only anchors are sorted: in each window the leftmost KEY-byte
-string with the smallest hash. Equal windows have their anchor at the same place, so windows are equal only if
-their anchors' suffixes and what stands before them are.
-
-Sampled splitters range-partition the anchors by the leading bytes of their suffixes; each bucket is sorted key
-by key, as a multikey quicksort does, and neighbours compared. Splitters are whole keys, so a group of equal
-keys is never parted at a bucket's boundary. Anchors whose whole stretch of windows is found in a smaller
-document are settled there. Of keys that have different surroundings, one stretch of each kind hands on its
-bytes, and the windows in them are then compared one by one.
+A byte goes if a WINDOW-byte string that covers it also starts in a document with a smaller id. Sorting every suffix
+would move several times the input, so only anchors are sorted: in each window the leftmost KEY-byte string with the
+smallest hash. Equal windows have their anchor at the same place, so windows are equal only if their anchors'
+suffixes, as far as the windows go, and what stands before them are. A stretch is a run of windows with one anchor.
+
+First, keys that one document alone has are put aside by their hashes, which may only keep too many. The stretches of
+the others then go as bytes: sampled splitters range-partition them by their suffixes, each bucket sorts them word by
+word, as a multikey quicksort does, and equal windows of neighbours are found for every place that the anchor can
+have in them. Keys of splitters, which lie on both sides of a boundary, and so every key of many suffixes, are
+compared across buckets window by window. What is found equal is equal in its bytes.
 """
 
 from __future__ import annotations
@@ -26,16 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from wayfold.llm.common import planes, slices, stash, unplanes
+from wayfold.llm.common import planes, slices, small_batches, stash, texts_of, unplanes
 
 WINDOW, KEY = 50, 20
-#: Texts are scanned this many bytes at a time; so many entries are sorted and sent on together.
+#: Bytes that a stretch can have before its anchor.
+LEFT = WINDOW - KEY
+#: Texts are scanned this many bytes at a time; so many anchors, and so many stretches, are sorted and sent on together.
 FLAT = 1 << 20
 _PIECE = 1 << 18
-SENT = 600_000
+ANCHORS, SENT = 500_000, 150_000
 #: Bytes of text whose anchors share a bucket; bytes of text that the splitters are taken from.
-BUCKET_BYTES, LEAST_BUCKETS, SAMPLED_BYTES, SAMPLED_KEYS = 10 << 20, 64, 32 << 20, 20_000
-_FIVE_BYTES, _THREE_BYTES = np.uint64((1 << 40) - 1), np.uint64((1 << 24) - 1)
+BUCKET_BYTES, LEAST_BUCKETS, SAMPLED_BYTES, SAMPLED_KEYS = 6 << 20, 64, 32 << 20, 20_000
+#: A stretch as a row: its suffix, what stands before the anchor from right to left, both padded, and the two lengths.
+RIGHT_WIDTH, LEFT_WIDTH, ROW = 56, 32, 96
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
 _POWERS: list[np.ndarray] = []
@@ -73,6 +76,7 @@ class Stretches:
     anchor: np.ndarray
     last: np.ndarray  # last window
     shift: np.ndarray
+    piece: np.ndarray  # of a long text
     text: np.ndarray
     sums: np.ndarray
 
@@ -80,18 +84,37 @@ class Stretches:
         """64-bit hash of each stretch of the flat text."""
         return _mix((self.sums[end] - self.sums[start]) * _powers()[1][start])
 
-    def leading(self) -> np.ndarray:
-        """The first eight bytes of each anchor's suffix, as a number that sorts as they do."""
-        return self.text[self.anchor[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
-
-    def rest(self) -> np.ndarray:
-        """Stands for the rest of each key; unlike keys that share it only have more to compare."""
-        return self.hashed(self.anchor + 8, self.anchor + KEY) & _THREE_BYTES
-
-    def whole(self) -> np.ndarray:
-        """Of all that the windows of a stretch cover, and of where its anchor stands."""
-        place = (self.anchor - self.first).astype(np.uint64) + np.uint64(64) * (self.last - self.first).astype(np.uint64)
-        return _mix(self.hashed(self.first, self.last + WINDOW) + place * _SPREAD[0]) & _FIVE_BYTES
+    def keys(self) -> np.ndarray:
+        """Stand for the anchors' first KEY bytes; unlike keys that share one only have more to compare."""
+        return self.hashed(self.anchor, self.anchor + KEY)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """(stretches, ROW) bytes, equal only for equal stretches; as bytes they sort by suffix, then by what stands before."""
+        out = np.zeros((len(at), ROW), np.uint8)
+        anchor, end = self.anchor[at], self.last[at] + WINDOW
+        right, left = end - anchor, anchor - self.first[at]
+        top = len(self.text) - 1
+        for k in range(WINDOW):
+            out[:, k] = np.where(k < right, self.text[np.minimum(anchor + k, top)], 0)
+        for k in range(LEFT):
+            out[:, RIGHT_WIDTH + k] = np.where(k < left, self.text[np.maximum(anchor - 1 - k, 0)], 0)
+        out[:, -2], out[:, -1] = right, left
+        return out
+
+    def leaders(self) -> np.ndarray:
+        """For each stretch the first equal one in the same piece of its document, itself included: repeats share its fate."""
+        n = len(self.doc)
+        key = _mix(self.hashed(self.first, self.last + WINDOW) + (self.anchor - self.first).astype(np.uint64) * _SPREAD[0] + self.piece.astype(np.uint64) * _SPREAD[1])
+        order = np.argsort(key, kind="stable")
+        start = _groups(n, key[order])
+        lead = np.empty(n, np.int64)
+        lead[order] = np.repeat(order[start], np.diff(np.append(start, n)))
+        again = np.flatnonzero(lead != np.arange(n))
+        for i in range(0, len(again), SENT):
+            part = again[i : i + SENT]
+            same = (self.rows(part) == self.rows(lead[part])).all(1) & (self.piece[part] == self.piece[lead[part]])
+            lead[part[~same]] = part[~same]
+        return lead
 
     def __len__(self):
         return len(self.doc)
@@ -144,7 +167,7 @@ def _flat(pieces: list[tuple[int, int, bytes]], counts: np.ndarray) -> Stretches
     size = np.diff(np.append(of_doc, len(doc)))
     order = np.arange(len(doc)) - np.repeat(of_doc, size) + counts[doc]
     np.add.at(counts, doc[of_doc], size)
-    return Stretches(doc, order, first, anchor[start], last, shift, text, sums)
+    return Stretches(doc, order, first, anchor[start], last, shift, piece, text, sums)
 
 
 def multikey_order(*keys: np.ndarray) -> np.ndarray:
@@ -166,6 +189,13 @@ def multikey_order(*keys: np.ndarray) -> np.ndarray:
     return order
 
 
+def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes, eight at a time, and where groups of equal rows start in it."""
+    words = np.ascontiguousarray(rows.reshape(len(rows), rows.shape[1] // 8, 8).view(">u8")[:, :, 0].T.astype(np.uint64))
+    order = multikey_order(*words)
+    return order, _groups(len(rows), *(w[order] for w in words))
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     raw = b"".join(planes(np.ascontiguousarray(a)) for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(len(arrays[0]).to_bytes(8, "little") + raw)
@@ -184,8 +214,8 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
 _NAMES = ["bucket", "kind", "id", "tid", "data"]
 _SENT = "bucket int, kind tinyint, id long, tid long, data binary"
 _BACK = "kind tinyint, id long, tid long, data binary"
-#: Kinds of row: entries to be sorted; stretches that go whole; stretches that hand on their windows; windows that go.
-ENTRIES, GONE, OPEN, WINDOWS = 0, 1, 2, 3
+#: Kinds of row: packed entries; stretches that go whole; stretches that hand on their bytes; windows that go; packed stretches; packed windows.
+ENTRIES, GONE, OPEN, WINDOWS, STRETCHES, SINGLE = range(6)
 
 
 def _by_doc(kind: int, doc: np.ndarray, number: np.ndarray, ids: np.ndarray, tids: np.ndarray) -> list[pa.Array]:
@@ -243,37 +273,41 @@ def _groups(n: int, *sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, new))
 
 
-def _anchors(splitters: tuple[np.ndarray, np.ndarray]):
-    """Task function: (id, tid, text) -> entries by bucket; stretches found in a smaller document nearby are settled."""
+def _homes(columns: list[pa.Array], buckets: int) -> np.ndarray:
+    """Any bucket for rows that need none."""
+    return (columns[2].to_numpy().view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+
 
-    def cuts(lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        lo, hi = np.searchsorted(lead, splitters[0], "left"), np.searchsorted(lead, splitters[0], "right")
-        inside = [a + np.searchsorted(rest[a:b], r, "left") for a, b, r in zip(lo, hi, splitters[1], strict=True)]
-        return np.concatenate([[0], np.array(inside, np.int64), [len(lead)]])
+def _anchors(buckets: int):
+    """Task function: (id, tid, text) -> keys by bucket; anchors whose key two documents have here are open at once."""
 
     def send(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        lead, rest, whole, number, own, tid = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = multikey_order(lead, rest, whole, own)
-        lead, rest, whole, number, own, tid = (a[order] for a in (lead, rest, whole, number, own, tid))
-        start = _groups(len(order), lead, rest, whole)
-        gone = own > np.repeat(own[start], np.diff(np.append(start, len(order))))
+        key, number, own, tid = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, number, own, tid = (a[order] for a in (key, number, own, tid))
+        start = _groups(len(key), key)
+        size = np.diff(np.append(start, len(key)))
+        several = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
         doc, ids, tids = _documents(own, tid)
-        if gone.any():
-            columns = _by_doc(GONE, doc[gone], number[gone], ids, tids)
-            home = columns[2].to_numpy().view(np.uint64) % np.uint64(len(splitters[0]) + 1)
-            yield _sent(home.astype(np.int32), columns)
-        stay = ~gone
-        lead, rest, whole, number, doc = (a[stay] for a in (lead, rest, whole, number, doc))
-        yield from _entries(cuts(lead, rest), [lead, rest, whole, number], doc, ids, tids)
+        known = np.repeat(several, size)
+        if known.any():
+            columns = _by_doc(OPEN, doc[known], number[known], ids, tids)
+            yield _sent(_homes(columns, buckets), columns)
+        stay = ~known
+        stay[start[several]] = True  # one stands for all of them
+        key, number, doc, known = key[stay], number[stay], doc[stay], known[stay]
+        cut = np.searchsorted(key >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+        yield from _entries(cut, [key, number, known.astype(np.uint8)], doc, ids, tids)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, column=2):
             ids, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for s in stretches([t.encode() for t in batch.column(2).to_pylist()]):
-                parts.append((s.leading(), s.rest(), s.whole(), s.order.astype(np.uint32), ids[s.doc], tids[s.doc]))
-                size += len(s)
-                if size >= SENT:
+            for s in stretches([t.encode() for t in texts_of(batch.column(2))]):
+                at = np.flatnonzero(s.leaders() == np.arange(len(s)))
+                parts.append((s.keys()[at], s.order[at].astype(np.uint32), ids[s.doc[at]], tids[s.doc[at]]))
+                size += len(at)
+                if size >= ANCHORS:
                     yield from send(parts)
                     parts, size = [], 0
         if parts:
@@ -282,115 +316,231 @@ def _anchors(splitters: tuple[np.ndarray, np.ndarray]):
     return anchors
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """One bucket: sort the suffixes key by key and compare neighbours."""
+def _passed_on(table: pa.Table, kinds: tuple[int, ...]) -> list[pa.Table]:
     kind = table.column("kind").to_numpy()
-    out = [table.filter(pa.array(kind != ENTRIES)).select(_NAMES[1:])]
-    entries = table.filter(pa.array(kind == ENTRIES))
+    return [table.filter(pa.array(np.isin(kind, kinds))).select(_NAMES[1:])]
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """One bucket of keys: those of two documents or more are open."""
+    out = _passed_on(table, (OPEN,))
+    entries = table.filter(pa.array(table.column("kind").to_numpy() == ENTRIES))
     if len(entries):
-        (lead, rest, whole, number), doc, ids, tids = _gathered(entries, np.uint64, np.uint64, np.uint64, np.uint32)
+        (key, number, known), doc, ids, tids = _gathered(entries, np.uint64, np.uint32, np.uint8)
+        order = np.argsort(key, kind="stable")
+        key, number, known, doc = (a[order] for a in (key, number, known, doc))
+        start = _groups(len(key), key)
         own = ids[doc]
-        order = multikey_order(lead, rest, whole, own)
-        lead, rest, whole, own, doc, number = (a[order] for a in (lead, rest, whole, own, doc, number))
-        n = len(order)
-        kinds = _groups(n, lead, rest, whole)
-        gone = own > np.repeat(own[kinds], np.diff(np.append(kinds, n)))
-        keys = _groups(n, lead, rest)
-        size = np.diff(np.append(keys, n))
-        least, most = (np.repeat(f.reduceat(np.where(gone, fill, own), keys), size) for f, fill in ((np.minimum, np.iinfo(np.int64).max), (np.maximum, np.iinfo(np.int64).min)))
-        for what, chosen in ((GONE, gone), (OPEN, ~gone & (least < most))):
-            out.append(pa.Table.from_arrays(_by_doc(what, doc[chosen], number[chosen], ids, tids), _NAMES[1:]))
+        several = (np.maximum.reduceat(known, start) > 0) | (np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start))
+        chosen = np.repeat(several, np.diff(np.append(start, len(key)))) & (known == 0)
+        out.append(pa.Table.from_arrays(_by_doc(OPEN, doc[chosen], number[chosen], ids, tids), _NAMES[1:]))
     return pa.concat_tables([t.cast(out[0].schema) for t in out])
 
 
-def _windows(buckets: int):
-    """Task function: (id, tid, text, open) -> the bytes of open stretches, by a hash of their keys."""
+def _single(rows: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(which rows have it, its place in the stretch from the anchor back, the bytes) of the windows of stretches, by place."""
+    right, left = rows[:, -2], rows[:, -1]
+    for p in range(LEFT + 1):
+        at = np.flatnonzero((left >= p) & (right >= WINDOW - p))
+        if len(at):
+            window = np.zeros((len(at), RIGHT_WIDTH), np.uint8)
+            window[:, :p] = rows[at, RIGHT_WIDTH : RIGHT_WIDTH + p][:, ::-1]
+            window[:, p:WINDOW] = rows[at, : WINDOW - p]
+            yield at, p, window
+
+
+def _packed_bytes(kind: int, bucket: int, rows: np.ndarray, arrays: list[np.ndarray], doc: np.ndarray, ids: np.ndarray, tids: np.ndarray) -> pa.RecordBatch:
+    who, at = np.unique(doc, return_inverse=True)
+    parts = _pack(ids[who], tids[who]), _pack(at.astype(np.uint32), *arrays), zstandard.ZstdCompressor(level=3).compress(rows.tobytes())
+    data = b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+    return _sent(bucket, [pa.array([kind], pa.int8()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())])
+
+
+def _unpacked_bytes(table: pa.Table, width: int, *kinds) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """All rows of bytes of a table with their arrays, the document of each, and the documents' ids, ascending, with tids."""
+    rows, arrays, ids, tids = [], [[] for _ in kinds], [], []
+    for x in table.column("data"):
+        data, raws, at = x.as_py(), [], 0
+        while at < len(data):
+            end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+            raws.append(data[at + 4 : end])
+            at = end
+        i, t = _unpack(raws[0], np.int64, np.int64)
+        who, *found = _unpack(raws[1], np.uint32, *kinds)
+        for a, f in zip(arrays, found, strict=True):
+            a.append(f)
+        ids.append(i[who])
+        tids.append(t[who])
+        rows.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(raws[2]), np.uint8).reshape(-1, width))
+    return np.concatenate(rows), [np.concatenate(a) for a in arrays], *_documents(np.concatenate(ids), np.concatenate(tids))
+
+
+def _least(own: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The smallest id of each one's group, of a sorted array whose groups start as said."""
+    return np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(own)))) if len(own) else own
+
+
+def _suffixes(splitters: np.ndarray, buckets: int):
+    """Task function: (id, tid, text, open) -> open stretches by bucket. Those found in a smaller document here go at once."""
+    edges = splitters.view(f"S{ROW}").ravel()
+    cut_keys = np.unique(np.ascontiguousarray(splitters[:, :KEY]).view(f"S{KEY}").ravel())
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+    def windows(rows: np.ndarray, place: np.ndarray, doc: np.ndarray, ids: np.ndarray, tids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = [(window, place[at] + rows[at, -1] - p, doc[at]) for at, p, window in _single(rows)]
+        if not found:
+            return
+        window, place, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        order, start = suffix_order(window)
+        window, place, doc = window[order], place[order].astype(np.uint32), doc[order]
+        gone = ids[doc] > _least(ids[doc], start)
+        if gone.any():
+            columns = _by_doc(WINDOWS, doc[gone], place[gone], ids, tids)
+            yield _sent(_homes(columns, buckets), columns)
+        window, place, doc = window[~gone], place[~gone], doc[~gone]
+        words = window.view("<u8").astype(np.uint64)
+        to = _mix((words * _BYTE[: words.shape[1]]).sum(1, dtype=np.uint64)) % np.uint64(buckets)
+        order = np.argsort(to, kind="stable")
+        start = _groups(len(to), to[order])
+        for a, b in zip(start, np.append(start[1:], len(to)), strict=True):
+            at = order[a:b]
+            yield _packed_bytes(SINGLE, int(to[at[0]]), window[at], [place[at]], doc[at], ids, tids)
+
+    def send(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        rows, number, place, own, tid = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, start = suffix_order(rows)
+        rows, number, place, own, tid = (a[order] for a in (rows, number, place, own, tid))
+        doc, ids, tids = _documents(own, tid)
+        gone = own > _least(own, start)
+        if gone.any():
+            columns = _by_doc(GONE, doc[gone], number[gone], ids, tids)
+            yield _sent(_homes(columns, buckets), columns)
+        rows, number, place, doc = rows[~gone], number[~gone], place[~gone], doc[~gone]
+        key = np.ascontiguousarray(rows[:, :KEY]).view(f"S{KEY}").ravel()
+        across = np.isin(key, cut_keys)
+        if across.any():
+            yield from windows(rows[across], place[across], doc[across], ids, tids)
+            rows, number, place, doc = rows[~across], number[~across], place[~across], doc[~across]
+        names = np.ascontiguousarray(rows).view(f"S{ROW}").ravel()
+        cut = np.concatenate([[0], np.searchsorted(names, edges, "left"), [len(names)]])
+        for b in np.flatnonzero(np.diff(cut)):
+            part = slice(cut[b], cut[b + 1])
+            yield _packed_bytes(STRETCHES, int(b) % buckets, rows[part], [number[part], place[part]], doc[part], ids, tids)
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in slices(batches, column=2):
             ids, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             opened = [np.frombuffer(b"".join(x), "<u4") for x in batch.column(3).to_pylist()]
             key = np.sort(np.concatenate([np.int64(i) << np.int64(32) | x.astype(np.int64) for i, x in enumerate(opened)])) if opened else np.zeros(0, np.int64)
-            for s in stretches([t.encode() for t in batch.column(2).to_pylist()]):
-                chosen = np.flatnonzero(np.isin(s.doc.astype(np.int64) << np.int64(32) | s.order, key))
-                if not len(chosen):
-                    continue
-                bucket = s.hashed(s.anchor[chosen], s.anchor[chosen] + KEY) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                bucket, chosen = bucket[order], chosen[order]
-                size = s.last[chosen] - s.first[chosen] + WINDOW
-                place = (s.first[chosen] + s.shift[chosen]).astype(np.uint32)
-                start = _groups(len(bucket), bucket)
-                for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
-                    part, n = chosen[a:b], size[a:b]
-                    text = s.text[np.repeat(s.first[part] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    who, at = np.unique(s.doc[part], return_inverse=True)
-                    parts = _pack(ids[who], tids[who]), _pack(at.astype(np.uint32), place[a:b], n.astype(np.uint8)), zstandard.ZstdCompressor(level=3).compress(text.tobytes())
-                    data = b"".join(len(x).to_bytes(4, "little") + x for x in parts)
-                    yield _sent(int(bucket[a]), [pa.array([ENTRIES], pa.int8()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())])
-
-    return windows
-
-
-def _handed_on(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """(hash, place, id, tid) of all windows in a row of stretches, some at a time."""
-    raws, at = [], 0
-    while at < len(data):
-        end = at + 4 + int.from_bytes(data[at : at + 4], "little")
-        raws.append(data[at + 4 : end])
-        at = end
-    ids, tids = _unpack(raws[0], np.int64, np.int64)
-    who, place, n = _unpack(raws[1], np.uint32, np.uint32, np.uint8)
-    text = np.frombuffer(zstandard.ZstdDecompressor().decompress(raws[2]), np.uint8)
-    ends = np.cumsum(n.astype(np.int64))
-    up, down = _powers()
-    first = 0
-    while first < len(n):  # as many stretches as the powers reach over
-        base = ends[first] - int(n[first])
-        last = int(np.searchsorted(ends, base + FLAT, "right"))
-        part = text[base : ends[last - 1]]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
-        each = n[first:last].astype(np.int64) - WINDOW + 1
-        which = np.repeat(np.arange(first, last), each)
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
-        start = ends[which] - n[which] - base + inside
-        yield _mix((sums[start + WINDOW] - sums[start]) * down[start]), place[which].astype(np.int64) + inside, ids[who[which]], tids[who[which]]
-        first = last
-
-
-def _compare_windows(table: pa.Table) -> pa.Table:
-    """One bucket: of equal windows, those in a document that is not the smallest go."""
-    found = [w for data in table.column("data").to_pylist() for w in _handed_on(data)]
-    h, place, own, tid = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((own, h))
-    h, own, place, tid = h[order], own[order], place[order], tid[order]
-    start = _groups(len(h), h)
-    gone = own > np.repeat(own[start], np.diff(np.append(start, len(h))))
-    doc, ids, tids = _documents(own[gone], tid[gone])
-    return pa.Table.from_arrays(_by_doc(WINDOWS, doc, place[gone], ids, tids), _NAMES[1:])
+            for s in stretches([t.encode() for t in texts_of(batch.column(2))]):
+                at = np.flatnonzero(np.isin(s.doc.astype(np.int64) << np.int64(32) | s.order, key))
+                for i in range(0, len(at), SENT):
+                    some = at[i : i + SENT]
+                    place = (s.first[some] + s.shift[some]).astype(np.uint32)
+                    parts.append((s.rows(some), s.order[some].astype(np.uint32), place, ids[s.doc[some]], tids[s.doc[some]]))
+                    size += len(some)
+                    if size >= SENT:
+                        yield from send(parts)
+                        parts, size = [], 0
+        if parts:
+            yield from send(parts)
+
+    return suffixes
+
+
+def _equal_windows(rows: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(which stretches, place of the window) where a window is also in a stretch of a smaller document.
+
+    ``rows`` are in the order of their suffixes, so windows with equal bytes from the anchor on are neighbours; among those,
+    equal bytes before the anchor have equal ranks.
+    """
+    before = np.ascontiguousarray(rows[:, RIGHT_WIDTH : RIGHT_WIDTH + LEFT_WIDTH])
+    by_left, _ = suffix_order(before)
+    differ = before[by_left[1:]] != before[by_left[:-1]]
+    common = np.where(differ.any(1), differ.argmax(1), LEFT_WIDTH)  # bytes before the anchor that neighbours share
+    for p in range(LEFT + 1):
+        at = np.flatnonzero((rows[:, -1] >= p) & (rows[:, -2] >= WINDOW - p))
+        if len(at) < 2:
+            continue
+        suffix = rows[at, : WINDOW - p]
+        run = np.cumsum(np.append(False, (suffix[1:] != suffix[:-1]).any(1)))
+        many = np.bincount(run)[run] > 1
+        at, run = at[many], run[many]
+        if not len(at):
+            continue
+        rank = np.empty(len(rows), np.int64)
+        rank[by_left] = np.cumsum(np.append(0, common < p))
+        key = run.astype(np.int64) * len(rows) + rank[at]
+        order = np.argsort(key, kind="stable")
+        at = at[order]
+        gone = own[at] > _least(own[at], _groups(len(at), key[order]))
+        if gone.any():
+            yield at[gone], p
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """One bucket: sort the suffixes, settle equal stretches, then compare the windows of neighbours."""
+    kind = table.column("kind").to_numpy()
+    out = _passed_on(table, (GONE, WINDOWS))
+    add = lambda what, doc, number, ids, tids: out.append(pa.Table.from_arrays(_by_doc(what, doc, number, ids, tids), _NAMES[1:]))
+    packed = table.filter(pa.array(kind == STRETCHES))
+    if len(packed):
+        rows, (number, place), doc, ids, tids = _unpacked_bytes(packed, ROW, np.uint32, np.uint32)
+        order, start = suffix_order(rows)
+        rows, number, place, doc = rows[order], number[order], place[order], doc[order]
+        own = ids[doc]
+        gone = own > _least(own, start)
+        add(GONE, doc[gone], number[gone], ids, tids)
+        rows, place, doc, own = rows[~gone], place[~gone], doc[~gone], own[~gone]
+        key = rows[:, :KEY]
+        keys = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))) if len(rows) else np.zeros(0, np.int64)
+        if len(keys):
+            size = np.diff(np.append(keys, len(rows)))
+            several = np.repeat(np.minimum.reduceat(own, keys) != np.maximum.reduceat(own, keys), size)
+            rows, place, doc, own = rows[several], place[several], doc[several], own[several]
+            for at, p in _equal_windows(rows, own):
+                add(WINDOWS, doc[at], place[at] + rows[at, -1] - np.uint32(p), ids, tids)
+    single = table.filter(pa.array(kind == SINGLE))
+    if len(single):
+        window, (place,), doc, ids, tids = _unpacked_bytes(single, RIGHT_WIDTH, np.uint32)
+        order, start = suffix_order(window)
+        place, doc = place[order], doc[order]
+        gone = ids[doc] > _least(ids[doc], start)
+        add(WINDOWS, doc[gone], place[gone], ids, tids)
+    return pa.concat_tables([t.cast(out[0].schema) for t in out])
 
 
 def _spans(finish):
-    """Task function: rows with gone stretches and windows -> ``finish(batch, texts, removed runs)``, runs as start, end in turn."""
+    """Task function: (row, text, gone, windows) -> ``finish(row, texts, removed runs)``, runs as start, end in turn."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = [t.encode() if t else b"" for t in batch.column("__text").to_pylist()]
-            gone = [np.frombuffer(b"".join(x or ()), "<u4").astype(np.int64) for x in batch.column("__gone").to_pylist()]
-            windows = [np.frombuffer(b"".join(x or ()), "<u4").astype(np.int64) for x in batch.column("__windows").to_pylist()]
+        for batch in slices(batches, column=1):
+            texts = [t.encode() if t else b"" for t in texts_of(batch.column(1))]
+            gone, windows = ([np.frombuffer(b"".join(x or ()), "<u4").astype(np.int64) for x in batch.column(k).to_pylist()] for k in (2, 3))
             starts, ends = [[w] for w in windows], [[w + WINDOW] for w in windows]
-            whole = [i for i, g in enumerate(gone) if len(g)]
-            key = np.sort(np.concatenate([np.int64(k) << np.int64(32) | gone[i] for k, i in enumerate(whole)])) if whole else None
-            for s in stretches([texts[i] for i in whole]):
-                chosen = np.flatnonzero(np.isin(s.doc.astype(np.int64) << np.int64(32) | s.order, key))
-                parts = _groups(len(chosen), s.doc[chosen]) if len(chosen) else ()
-                for c in np.split(chosen, parts[1:]) if len(chosen) else ():
-                    i = whole[s.doc[c[0]]]
-                    starts[i].append(s.first[c] + s.shift[c])
-                    ends[i].append(s.last[c] + WINDOW + s.shift[c])
+            some = [i for i, (g, w) in enumerate(zip(gone, windows, strict=True)) if len(g) or len(w)]
+            key = np.sort(np.concatenate([np.int64(k) << np.int64(32) | gone[i] for k, i in enumerate(some)])) if some else None
+            single = np.sort(np.concatenate([np.int64(k) << np.int64(32) | windows[i] for k, i in enumerate(some)])) if some else None
+            for s in stretches([texts[i] for i in some]):
+                lead, of = s.leaders(), s.doc.astype(np.int64) << np.int64(32)
+                chosen = np.flatnonzero(np.isin(of | s.order, key)[lead])
+                parts = [(s.doc[chosen], s.first[chosen] + s.shift[chosen], s.last[chosen] + WINDOW + s.shift[chosen])]
+                again = np.flatnonzero(lead != np.arange(len(s)))
+                if len(again):  # windows of a stretch go in its repeats, too
+                    begin = s.first[lead[again]] + s.shift[lead[again]]
+                    lo = np.searchsorted(single, of[again] | begin)
+                    n = np.searchsorted(single, of[again] | begin + s.last[again] - s.first[again], "right") - lo
+                    which = np.repeat(np.arange(len(again)), n)
+                    found = single[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] & np.int64(0xFFFFFFFF)
+                    place = found - begin[which] + (s.first + s.shift)[again[which]]
+                    parts.append((s.doc[again[which]], place, place + WINDOW))
+                for doc, a, b in parts:
+                    order = np.argsort(doc, kind="stable")
+                    for c in np.split(order, _groups(len(order), doc[order])[1:]) if len(order) else ():
+                        starts[some[doc[c[0]]]].append(a[c])
+                        ends[some[doc[c[0]]]].append(b[c])
             found = [_union(np.concatenate(a), np.concatenate(b)) for a, b in zip(starts, ends, strict=True)]
-            yield finish(batch, texts, found)
+            yield finish(batch.column(0), texts, found)
 
     return spans
 
@@ -407,51 +557,47 @@ def _union(start: np.ndarray, end: np.ndarray) -> list[int]:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the text and what of it goes, as ``_spans`` takes it.
+    """(row, text, gone, windows): ``docs``, each row as a struct, with the text and what of it goes, as ``_spans`` takes it.
 
     Ids are integers. Texts are taken as UTF-8 bytes; null is empty, and texts below WINDOW bytes lose nothing.
     Rows without id neither lose anything nor count as smaller. Rows with equal ids do not count against each
     other.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tid": F.xxhash64(text_col), "__text": F.col(text_col)})
-    known = keyed.where("__id is not null")
-    sized = known.where(f"octet_length(__text) >= {WINDOW}").select("__id", "__tid", "__text")
-    size = sized.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    keyed = small_batches(docs).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
+    known = keyed.where("id is not null")
+    sized = known.where(f"octet_length(text) >= {WINDOW}").select("id", "tid", "text")
+    size = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
-    sent = sized.mapInArrow(_anchors(_splitters(sized, size, buckets)), _SENT)
-    back = stash(sent.groupBy("bucket").applyInArrow(_compare, _BACK), "stretches")
+    sent = sized.mapInArrow(_anchors(buckets), _SENT).repartition(buckets, "bucket")
+    opened = stash(sent.groupBy("bucket").applyInArrow(_shared, _BACK), "open")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     # one exchange of the texts serves both joins
-    dealt = known.repartition(parts, "__id", "__tid")
-    by_doc = lambda kind, name: back.where(F.col("kind") == kind).groupBy(F.col("id").alias("__id"), F.col("tid").alias("__tid")).agg(F.collect_list("data").alias(name))
-    opened = dealt.join(by_doc(OPEN, "__open"), ["__id", "__tid"]).select("__id", "__tid", "__text", "__open")
-    handed = opened.mapInArrow(_windows(buckets), _SENT)
-    windows = handed.groupBy("bucket").applyInArrow(_compare_windows, _BACK)
-    windows = windows.groupBy(F.col("id").alias("__id"), F.col("tid").alias("__tid")).agg(F.collect_list("data").alias("__windows"))
-    joined = dealt.join(by_doc(GONE, "__gone"), ["__id", "__tid"], "left").join(windows, ["__id", "__tid"], "left")
-    names = [*docs.columns, "__text", "__gone", "__windows"]
-    missing = {k: F.lit(None).cast("array<binary>") for k in names[-2:]}
-    return joined.select(names).unionByName(keyed.where("__id is null").withColumns(missing).select(names))
-
-
-def _splitters(sized: DataFrame, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that cut the anchors into buckets of about equal size, from a bounded sample. They move work, not results."""
-    every = max(1, size // SAMPLED_BYTES)
+    dealt = known.repartition(parts, "id", "tid")
+    by_doc = lambda df, kind, name: df.where(F.col("kind") == kind).groupBy("id", "tid").agg(F.collect_list("data").alias(name))
+    several = dealt.select("id", "tid", "text").join(by_doc(opened, OPEN, "open"), ["id", "tid"]).select("id", "tid", "text", "open")
+    handed = several.mapInArrow(_suffixes(_splitters(sized, size, buckets), buckets), _SENT).repartition(buckets, "bucket")
+    back = stash(handed.groupBy("bucket").applyInArrow(_compare, _BACK), "back")
+    joined = dealt.join(by_doc(back, GONE, "gone"), ["id", "tid"], "left").join(by_doc(back, WINDOWS, "windows"), ["id", "tid"], "left")
+    missing = {k: F.lit(None).cast("array<binary>") for k in ("gone", "windows")}
+    names = ["row", "text", "gone", "windows"]
+    return joined.select(names).unionByName(keyed.where("id is null").withColumns(missing).select(names))
+
+
+def _splitters(sized: DataFrame, size: int, buckets: int) -> np.ndarray:
+    """Stretches that cut all of them into buckets of about equal size, from a bounded sample. They move work, not results."""
     share = min(1.0, SAMPLED_KEYS * 8 / max(1, min(size, SAMPLED_BYTES)))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in stretches([t.encode() for t in batch.column(0).to_pylist()]):
-                step = slice(0, None, max(1, round(1 / share)))
-                yield pa.RecordBatch.from_arrays([pa.array(a[step].view(np.int64)) for a in (s.leading(), s.rest())], ["lead", "rest"])
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column=0):
+            for s in stretches([t.encode() for t in texts_of(batch.column(0))]):
+                at = np.arange(0, len(s), max(1, round(1 / share)))
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in s.rows(at)], pa.binary())], ["row"])
 
-    rows = sized.where(F.pmod(F.xxhash64("__id"), F.lit(every)) == 0).select("__text").mapInArrow(keys, "lead long, rest long").collect()
-    lead, rest = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in (0, 1))
-    order = np.lexsort((rest, lead))
-    at = order[np.linspace(0, len(order), buckets + 1).astype(np.int64)[1:-1]] if len(order) else order[:0]
-    key = sorted({(int(a), int(b)) for a, b in zip(lead[at], rest[at], strict=True)})
-    return np.array([a for a, _ in key], np.uint64), np.array([b for _, b in key], np.uint64)
+    some = sized.select("text").sample(min(1.0, SAMPLED_BYTES / max(1, size)), 11).mapInArrow(drawn, "row binary").collect()
+    rows = sorted(bytes(r.row) for r in some)
+    at = np.linspace(0, len(rows), buckets + 1).astype(np.int64)[1:-1] if rows else ()
+    return np.frombuffer(b"".join(sorted({rows[i] for i in at})), np.uint8).reshape(-1, ROW)
 
 
 def kept_bytes(raw: bytes, removed: list[int]) -> bytes:
@@ -463,42 +609,49 @@ def kept_bytes(raw: bytes, removed: list[int]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def _finished(docs: DataFrame, id_col: str, text_col: str, finish, schema: StructType) -> DataFrame:
+    """``finish(texts, removed runs)`` gives the columns of ``schema`` for each row of ``docs``; (row, those columns)."""
+    names = ["row", *schema.names]
+
+    def finished(row: pa.Array, texts: list[bytes], removed: list[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([row, *finish(texts, removed)], names)
+
+    marked = _marked(docs, id_col, text_col)
+    return marked.mapInArrow(_spans(finished), StructType([marked.schema["row"], *schema.fields]))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``removed``: the runs of bytes, start and end in turn, that repeat a smaller document.
 
-    Ids are integers; null texts are empty; rows without id lose nothing. A column named ``removed`` is replaced.
+    Ids are integers; null texts are empty; rows without id lose nothing. Repeated rows, and rows that share an id, do
+    not count against each other. A column named ``removed`` is replaced, others may have any name. An empty table
+    gives no rows.
     """
     docs = docs.drop("removed")
-    names = docs.columns
-
-    def finish(batch: pa.RecordBatch, texts: list[bytes], removed: list[list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(removed, pa.list_(pa.int64()))], [*names, "removed"])
-
-    return _marked(docs, id_col, text_col).mapInArrow(_spans(finish), StructType([*docs.schema.fields]).add("removed", ArrayType(LongType())))
+    found = _finished(docs, id_col, text_col, lambda _, removed: [pa.array(removed, pa.list_(pa.int64()))], StructType().add("removed", ArrayType(LongType())))
+    return found.select("row.*", "removed")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``; the cases are those of :func:`repeated_spans`."""
 
-    def finish(batch: pa.RecordBatch, texts: list[bytes], removed: list[list[int]]) -> pa.RecordBatch:
+    def finish(texts: list[bytes], removed: list[list[int]]) -> list[pa.Array]:
         kept = [kept_bytes(t, r) for t, r in zip(texts, removed, strict=True)]
         size, left = (np.array([len(t) for t in x], np.int64) for x in (texts, kept))
         spans = np.array([len(r) // 2 for r in removed], np.int64)
-        sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(size), pa.array(size - left), pa.array(spans), sha], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return [pa.array(size), pa.array(size - left), pa.array(spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = _marked(docs.select(id_col, text_col), id_col, text_col)
-    return found.mapInArrow(_spans(finish), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    found = _finished(docs.select(id_col, text_col), id_col, text_col, finish, schema)
+    return found.select(F.col("row").getField(id_col).alias(id_col), *schema.names)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes taken out of the text; a character cut in two goes as a whole. Columns stay."""
-    names = docs.columns
 
-    def finish(batch: pa.RecordBatch, texts: list[bytes], removed: list[list[int]]) -> pa.RecordBatch:
-        new = [kept_bytes(t, r).decode(errors="ignore") for t, r in zip(texts, removed, strict=True)]
-        columns = [pa.array(new, pa.string(), mask=batch.column(k).is_null().to_numpy(zero_copy_only=False)) if k == text_col else batch.column(k) for k in names]
-        return pa.RecordBatch.from_arrays(columns, names)
+    def finish(texts: list[bytes], removed: list[list[int]]) -> list[pa.Array]:
+        return [pa.array([kept_bytes(t, r).decode(errors="ignore") for t, r in zip(texts, removed, strict=True)], pa.string())]
 
-    return _marked(docs, id_col, text_col).mapInArrow(_spans(finish), docs.schema)
+    found = _finished(docs, id_col, text_col, finish, StructType().add("left", "string"))
+    kept = lambda k: F.when(F.col("row").getField(k).isNotNull(), F.col("left")) if k == text_col else F.col("row").getField(k)
+    return found.select(*(kept(k).alias(k) for k in docs.columns))
