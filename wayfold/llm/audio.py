@@ -9,6 +9,7 @@ a vote for the offset and every wrong one against it, and a low error rate align
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,19 +50,25 @@ _FILTERS = filters()
 SILENCE = int("11" * 16, 2)
 
 
+@lru_cache
+def _fold(rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The window, the lines of the spectrum that count, and which pitch class each of them belongs to."""
+    freq = np.arange(FRAME // 2 + 1) * rate / FRAME
+    use = np.flatnonzero((freq >= LOWEST) & (freq < HIGHEST))
+    pitch = np.round(12 * np.log2(freq[use] / 440.0)).astype(int) % CLASSES
+    fold = np.zeros((len(use), CLASSES))
+    fold[np.arange(len(use)), pitch] = 1
+    return np.hanning(FRAME).astype(np.float32), use, fold
+
+
 def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     """(frames, 12): the power of each pitch class, each frame scaled to one; silent frames are all zero."""
+    window, use, fold = _fold(rate)
     n = 1 + (len(samples) - FRAME) // HOP if len(samples) >= FRAME else 0
     if n <= 0:
         return np.zeros((0, CLASSES))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP][:n] * np.hanning(FRAME).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    freq = np.arange(power.shape[1]) * rate / FRAME
-    use = np.flatnonzero((freq >= LOWEST) & (freq < HIGHEST))
-    pitch = np.round(12 * np.log2(freq[use] / 440.0)).astype(int) % CLASSES
-    fold = np.zeros((len(use), CLASSES))
-    fold[np.arange(len(use)), pitch] = 1
-    out = power[:, use] @ fold
+    lines = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP][:n] * window, axis=1)[:, use]
+    out = (lines.real.astype(np.float64) ** 2 + lines.imag.astype(np.float64) ** 2) @ fold
     size = out.sum(1, keepdims=True)
     return np.where(size > 1e-9, out / np.maximum(size, 1e-9), 0.0)
 

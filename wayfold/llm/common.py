@@ -57,16 +57,16 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stash(df: DataFrame, tag: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
+def stash(df: DataFrame, tag: str, rows: int | None = None, each: int = 25_000) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
     Where the number of ``rows`` is known, tasks take about ``each`` of them, so that a small table isn't written
-    as one tiny file per shuffle partition; at least two tasks a core remain.
+    as one tiny file per shuffle partition.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // each)))
+        df = df.coalesce(max(1, -(-rows // each)))
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.stashed = path

@@ -2,13 +2,15 @@
 
 A legacy archive opens with a ``filedesc://`` record that declares its version; version 1 headers have five
 fields and version 2 headers ten, and the last is the length of what follows. Each record becomes a WARC record
-with an identifier, an ISO timestamp, a type and digests made from it. Archives are written through Spark's text
-sink, whose line end closes each record, so they go to any store that Spark writes to and are committed by task.
+with an identifier, an ISO timestamp, a type and digests made from it, compressed as a gzip member of its own. Archives
+are written through Spark's text sink, so they go to any store that Spark writes to and are committed by task; the
+sink's line end is the zero byte that ends each member. A file holds about FILE_BYTES and is read record by record.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import fresh_path, stash
+from wayfold.llm.common import fresh_path, slices, small_batches, stash
 
 #: Header fields of an archive of either version, as the format has them.
 FIELDS = {
@@ -27,8 +29,10 @@ FIELDS = {
 }
 #: Payloads below this size are always stored.
 LEAST_REVISIT = 100
-#: Records in a file at most.
-FILE_RECORDS = 2000
+#: Compressed bytes from which a file is full. Bytes of a record that go into one gzip member, whose length then ends in a zero byte.
+FILE_BYTES, MEMBER = 32 << 20, (1 << 24) - 1
+#: Bytes of payloads that leave a reading task at once.
+READ_BYTES = 4 << 20
 _END = b"\r\n\r\n"
 
 
@@ -149,15 +153,54 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
+def gzipped(record: bytes) -> bytes:
+    """A record as a gzip member; a very long one as several. The last byte is zero."""
+    out = []
+    for i in range(0, max(1, len(record)), MEMBER):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += [packer.compress(record[i : i + MEMBER]), packer.flush()]
+    return b"".join(out)
+
+
+def members(content: bytes, step: int = 8192) -> Iterator[bytes]:
+    """The gzip members of a file, one unpacked at a time. Raises ValueError if the last one is cut off."""
+    raw, at = memoryview(content), 0
+    while at < len(raw):
+        unpacker, out = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            part = raw[at : at + step]
+            if not len(part):
+                raise ValueError("the last member is cut off")
+            out.append(unpacker.decompress(part))
+            at += len(part)
+        at -= len(unpacker.unused_data)
+        yield b"".join(out)
+
+
+def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of each record of a file whose records are gzip members."""
+    held = b""
+    for member in members(content):
+        held += member
+        end = held.find(_END)
+        size = re.search(rb"(?i)\r\ncontent-length: *(\d+)", held[: end + 2]) if end >= 0 else None
+        if size and len(held) >= end + 4 + int(size[1]) + 4:
+            yield from parse_warc(held)
+            held = b""
+    if held:
+        raise ValueError("the last record is cut off")
+
+
 def record_id(page: object) -> str:
     """The identifier of a page's record, which revisits of it name, too."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page))}>"
 
 
 def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, url, payload, refers_to) -> records, each without the last byte, which the sink's line end adds."""
-    for batch in batches:
-        out = []
+    """(id, url, payload, refers_to) -> (record, volume), each record without the last byte, which the sink's line end adds."""
+    written = 0
+    for batch in slices(batches, column=2):
+        out, volume = [], []
         for page, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             payload = (payload or "").encode()
             http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -166,12 +209,15 @@ def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             legacy = arc_header(version, "pages.arc", date) + arc_record(version, ArcRecord(url or "-", "0.0.0.0", date, "text/html", http + payload))
             _, found = parse_arc(legacy)
             more = {k: str(v) for k, v in (("X-Page-Id", page), ("X-Refers-To-Page-Id", refers)) if v is not None}
-            out.append(to_warc(found, None if refers is None else record_id(refers), more, None if page is None else record_id(page))[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            record = gzipped(to_warc(found, None if refers is None else record_id(refers), more, None if page is None else record_id(page)))
+            out.append(record[:-1])
+            volume.append(written // FILE_BYTES)
+            written += len(record)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(volume, pa.int32())], ["value", "volume"])
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write one record per row of ``pages`` to gzip-compressed WARC files below ``path``.
+    """Write one record per row of ``pages`` to WARC files below ``path``, each record a gzip member.
 
     Of equal payloads of LEAST_REVISIT bytes or more, the row with the smallest id is the response and the others
     revisit it; rows that share that id are responses, too. Null pages have an empty payload, null addresses are
@@ -183,9 +229,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     # written tables on both sides, so that a digest of very many pages can be split in the join
     repeated = stash(large.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated")
     revisits = stash(large.join(repeated, "digest").where("id <> first").select("id", "digest", "first").distinct(), "revisits")
-    records = keyed.join(revisits, ["id", "digest"], "left").select("id", "url", "html", "first")
-    found = records.mapInArrow(_converted, "value binary").select(F.col("value").cast("string"))
-    found.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    joined = keyed.join(revisits, ["id", "digest"], "left").select("id", "url", "html", "first")
+    found = small_batches(joined).mapInArrow(_converted, "value binary, volume int").select(F.col("value").cast("string"), "volume")
+    found.write.partitionBy("volume").option("compression", "none").option("lineSep", "\0").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -194,33 +240,46 @@ def read_archives(spark, path: str) -> DataFrame:
     Lengths and digests of responses are computed anew; a digest that differs from the header's is an error.
     """
 
+    names = ["id", "target", "date", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 3 + [pa.binary()]
+
+    def packed(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "target", "date", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         for batch in batches:
             for content in filter(None, batch.column(0).to_pylist()):
-                rows = [[] for _ in names]
-                for headers, block in parse_warc(zlib.decompress(content, wbits=47)):
+                rows, size = [[] for _ in names], 0
+                for headers, block in records(content):
                     if headers["warc-type"] not in ("response", "revisit"):
                         continue
                     head, payload = split_http(block)
                     digest = headers["warc-payload-digest"].removeprefix("sha256:")
-                    size = len(payload)
+                    length = len(payload)
                     if headers["warc-type"] == "revisit":
-                        size = int(head.lower().split(b"content-length:")[1].split(b"\r\n")[0])
+                        length = int(head.lower().split(b"content-length:")[1].split(b"\r\n")[0])
                     elif hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"the payload of {headers['warc-record-id']} isn't what its digest says")
-                    values = headers.get("x-page-id"), headers["warc-target-uri"], headers["warc-date"], size, digest, headers["warc-type"], headers.get("x-refers-to-page-id"), payload
+                    values = headers.get("x-page-id"), headers["warc-target-uri"], headers["warc-date"], length, digest, headers["warc-type"], headers.get("x-refers-to-page-id"), payload
                     for column, v in zip(rows, values, strict=True):
                         column.append(v)
-                kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 3 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+                    size += len(payload)
+                    if size >= READ_BYTES:
+                        yield packed(rows)
+                        rows, size = [[] for _ in names], 0
+                yield packed(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(parsed, "id string, target string, date string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
+    return small_batches(files).mapInArrow(parsed, "id string, target string, date string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Archive ``pages`` and read the archives back: (id, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Archive ``pages`` and read the archives back: (id, payload_bytes, payload_digest, record_type, refers_to).
+
+    Null pages have an empty payload; null addresses are ``-``; pages without id are responses. Repeated rows, and rows
+    that share an id, each have a record of their own. Very long pages go as several gzip members. An empty table gives
+    no rows; other columns, whatever their names, are not read.
+    """
     path = fresh_path(pages.sparkSession, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
     kind = pages.schema[id_col].dataType
