@@ -498,8 +498,9 @@ def _compare(table: pa.Table) -> pa.Table:
             size = np.diff(np.append(keys, len(rows)))
             several = np.repeat(np.minimum.reduceat(own, keys) != np.maximum.reduceat(own, keys), size)
             rows, place, doc, own = rows[several], place[several], doc[several], own[several]
-            for at, p in _equal_windows(rows, own):
-                add(WINDOWS, doc[at], place[at] + rows[at, -1] - np.uint32(p), ids, tids)
+            found = [(doc[at], place[at] + rows[at, -1] - np.uint32(p)) for at, p in _equal_windows(rows, own)]
+            if found:
+                add(WINDOWS, *(np.concatenate(x) for x in zip(*found, strict=True)), ids, tids)
     single = table.filter(pa.array(kind == SINGLE))
     if len(single):
         window, (place,), doc, ids, tids = _unpacked_bytes(single, RIGHT_WIDTH, np.uint32)
