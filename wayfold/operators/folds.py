@@ -1,21 +1,57 @@
 """Ordered folds over each run: state that the next row needs, where no window expression can hold it.
 
-A fold is a class with ``step(row) -> dict | None``; the same class runs in batch, one group per run sorted by
-time, and in a stream, with its state kept between batches.
+A fold is a class with ``step(row) -> dict | None``; the same class runs in batch, over rows sorted by run and time,
+and in a stream, with its state kept between batches. Steps are plain arithmetic on floats: for single rows that is
+some fifty times faster than arrays of three or four.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-
-from wayfold.functions.geometry import np_exp, np_inverse, np_multiply, np_rotate, np_rpy
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 GRAVITY = 9.80665
+#: Rows that a fold gives before they leave the task.
+OUT = 10_000
+Quaternion = tuple[float, float, float, float]
+Vector = tuple[float, float, float]
+
+
+def product(a: Quaternion, b: Quaternion) -> Quaternion:
+    ax, ay, az, aw = a
+    bx, by, bz, bw = b
+    return aw * bx + ax * bw + ay * bz - az * by, aw * by + ay * bw + az * bx - ax * bz, aw * bz + az * bw + ax * by - ay * bx, aw * bw - ax * bx - ay * by - az * bz
+
+
+def turned(q: Quaternion, v: Vector) -> Vector:
+    """``v`` after the rotation ``q``."""
+    x, y, z, w = q
+    cx, cy, cz = 2 * (y * v[2] - z * v[1]), 2 * (z * v[0] - x * v[2]), 2 * (x * v[1] - y * v[0])
+    return v[0] + w * cx + y * cz - z * cy, v[1] + w * cy + z * cx - x * cz, v[2] + w * cz + x * cy - y * cx
+
+
+def rotation(x: float, y: float, z: float) -> Quaternion:
+    """Of a rotation vector."""
+    angle = math.sqrt(x * x + y * y + z * z)
+    k = math.sin(angle / 2) / angle if angle > 1e-10 else 0.5
+    return x * k, y * k, z * k, math.cos(angle / 2)
+
+
+class Stationary:
+    """The pose that it began with, however the sensors move: the floor that every system has to beat."""
+
+    columns = "stamp_ns long, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
+
+    def __init__(self, pose: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)):
+        self.pose = pose
+
+    def step(self, row) -> dict:
+        return {"stamp_ns": row["stamp_ns"], **dict(zip(("tx", "ty", "tz", "qx", "qy", "qz", "qw"), self.pose, strict=True))}
 
 
 class DeadReckoning:
@@ -24,47 +60,56 @@ class DeadReckoning:
     columns = "stamp_ns long, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
 
     def __init__(self):
-        self.last, self.p, self.v, self.q = None, np.zeros(3), np.zeros(3), np.array([0.0, 0, 0, 1])
+        self.last, self.p, self.v, self.q = None, (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 1.0)
 
     def step(self, row) -> dict:
         dt = 0.0 if self.last is None else (row["stamp_ns"] - self.last) * 1e-9
         self.last = row["stamp_ns"]
         if dt > 0:  # else the clock moves on, but nothing is integrated
-            a = np_rotate(self.q, np.array([row["ax"], row["ay"], row["az"]])) + np.array([0, 0, -GRAVITY])
-            self.p, self.v = self.p + self.v * dt + a * (dt * dt / 2), self.v + a * dt
-            q = np_multiply(self.q, np_exp(np.array([row["gx"], row["gy"], row["gz"]]) * dt))
-            self.q = q / np.linalg.norm(q)
-        names = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
-        return {"stamp_ns": row["stamp_ns"], **dict(zip(names, [*self.p, *self.q], strict=True))}
+            x, y, z = turned(self.q, (row["ax"], row["ay"], row["az"]))
+            a, half = (x, y, z - GRAVITY), dt * dt / 2
+            self.p = tuple(p + v * dt + f * half for p, v, f in zip(self.p, self.v, a, strict=True))
+            self.v = tuple(v + f * dt for v, f in zip(self.v, a, strict=True))
+            q = product(self.q, rotation(row["gx"] * dt, row["gy"] * dt, row["gz"] * dt))
+            size = math.sqrt(sum(c * c for c in q))
+            self.q = tuple(c / size for c in q)
+        return {"stamp_ns": row["stamp_ns"], "tx": self.p[0], "ty": self.p[1], "tz": self.p[2], "qx": self.q[0], "qy": self.q[1], "qz": self.q[2], "qw": self.q[3]}
 
 
 class Tilt:
-    """Roll and pitch by a complementary filter: gyro propagation, corrected by gravity where the force is near it."""
+    """Roll and pitch by a complementary filter over the direction of up, as the body sees it.
+
+    Between samples that direction turns against the gyro. A specific force about as strong as gravity shows it, too: the first such
+    force is taken whole, later ones by the share ``gain * dt``, along the arc from the one direction to the other.
+    """
 
     columns = "stamp_ns long, roll double, pitch double, initialised boolean"
 
-    def __init__(self, gain: float = 0.5, tolerance: float = 0.5):
-        self.gain, self.tolerance = gain, tolerance
-        self.last, self.q, self.ready = None, np.array([0.0, 0, 0, 1]), False
+    def __init__(self, gain: float = 0.5, tolerance: float = 0.5, longest: float = 0.1):
+        self.gain, self.tolerance, self.longest = gain, tolerance, longest
+        self.last, self.up, self.ready = None, (0.0, 0.0, 1.0), False
 
     def step(self, row) -> dict:
-        dt = 0.0 if self.last is None else min(max((row["stamp_ns"] - self.last) * 1e-9, 0.0), 0.1)
+        dt = 0.0 if self.last is None else min(max((row["stamp_ns"] - self.last) * 1e-9, 0.0), self.longest)
         self.last = row["stamp_ns"]
-        if dt > 0:
-            self.q = np_multiply(self.q, np_exp(np.array([row["gx"], row["gy"], row["gz"]]) * dt))
-        force = np.array([row["ax"], row["ay"], row["az"]])
-        size = float(np.linalg.norm(force))
+        self.up = turned(rotation(-row["gx"] * dt, -row["gy"] * dt, -row["gz"] * dt), self.up)
+        force = row["ax"], row["ay"], row["az"]
+        size = math.sqrt(sum(f * f for f in force))
         if abs(size - GRAVITY) <= self.tolerance:
-            up = force / size
-            expected = np_rotate(np_inverse(self.q), np.array([0.0, 0, 1]))
-            axis = np.cross(up, expected)
-            sine = float(np.linalg.norm(axis))
-            if sine >= 1e-12:
-                whole = math.atan2(sine, float(up @ expected)) / sine
-                self.q = np_multiply(self.q, np_exp(axis * (min(self.gain * dt, 1.0) if self.ready else whole)))
+            self.up = along(self.up, tuple(f / size for f in force), min(self.gain * dt, 1.0) if self.ready else 1.0)
             self.ready = True
-        roll, pitch, _ = np_rpy(self.q) if self.ready else (0.0, 0.0, 0.0)
-        return {"stamp_ns": row["stamp_ns"], "roll": roll, "pitch": pitch, "initialised": self.ready}
+        x, y, z = self.up if self.ready else (0.0, 0.0, 1.0)
+        return {"stamp_ns": row["stamp_ns"], "roll": math.atan2(y, z), "pitch": math.asin(max(-1.0, min(1.0, -x))), "initialised": self.ready}
+
+
+def along(a: Vector, b: Vector, share: float) -> Vector:
+    """The unit vector that lies ``share`` of the way from ``a`` to ``b`` on the arc between them; ``a`` if there is no such arc."""
+    axis = a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+    sine = math.sqrt(sum(c * c for c in axis))
+    if sine < 1e-12:
+        return a
+    k = share * math.atan2(sine, sum(p * q for p, q in zip(a, b, strict=True))) / sine
+    return turned(rotation(axis[0] * k, axis[1] * k, axis[2] * k), a)
 
 
 class Keyframes:
@@ -85,6 +130,30 @@ class Keyframes:
         return {"stamp_ns": row["stamp_ns"], "x": pose[0], "y": pose[1], "theta": pose[2]}
 
 
+class HandOver:
+    """Numbers the submaps of a run by the way travelled (``moved`` since the row before).
+
+    Beyond ``extent`` a new submap begins; the one before it is still written to, and named as ``also``, until
+    ``overlap`` further rows that are fused (``fused``) have gone into both. While that lasts no other one begins.
+    """
+
+    columns = "stamp_ns long, seq long, submap int, also int, travelled double"
+
+    def __init__(self, extent: float = 20.0, overlap: int = 40):
+        self.extent, self.overlap = extent, overlap
+        self.submap, self.travelled, self.left = 0, 0.0, 0
+
+    def step(self, row) -> dict:
+        self.travelled += row["moved"]
+        out = {"stamp_ns": row["stamp_ns"], "seq": row["seq"], "submap": self.submap, "also": self.submap - 1 if self.left else None, "travelled": self.travelled}
+        if row["fused"]:
+            if self.left:
+                self.left -= 1
+            elif self.travelled > self.extent:
+                self.submap, self.travelled, self.left = self.submap + 1, 0.0, self.overlap
+        return out
+
+
 class Segments:
     """Numbers stretches of sensor time; one begins with its first row and lasts a fixed time."""
 
@@ -100,15 +169,31 @@ class Segments:
 
 
 def folded(df: DataFrame, make: Callable[[], object], key: str, order: Sequence[str]) -> DataFrame:
-    """(key, what the fold gives): one ordered fold per key; runs go in parallel, the rows of a run in order."""
-    columns = make().columns
-    names = [c.strip().split()[0] for c in columns.split(",")]
-
-    def run(k, rows: pd.DataFrame) -> pd.DataFrame:
-        fold = make()
-        out = [x for r in rows.sort_values(list(order), kind="stable").to_dict("records") if (x := fold.step(r)) is not None]
-        made = pd.DataFrame(out, columns=names)
-        made.insert(0, key, k[0])
-        return made
-
-    return df.groupBy(key).applyInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {columns}")
+    """(key, what the fold gives): one ordered fold per key; runs go in parallel, the rows of a run in order.
+
+    Rows are sorted within partitions and stream through the task, so a run of any length needs the fold's state only.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, {make().columns}"
+    names = [key, *(c.strip().split()[0] for c in make().columns.split(","))]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def packed(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in zip(names, arrow, strict=True)], names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, state, out = object(), None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row[key] != run:
+                    run, state = row[key], make()
+                if (made := state.step(row)) is not None:
+                    made[key] = run
+                    out.append(made)
+                    if len(out) >= OUT:
+                        yield packed(out)
+                        out = []
+        if out:
+            yield packed(out)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, schema)

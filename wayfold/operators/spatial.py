@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.functions.geometry import rotate, transform_point, vector
+
 
 def beam_points(scans: DataFrame, ranges: str, angle_min: Column, increment: Column, range_min: Column, range_max: Column, keep: Sequence[str]) -> DataFrame:
     """(keep, beam, r, x, y) for each usable beam: finite and within the limits, which belong to it."""
@@ -17,10 +19,13 @@ def beam_points(scans: DataFrame, ranges: str, angle_min: Column, increment: Col
     return beams.where(fine).select(*keep, "beam", r.alias("r"), (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
 
 
-def stride_for(depth: Column, fx: Column, spacing: float, base: int, most: int = 8) -> Column:
-    """The largest base * 2**j, j up to ``most``, that is at most max(spacing * fx / depth, base)."""
-    limit = F.greatest(F.lit(spacing) * fx / depth, F.lit(float(base)))
-    return F.greatest(*[F.when(limit >= base * 2**j, base * 2**j).otherwise(base) for j in range(most + 1)])
+def stride_for(depth: Column, fx: Column, spacing: float, base: int) -> Column:
+    """The largest base * 2**j that is at most max(spacing * fx / depth, base)."""
+    times = F.greatest(F.lit(spacing) * fx / depth / base, F.lit(1.0))
+    near = F.pow(F.lit(2.0), F.floor(F.log2(times)))
+    # the logarithm may be a rounding off at whole powers
+    power = F.when(near > times, near / 2).when(2 * near <= times, 2 * near).otherwise(near)
+    return (base * power).cast("long")
 
 
 def back_project(pixels: DataFrame, u: str, v: str, z: str, k: dict[str, float], near: float, far: float, spacing: float, base: int) -> DataFrame:
@@ -73,6 +78,53 @@ def ray_circle(ox: Column, oy: Column, dx: Column, dy: Column, cx: Column, cy: C
     return F.when(disc < 0, miss).when(-b - root > 0, -b - root).when(-b + root > 0, -b + root).otherwise(miss)
 
 
+def ray_box(ox: Column, oy: Column, dx: Column, dy: Column, x0: float, x1: float, y0: float, y1: float) -> Column:
+    """Distance along a unit ray from inside a box to its wall; infinite along an axis that the ray runs parallel to."""
+    far = lambda o, d, lo, hi: F.when(d > 0, (F.lit(hi) - o) / d).when(d < 0, (F.lit(lo) - o) / d).otherwise(float("inf"))
+    return F.least(far(ox, dx, x0, x1), far(oy, dy, y0, y1))
+
+
+def lifted(points: DataFrame, extrinsic: Column, tilt: Column, clearance: float | None = None, sensor_z: Column | None = None) -> DataFrame:
+    """Sensor points (x, y, z) in the levelled base frame, as px, py, pz: the extrinsic pose, then the tilt rotation (null: not known yet).
+
+    With a ``clearance``, points below it go, as hits of the floor, where the tilt is known and the sensor is more than
+    twice as high; without one all stay.
+    """
+    base = transform_point(extrinsic, vector(F.col("x"), F.col("y"), F.col("z")))
+    moved = points.withColumns({"__tilt": tilt, "__base": base})
+    level = F.when(F.col("__tilt").isNotNull(), rotate(F.col("__tilt"), F.col("__base"))).otherwise(F.col("__base"))
+    out = moved.withColumn("__p", level).withColumns({f"p{a}": F.col(f"__p.{a}") for a in "xyz"})
+    if clearance is not None:
+        out = out.where(~(F.col("__tilt").isNotNull() & (sensor_z > 2 * clearance) & (F.col("pz") < clearance)))
+    return out.drop("__tilt", "__base", "__p")
+
+
+def in_bands(points: DataFrame, z: str, planes: Sequence[float], tolerance: float) -> DataFrame:
+    """Points whose height is at most ``tolerance`` from one of the planes that a laser sweeps."""
+    return points.where(F.exists(F.array(*[F.lit(float(p)) for p in planes]), lambda p: F.abs(F.col(z) - p) <= tolerance))
+
+
+def thinned(points: DataFrame, key: Sequence[str], order: Sequence[str], most: int, up: bool = False) -> DataFrame:
+    """Every k-th point of each key, from the first: k is n // most, or n / most rounded up, and 1 at least."""
+    n = F.count("*").over(Window.partitionBy(*key))
+    step = F.greatest(F.ceil(F.col("__n") / most) if up else F.floor(F.col("__n") / most), F.lit(1).cast("long"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
+    return points.withColumns({"__n": n, "__k": rank}).where(F.col("__k") % step == 0).drop("__n", "__k")
+
+
+def masked(pixels: DataFrame, mask: DataFrame, u: str, v: str, size: tuple[int, int], mask_size: tuple[int, int], key: Sequence[str] = ()) -> DataFrame:
+    """``pixels`` of an image of the given size without those that a mask of another size covers; ``mask`` has (key, mu, mv)."""
+    scaled = lambda c, n, m: F.least(F.floor(F.col(c) * m / n), F.lit(m - 1))
+    there = pixels.withColumns({"mu": scaled(u, size[0], mask_size[0]), "mv": scaled(v, size[1], mask_size[1])})
+    return there.join(mask.select(*key, "mu", "mv").distinct(), [*key, "mu", "mv"], "left_anti").drop("mu", "mv")
+
+
+def letterbox(width: Column, height: Column, side: int) -> tuple[Column, Column, Column]:
+    """(scale, left pad, top pad) that fit an image into a square."""
+    scale = F.least(side / width, side / height)
+    return scale, F.floor((side - F.round(width * scale)) / 2), F.floor((side - F.round(height * scale)) / 2)
+
+
 def dilated(pixels: DataFrame, key: Sequence[str], u: str, v: str, radius: int) -> DataFrame:
     """Distinct pixels within a square of the given radius around those given."""
     step = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))

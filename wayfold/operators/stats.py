@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.folds import folded
+
 
 def latency_stats(df: DataFrame, key: Sequence[str], ns: str) -> DataFrame:
     """(key, p50, p95, p99, max, mean) in microseconds; percentiles are nearest ranks."""
@@ -104,14 +107,48 @@ def trimmed(df: DataFrame, key: Sequence[str], residual: str, seq: str, trim: fl
 
 def weak_direction(h00: Column, h01: Column, h11: Column, ratio: float) -> tuple[Column, Column]:
     """Unit eigenvector of the smaller eigenvalue, where it is at most ``ratio`` of the larger; null elsewhere."""
-    half, d = (h00 + h11) / 2, F.sqrt((h00 - h11) ** 2 / 4 + h01 * h01)
-    lo, hi = half - d, half + d
-    steep, some = F.abs(h00 - lo) > F.abs(h01), F.abs(h01) > 1e-300
-    x = F.when(steep, -h01).when(some, lo - h11).otherwise(F.when(h00 <= h11, 1.0).otherwise(0.0))
-    y = F.when(steep, h00 - lo).when(some, h01).otherwise(F.when(h00 <= h11, 0.0).otherwise(1.0))
-    n = F.sqrt(x * x + y * y)
-    weak = (lo <= ratio * hi) & (n > 0)
-    return F.when(weak, x / n), F.when(weak, y / n)
+    # the strong axis stands at half the angle of (h00 - h11, 2 h01), whose length parts the eigenvalues
+    strong, apart = F.atan2(2 * h01, h00 - h11) / 2, F.hypot(h00 - h11, 2 * h01)
+    weak = h00 + h11 - apart <= ratio * (h00 + h11 + apart)
+    return F.when(weak, -F.sin(strong)), F.when(weak, F.cos(strong))
+
+
+def best_pick(df: DataFrame, key: Sequence[str], name: str, value: str, smallest: bool = True) -> DataFrame:
+    """(key, name, value) of the best row of each key; the smaller name on ties, rows without a value never."""
+    order = F.struct(F.col(value) if smallest else -F.col(value), F.col(name))
+    found = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*key).agg(F.min_by(F.struct(name, value), order).alias("b"))
+    return found.select(*key, f"b.{name}", f"b.{value}")
+
+
+def gated(figures: DataFrame, checks: Sequence[tuple[str, str, Column]]) -> DataFrame:
+    """(check, passed, shown) for each (name, figure shown, condition) on a table of one row; a null condition fails."""
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed"), F.col(s).cast("double").alias("shown")) for n, s, c in checks])
+    return figures.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def arc_pairs(df: DataFrame, key: str, order: Sequence[str], xyz: Sequence[str], delta: float) -> DataFrame:
+    """(key, from_, to_, length): pairs of rows between which the path is ``delta`` long at least, one after another: each begins where the one before ended."""
+    return folded(df, lambda: _Arc(tuple(xyz), delta), key, order)
+
+
+class _Arc:
+    def __init__(self, names: tuple[str, ...], delta: float):
+        self.names, self.delta = names, delta
+        self.columns = ", ".join(f"{p}{n} double" for p in ("from_", "to_") for n in names) + ", length double"
+        self.start, self.before, self.length = None, None, 0.0
+
+    def step(self, row) -> dict | None:
+        here = tuple(row[n] for n in self.names)
+        if self.start is None:
+            self.start = self.before = here
+            return None
+        self.length += math.dist(self.before, here)
+        self.before = here
+        if self.length < self.delta:
+            return None
+        out = {f"{p}{n}": v for p, t in (("from_", self.start), ("to_", here)) for n, v in zip(self.names, t, strict=True)} | {"length": self.length}
+        self.start, self.length = here, 0.0
+        return out
 
 
 def pivot_best(df: DataFrame, row: str, column: str, value: str, values: Sequence[str], smallest: bool = True) -> DataFrame:

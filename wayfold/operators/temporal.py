@@ -63,15 +63,65 @@ def latest_before(base: DataFrame, other: DataFrame, key: Sequence[str], time: s
 def nearest_within(base: DataFrame, other: DataFrame, key: Sequence[str], time: str, base_seq: str, other_seq: str, gate: int) -> DataFrame:
     """(base row, other_seq, dt) for the row of ``other`` nearest in time, at most ``gate`` away; the earlier sequence on ties.
 
-    A bucketed range join: both sides are put into bins as wide as the gate, ``other`` also into its neighbours.
+    One sort of the union: the nearest row is the last one before or the first one after, however many are within the gate.
     """
-    bucket = F.call_function("div", F.col(time) - F.pmod(F.col(time), F.lit(gate).cast("long")), F.lit(gate).cast("long"))
-    a = base.withColumn("bin", bucket)
-    b = other.select(*key, F.col(time).alias("other_time"), F.col(other_seq).alias("other_seq"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bin"))
-    dt = F.abs(F.col("other_time") - F.col(time))
-    best = Window.partitionBy(*key, base_seq).orderBy("dt", "other_seq")
-    found = a.join(b, [*key, "bin"]).withColumn("dt", dt).where(F.col("dt") <= gate)
-    return found.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "bin", "other_time")
+    seen = other.groupBy(*key, time).agg(F.min(other_seq).alias("s"))  # of rows with one stamp, the earliest sequence
+    point = seen.select(*key, time, F.struct(F.col(time).alias("t"), "s").alias("obs"))
+    a = base.select(*key, time, F.struct(*base.columns).alias("row"), F.lit(None).cast(point.schema["obs"].dataType).alias("obs"), F.lit(1).alias("side"))
+    b = point.select(*key, time, F.lit(None).alias("row"), "obs", F.lit(0).alias("side"))
+    ordered = Window.partitionBy(*key).orderBy(time, "side")
+    met = a.unionByName(b).withColumns(
+        {
+            "before": F.last("obs", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
+            "after": F.first("obs", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)),
+        }
+    )
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col(time)).alias("dt"), F.col(f"{c}.s").alias("s")))
+    best = F.least(away("before"), away("after"))  # nulls are passed over
+    found = met.where("row is not null").withColumn("best", best).where(F.col("best.dt") <= gate)
+    return found.select("row.*", F.col("best.s").alias("other_seq"), F.col("best.dt").alias("dt"))
+
+
+def next_at_or_after(base: DataFrame, other: DataFrame, key: Sequence[str], time: str, base_seq: str, other_seq: str) -> DataFrame:
+    """Each row of ``base`` with the first row of ``other`` at its stamp or later, as other_seq; null after the last."""
+    a = base.select(*key, time, F.struct(*base.columns).alias("row"), F.lit(None).cast(other.schema[other_seq].dataType).alias("obs"), F.col(base_seq).alias("seq"), F.lit(0).alias("side"))
+    b = other.select(*key, time, F.lit(None).alias("row"), F.col(other_seq).alias("obs"), F.col(other_seq).alias("seq"), F.lit(1).alias("side"))
+    ahead = Window.partitionBy(*key).orderBy(time, "side", "seq").rowsBetween(1, Window.unboundedFollowing)
+    return a.unionByName(b).withColumn("other_seq", F.first("obs", ignorenulls=True).over(ahead)).where("row is not null").select("row.*", "other_seq")
+
+
+def with_first_info(frames: DataFrame, info: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str], buffer: int = 64) -> DataFrame:
+    """``frames`` with the first ``info`` row of their key, for the whole stream.
+
+    Frames that come before it wait for it, ``buffer`` of them at most, the first ones; later ones before it are lost, as are
+    all of a key without info.
+    """
+    place = F.struct(*order)
+    first = info.groupBy(*key).agg(F.min_by(F.struct(place.alias("__at"), *columns), place).alias("__i"))
+    met = frames.join(first, list(key)).withColumn("__early", place < F.col("__i.__at"))
+    rank = F.row_number().over(Window.partitionBy(*key, "__early").orderBy(*order))
+    return met.withColumn("__n", rank).where(~F.col("__early") | (F.col("__n") <= buffer)).select(*frames.columns, *[F.col(f"__i.{c}").alias(c) for c in columns])
+
+
+def predicted(df: DataFrame, key: Sequence[str], time: str, order: Sequence[str], x: str, y: str, theta: str, most: float = 4.0) -> DataFrame:
+    """Planar poses with what constant velocity predicts for each from the two before it, as qx, qy, qtheta.
+
+    The last motion is scaled by the ratio of the times, between 0 and ``most``. Where there was no motion yet, or no time
+    passed, the prediction is the pose before; first rows have none.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    lag = lambda c, n: F.lag(c, n).over(w)
+    names = {f"__{c}{n}": lag(c, n) for c in (x, y, theta, time) for n in (1, 2)}
+    d = df.withColumns(names)
+    v = lambda c, n: F.col(f"__{c}{n}")
+    dt, before = (F.col(time) - v(time, 1)) * 1e-9, (v(time, 1) - v(time, 2)) * 1e-9
+    k = F.when((before > 1e-6) & (dt > 0), F.least(F.greatest(dt / before, F.lit(0.0)), F.lit(most))).otherwise(0.0)
+    c2, s2, c1, s1 = F.cos(v(theta, 2)), F.sin(v(theta, 2)), F.cos(v(theta, 1)), F.sin(v(theta, 1))
+    mx, my = v(x, 1) - v(x, 2), v(y, 1) - v(y, 2)
+    d = d.withColumns({"__k": k, "__fx": c2 * mx + s2 * my, "__fy": c2 * my - s2 * mx, "__ft": wrap_angle(v(theta, 1) - v(theta, 2))})
+    step = lambda n: F.coalesce(F.col(n) * F.col("__k"), F.when(v(x, 1).isNotNull(), 0.0))
+    out = {"qx": v(x, 1) + c1 * step("__fx") - s1 * step("__fy"), "qy": v(y, 1) + s1 * step("__fx") + c1 * step("__fy"), "qtheta": wrap_angle(v(theta, 1) + step("__ft"))}
+    return d.withColumns(out).drop(*names, "__k", "__fx", "__fy", "__ft")
 
 
 def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

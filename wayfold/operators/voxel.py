@@ -61,22 +61,31 @@ def ray_observations(rays: DataFrame, keep: Sequence[str], voxel: float, truncat
 
 
 def sampled(points: DataFrame, voxels: DataFrame, point_id: str, voxel: float) -> DataFrame:
-    """(point_id, sdf) by trilinear weights of the eight voxel centres around each point (x, y, z).
+    """(point_id, sdf) of the points that :func:`gradients` has a value for."""
+    return gradients(points, voxels, point_id, voxel).where("sdf is not null").select(point_id, "sdf")
 
-    Null where not all eight are known; if only one layer in z is complete, that layer alone counts, the lower first.
+
+def gradients(points: DataFrame, voxels: DataFrame, point_id: str, voxel: float, key: Sequence[str] = ()) -> DataFrame:
+    """(key, point_id, sdf, gx, gy, gz): trilinear value and gradient from the eight voxel centres around each point (x, y, z).
+
+    If only one layer in z is complete, that layer alone counts, the lower first, and the gradient in z is 0. Points without a
+    complete layer have nulls. A point reads one row for each voxel around it that is known, so all its sums are of one group.
     """
     grid = {a: F.col(a) / voxel - 0.5 for a in AXES}
-    cells = points.withColumns({f"g{a}": F.floor(g) for a, g in grid.items()} | {f"f{a}": g - F.floor(g) for a, g in grid.items()})
-    bit = F.explode(F.array(F.lit(0), F.lit(1)))
-    for a in AXES:
-        cells = cells.withColumn(f"b{a}", bit)
-    corners = cells.withColumns({f"i{a}": F.col(f"g{a}") + F.col(f"b{a}") for a in AXES})
-    known = corners.join(voxels.where("weight > 0").select("ix", "iy", "iz", "tsdf"), ["ix", "iy", "iz"])
-    side = lambda a: F.when(F.col(f"b{a}") == 1, F.col(f"f{a}")).otherwise(1 - F.col(f"f{a}"))
-    layer = known.groupBy(point_id, "bz").agg(F.count("*").alias("n"), F.sum(side("x") * side("y") * F.col("tsdf")).alias("v"), F.first("fz").alias("fz"))
-    full = layer.where("n = 4").groupBy(point_id).agg(F.map_from_entries(F.collect_list(F.struct("bz", "v"))).alias("m"), F.first("fz").alias("fz"))
-    lo, hi, fz = F.col("m")[0], F.col("m")[1], F.col("fz")
-    return full.select(point_id, F.when(lo.isNotNull() & hi.isNotNull(), lo * (1 - fz) + hi * fz).otherwise(F.coalesce(lo, hi)).alias("sdf"))
+    cells = points.select(*key, point_id, *[F.floor(g).alias(f"g{a}") for a, g in grid.items()], *[(g - F.floor(g)).alias(f"f{a}") for a, g in grid.items()])
+    corner = F.explode(F.array(*[F.struct(*[F.lit(n >> k & 1).alias(f"b{a}") for k, a in enumerate(AXES)]) for n in range(8)]))
+    corners = cells.withColumn("c", corner).withColumns({f"i{a}": F.col(f"g{a}") + F.col(f"c.b{a}") for a in AXES})
+    known = corners.join(voxels.where("weight > 0").select(*key, "ix", "iy", "iz", "tsdf"), [*key, "ix", "iy", "iz"], "left")
+    side = lambda a: F.when(F.col(f"c.b{a}") == 1, F.col(f"f{a}")).otherwise(1 - F.col(f"f{a}"))
+    sign = lambda a: 2 * F.col(f"c.b{a}") - 1
+    parts = {"v": side("x") * side("y"), "dx": sign("x") * side("y"), "dy": side("x") * sign("y")}
+    sums = [F.sum(F.when(F.col("c.bz") == z, w * F.col("tsdf"))).alias(f"{n}{z}") for n, w in parts.items() for z in (0, 1)]
+    full = [F.count_if((F.col("c.bz") == z) & F.col("tsdf").isNotNull()).alias(f"n{z}") for z in (0, 1)]
+    found = known.groupBy(*key, point_id).agg(*sums, *full, F.first("fz").alias("fz"))
+    lo, hi, fz = F.col("n0") == 4, F.col("n1") == 4, F.col("fz")
+    mixed = lambda n: F.when(lo & hi, F.col(f"{n}0") * (1 - fz) + F.col(f"{n}1") * fz).when(lo, F.col(f"{n}0")).when(hi, F.col(f"{n}1"))
+    rise = F.when(lo & hi, F.col("v1") - F.col("v0")).when(lo | hi, 0.0)
+    return found.select(*key, point_id, mixed("v").alias("sdf"), (mixed("dx") / voxel).alias("gx"), (mixed("dy") / voxel).alias("gy"), (rise / voxel).alias("gz"))
 
 
 def blocks_allocated(voxels: DataFrame, key: Sequence[str] = ()) -> DataFrame:

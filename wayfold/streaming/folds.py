@@ -10,27 +10,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def folded_stream(stream: DataFrame, make: Callable[[], object], key: str, order: Sequence[str]) -> DataFrame:
+def folded_stream(stream: DataFrame, make: Callable[[], object], key: str, order: Sequence[str], delay: int = 0, late: bool = False) -> DataFrame:
     """(key, what the fold gives) in append mode.
 
-    Rows of a micro-batch are sorted before they are folded. A row that sorts before one already folded comes too
-    late and is dropped, as a fold can't be undone; within one batch, or with ordered input, the result is that of
-    the batch form.
+    Rows wait until one of their run is ``delay`` further on in ``order[0]``, which therefore is the watermark of the
+    run; they are folded in order then, whatever batch brought them. Rows below it are too late, as a fold can't be
+    undone: with ``late`` the column n_late says, in the last row of a batch, how many of the run's there have been.
     """
-    columns = make().columns
+    columns = make().columns + (", n_late long" if late else "")
     names = [c.strip().split()[0] for c in columns.split(",")]
+    order = list(order)
 
     def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, fold = pickle.loads(state.get[0]) if state.exists else (None, make())
-        rows = pd.concat(list(frames)).sort_values(list(order), kind="stable")
-        out = []
-        for r in rows.to_dict("records"):
-            at = tuple(r[c] for c in order)
-            if last is None or at >= last:
-                last = at
+        last, top, held, fold, missed = pickle.loads(state.get[0]) if state.exists else (None, None, [], make(), 0)
+        rows = held + [r for f in frames for r in f.to_dict("records")]
+        place = lambda r: tuple(r[c] for c in order)
+        rows.sort(key=place)
+        if rows:
+            top = rows[-1][order[0]] if top is None else max(top, rows[-1][order[0]])
+        held, out = [], []
+        for r in rows:
+            if last is not None and place(r) < last:
+                missed += 1
+            elif delay and r[order[0]] > top - delay:
+                held.append(r)
+            else:
+                last = place(r)
                 if (made := fold.step(r)) is not None:
                     out.append(made)
-        state.update((pickle.dumps((last, fold)),))
+        if late and out:
+            out[-1]["n_late"] = missed
+        state.update((pickle.dumps((last, top, held, fold, missed)),))
         found = pd.DataFrame(out, columns=names)
         found.insert(0, key, k[0])
         yield found
