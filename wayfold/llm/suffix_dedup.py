@@ -541,7 +541,7 @@ def _spans(finish):
                         starts[some[doc[c[0]]]].append(a[c])
                         ends[some[doc[c[0]]]].append(b[c])
             found = [_union(np.concatenate(a), np.concatenate(b)) for a, b in zip(starts, ends, strict=True)]
-            yield finish(batch.column(0), texts, found)
+            yield finish(batch, texts, found)
 
     return spans
 
@@ -558,14 +558,14 @@ def _union(start: np.ndarray, end: np.ndarray) -> list[int]:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, text, gone, windows): ``docs``, each row as a struct, with the text and what of it goes, as ``_spans`` takes it.
+    """(row, text, gone, windows): ``docs``, the other columns as a struct, with what of the text goes, as ``_spans`` takes it.
 
     Ids are integers. Texts are taken as UTF-8 bytes; null is empty, and texts below WINDOW bytes lose nothing.
     Rows without id neither lose anything nor count as smaller. Rows with equal ids do not count against each
     other.
     """
     spark = docs.sparkSession
-    keyed = small_batches(docs).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
+    keyed = small_batches(docs).select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
     known = keyed.where("id is not null")
     sized = known.where(f"octet_length(text) >= {WINDOW}").select("id", "tid", "text")
     size = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -573,13 +573,13 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sent = sized.mapInArrow(_anchors(buckets), _SENT).repartition(buckets, "bucket")
     opened = stash(sent.groupBy("bucket").applyInArrow(_shared, _BACK), "open")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
-    # one exchange of the texts serves both joins
+    # one exchange of the texts serves both joins, as both take the same columns
     dealt = known.repartition(parts, "id", "tid")
-    by_doc = lambda df, kind, name: df.where(F.col("kind") == kind).groupBy("id", "tid").agg(F.collect_list("data").alias(name))
-    several = dealt.select("id", "tid", "text").join(by_doc(opened, OPEN, "open"), ["id", "tid"]).select("id", "tid", "text", "open")
+    several = dealt.join(opened.groupBy("id", "tid").agg(F.collect_list("data").alias("open")), ["id", "tid"]).select("id", "tid", "text", "open", "row")
     handed = several.mapInArrow(_suffixes(_splitters(sized, size, buckets), buckets), _SENT).repartition(buckets, "bucket")
-    back = stash(handed.groupBy("bucket").applyInArrow(_compare, _BACK), "back")
-    joined = dealt.join(by_doc(back, GONE, "gone"), ["id", "tid"], "left").join(by_doc(back, WINDOWS, "windows"), ["id", "tid"], "left")
+    back = handed.groupBy("bucket").applyInArrow(_compare, _BACK)
+    some = lambda kind, name: F.collect_list(F.when(F.col("kind") == kind, F.col("data"))).alias(name)
+    joined = dealt.join(back.groupBy("id", "tid").agg(some(GONE, "gone"), some(WINDOWS, "windows")), ["id", "tid"], "left")
     missing = {k: F.lit(None).cast("array<binary>") for k in ("gone", "windows")}
     names = ["row", "text", "gone", "windows"]
     return joined.select(names).unionByName(keyed.where("id is null").withColumns(missing).select(names))
@@ -611,11 +611,11 @@ def kept_bytes(raw: bytes, removed: list[int]) -> bytes:
 
 
 def _finished(docs: DataFrame, id_col: str, text_col: str, finish, schema: StructType) -> DataFrame:
-    """``finish(texts, removed runs)`` gives the columns of ``schema`` for each row of ``docs``; (row, those columns)."""
+    """``finish(text column, texts, removed runs)`` gives the columns of ``schema`` for each row of ``docs``; (row, those columns)."""
     names = ["row", *schema.names]
 
-    def finished(row: pa.Array, texts: list[bytes], removed: list[list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([row, *finish(texts, removed)], names)
+    def finished(batch: pa.RecordBatch, texts: list[bytes], removed: list[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), *finish(batch.column(1), texts, removed)], names)
 
     marked = _marked(docs, id_col, text_col)
     return marked.mapInArrow(_spans(finished), StructType([marked.schema["row"], *schema.fields]))
@@ -629,14 +629,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives no rows.
     """
     docs = docs.drop("removed")
-    found = _finished(docs, id_col, text_col, lambda _, removed: [pa.array(removed, pa.list_(pa.int64()))], StructType().add("removed", ArrayType(LongType())))
-    return found.select("row.*", "removed")
+    schema = StructType().add("text", "string").add("removed", ArrayType(LongType()))
+    found = _finished(docs, id_col, text_col, lambda text, _, removed: [text, pa.array(removed, pa.list_(pa.int64()))], schema)
+    return found.select(*((F.col("text") if k == text_col else F.col("row").getField(k)).alias(k) for k in docs.columns), "removed")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``; the cases are those of :func:`repeated_spans`."""
 
-    def finish(texts: list[bytes], removed: list[list[int]]) -> list[pa.Array]:
+    def finish(_: pa.Array, texts: list[bytes], removed: list[list[int]]) -> list[pa.Array]:
         kept = [kept_bytes(t, r) for t, r in zip(texts, removed, strict=True)]
         size, left = (np.array([len(t) for t in x], np.int64) for x in (texts, kept))
         spans = np.array([len(r) // 2 for r in removed], np.int64)
@@ -650,9 +651,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes taken out of the text; a character cut in two goes as a whole. Columns stay."""
 
-    def finish(texts: list[bytes], removed: list[list[int]]) -> list[pa.Array]:
-        return [pa.array([kept_bytes(t, r).decode(errors="ignore") for t, r in zip(texts, removed, strict=True)], pa.string())]
+    def finish(text: pa.Array, texts: list[bytes], removed: list[list[int]]) -> list[pa.Array]:
+        left = [kept_bytes(t, r).decode(errors="ignore") for t, r in zip(texts, removed, strict=True)]
+        return [pa.array(left, pa.string(), mask=text.is_null().to_numpy(zero_copy_only=False))]
 
     found = _finished(docs, id_col, text_col, finish, StructType().add("left", "string"))
-    kept = lambda k: F.when(F.col("row").getField(k).isNotNull(), F.col("left")) if k == text_col else F.col("row").getField(k)
-    return found.select(*(kept(k).alias(k) for k in docs.columns))
+    return found.select(*((F.col("left") if k == text_col else F.col("row").getField(k)).alias(k) for k in docs.columns))
