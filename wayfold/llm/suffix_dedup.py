@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from wayfold.llm.common import planes, slices, small_batches, stash, texts_of, unplanes
+from wayfold.llm.common import planes, slices, small_batches, texts_of, unplanes
 
 WINDOW, KEY = 50, 20
 #: Bytes that a stretch can have before its anchor.
@@ -34,7 +34,7 @@ LEFT = WINDOW - KEY
 #: Texts are scanned this many bytes at a time; so many anchors, and so many stretches, are sorted and sent on together.
 FLAT = 1 << 20
 _PIECE = 1 << 18
-ANCHORS, SENT = 500_000, 150_000
+ANCHORS, SENT = 400_000, 100_000
 #: Bytes of text whose anchors share a bucket; bytes of text that the splitters are taken from.
 BUCKET_BYTES, LEAST_BUCKETS, SAMPLED_BYTES, SAMPLED_KEYS = 6 << 20, 64, 32 << 20, 20_000
 #: A stretch as a row: its suffix, what stands before the anchor from right to left, both padded, and the two lengths.
@@ -565,13 +565,14 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     other.
     """
     spark = docs.sparkSession
-    keyed = small_batches(docs).select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
+    text = F.col(text_col) if text_col == "text" else F.col(text_col).alias("text")  # an alias for nothing would make the exchanges differ
+    keyed = small_batches(docs).select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tid"), text)
     known = keyed.where("id is not null")
     sized = known.where(f"octet_length(text) >= {WINDOW}").select("id", "tid", "text")
     size = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
     sent = sized.mapInArrow(_anchors(buckets), _SENT).repartition(buckets, "bucket")
-    opened = stash(sent.groupBy("bucket").applyInArrow(_shared, _BACK), "open")
+    opened = sent.groupBy("bucket").applyInArrow(_shared, _BACK)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     # one exchange of the texts serves both joins, as both take the same columns
     dealt = known.repartition(parts, "id", "tid")
