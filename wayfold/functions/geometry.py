@@ -88,6 +88,16 @@ def to_rpy(q: Column) -> Column:
     )
 
 
+def yaw(q: Column) -> Column:
+    """The turn about the vertical."""
+    return F.atan2(2 * (q["qw"] * q["qz"] + q["qx"] * q["qy"]), 1 - 2 * (q["qy"] * q["qy"] + q["qz"] * q["qz"]))
+
+
+def symbol_key(letter: str, number: Column) -> Column:
+    """The key of a variable in a factor graph: a letter in the top byte, a number below it."""
+    return F.lit(ord(letter) << 56).bitwiseOR(number.cast("long"))
+
+
 def pose(t: Column, q: Column) -> Column:
     return F.struct(t["x"].alias("tx"), t["y"].alias("ty"), t["z"].alias("tz"), *[q[k].alias(k) for k in ("qx", "qy", "qz", "qw")])
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def se2_apply(t: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -242,4 +243,5 @@ def optimised(anchors: DataFrame, edges: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({key: k[0], "node": a["node"].to_numpy(), "x": x[:, 0], "y": x[:, 1], "theta": x[:, 2]})
 
     kinds = f"`{key}` {anchors.schema[key].dataType.simpleString()}, node int, x double, y double, theta double"
-    return anchors.groupBy(key).cogroup(edges.groupBy(key)).applyInPandas(solve, kinds)
+    links = edges.select(*[F.col(c).alias(c) for c in edges.columns])  # columns of its own, should both come from one table
+    return anchors.groupBy(key).cogroup(links.groupBy(key)).applyInPandas(solve, kinds)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as geo
 from wayfold.functions.time import format_stamp, parse_stamp
-from wayfold.operators import folds, registration, spatial, stats, temporal, voxel
+from wayfold.operators import folds, spatial, stats, temporal, voxel
 from wayfold.operators.rig import flattened
 from wayfold.plans.tables import LOG, PLANAR, beams, log, planar, read
 
@@ -527,10 +527,18 @@ def dead_reckoning(spark, d):
     return p.select("run_id", "stamp_ns", four(F.col("tx") / 1000, "tx"), four(F.col("ty") / 1000, "ty"), four(2 * F.col("qz") * F.col("qw"), "sine"), four(1 - 2 * F.col("qz") * F.col("qz"), "cosine"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG}, o AS (SELECT run_id, stamp_ns, k / 1e3 AS g, sin(k / 100.0::DOUBLE) AS ax, row_number() OVER {_W} AS n, least(greatest(coalesce((stamp_ns - lag(stamp_ns) OVER {_W}) * 1e-9::DOUBLE, 0), 0), 0.1) AS dt FROM e),
+f AS (SELECT *, sqrt(ax * ax + 0.01 + 94.09) AS size FROM o), s(run_id, n, stamp_ns, x, y, z, ready) AS (SELECT run_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, false FROM f WHERE n = 1 UNION ALL
+SELECT run_id, n, stamp_ns, CASE WHEN sine >= 1e-12 THEN (sin((1 - share) * arc) * x + sin(share * arc) * fx) / sine ELSE x END, CASE WHEN sine >= 1e-12 THEN (sin((1 - share) * arc) * y + sin(share * arc) * fy) / sine ELSE y END, CASE WHEN sine >= 1e-12 THEN (sin((1 - share) * arc) * z + sin(share * arc) * fz) / sine ELSE z END, true FROM
+(SELECT *, sqrt((y * fz - z * fy) ** 2 + (z * fx - x * fz) ** 2 + (x * fy - y * fx) ** 2) AS sine, atan2(sqrt((y * fz - z * fy) ** 2 + (z * fx - x * fz) ** 2 + (x * fy - y * fx) ** 2), x * fx + y * fy + z * fz) AS arc FROM
+(SELECT f.run_id, f.n, f.stamp_ns, s.x, cos(f.g * f.dt) * s.y + sin(f.g * f.dt) * s.z AS y, cos(f.g * f.dt) * s.z - sin(f.g * f.dt) * s.y AS z, f.ax / f.size AS fx, 0.1 / f.size AS fy, 9.7 / f.size AS fz, CASE WHEN s.ready THEN least(0.5 * f.dt, 1) ELSE 1 END AS share
+FROM s JOIN f ON f.run_id = s.run_id AND f.n = s.n + 1)))
+SELECT run_id, stamp_ns, round(atan2(y, z), 5) + 0.0 AS roll, round(asin(greatest(-1, least(1, -x))), 5) + 0.0 AS pitch, ready AS initialised FROM s WHERE n > 0""")
 def attitude_filter(spark, d):
+    """Every force here is near enough to gravity to be taken."""
     e = log(spark, d).select("run_id", "stamp_ns", F.col("event_id").alias("seq"), (F.col("k") / 1e3).alias("gx"), F.lit(0.0).alias("gy"), F.lit(0.0).alias("gz"), F.sin(F.col("k") / 100).alias("ax"), F.lit(0.1).alias("ay"), F.lit(9.7).alias("az"))
-    return folds.folded(e, folds.Tilt, "run_id", ["stamp_ns", "seq"])
+    t = folds.folded(e, folds.Tilt, "run_id", ["stamp_ns", "seq"])
+    return t.select("run_id", "stamp_ns", r5z("roll", "roll"), r5z("pitch", "pitch"), "initialised")
 
 
 @query("""WITH q AS (SELECT vec_id, embedding[1]::DOUBLE AS roll, embedding[2]::DOUBLE AS pitch, embedding[3]::DOUBLE * 4 AS yaw FROM embeddings)
@@ -549,27 +557,6 @@ def synthetic_trajectory(spark, d):
     return spark.range(4001).select(F.col("id").alias("stamp"), r5z(1.5 * (1 - F.cos(w * t)), "px"), r5z(1.5 * w**2 * F.cos(w * t), "ax"))
 
 
-@query()
-def scan_odometry(spark, d):
-    """Scans of one label as a run; the ranges are those of a random scene, so most scans coast."""
-    s = read(spark, d, "embeddings").select(F.col("label").alias("run_id"), (F.col("vec_id") * 100_000_000).alias("stamp_ns"), F.col("vec_id").alias("seq"), F.transform("embedding", lambda r: 5 + 2 * r.cast("double")).alias("ranges"))
-    s = s.withColumns({"angle_min": F.lit(-2.35), "angle_increment": F.lit(0.075), "range_min": F.lit(0.05), "range_max": F.lit(25.0)})
-    return folds.folded(s, registration.ScanOdometry, "run_id", ["stamp_ns", "seq"])
-
-
-@query()
-def pose_graph(spark, d):
-    """One chain of anchors per region, with a loop edge from the first to the last."""
-    n = read(spark, d, "nation").select(F.col("n_regionkey").alias("run_id"), F.col("n_nationkey").alias("id"))
-    n = n.withColumn("node", (F.row_number().over(Window.partitionBy("run_id").orderBy("id")) - 1).cast("int"))
-    anchors = n.select("run_id", "node", (F.col("node") * 10.0).alias("x"), (F.col("node") * 0.1).alias("y"), F.lit(0.0).alias("theta"))
-    last = n.groupBy("run_id").agg(F.max("node").alias("to"))
-    edge = lambda df, a, b, dx, dy, t, m: df.select("run_id", a.alias("from"), b.alias("to"), dx.alias("dx"), F.lit(dy).alias("dy"), F.lit(0.0).alias("dtheta"), F.lit(t).alias("sigma_turn"), F.lit(m).alias("sigma_move"))
-    hops = edge(n.where("node > 0"), F.col("node") - 1, F.col("node"), F.lit(10.0), 0.1, 0.05, 0.2)
-    loops = edge(last, F.lit(0), F.col("to"), F.col("to") * 10.0, 0.0, 0.01, 0.05)
-    return registration.optimised(anchors, hops.unionByName(loops), "run_id").withColumns({c: F.round(c, 6) for c in ("x", "y", "theta")})
-
-
 #: Names that these queries had while others of their name read some ids only.
 for _name, _old in (("radius_seed_join", "radius_seed_join_all"), ("ray_obstacle_min", "ray_obstacle_min_all"), ("dilate", "dilate_all"), ("exact_stamp_parse", "exact_stamp_parse_all"), ("ray_integration", "ray_integration_all"), ("colour_mean_capped", "colour_mean_folded")):
     QUERIES[_old], ORACLE_SQL[_old] = QUERIES[_name], ORACLE_SQL[_name]

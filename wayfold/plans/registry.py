@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wayfold.plans import robot  # noqa: F401  registers its queries
 from wayfold.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
