@@ -97,3 +97,20 @@ def test_stationary_and_hand_over(spark):
     assert [tuple(r) for r in still] == [(0.0, 1.0)]
     found = folds.folded(df, lambda: folds.HandOver(20.0, 2), "run", ["stamp_ns", "seq"]).orderBy("stamp_ns").collect()
     assert [(r.submap, r.also) for r in found] == [(0, None)] * 4 + [(1, 0)] * 2 + [(1, None)] * 2 + [(2, 1)] * 2 + [(2, None)] * 2
+
+
+def test_suppression_of_boxes_of_all_sizes(spark):
+    rng = np.random.default_rng(8)
+    boxes = []
+    for i in range(300):
+        w, h = (float(x) for x in np.exp(rng.uniform(-3, 4, 2)))
+        x, y = (float(v) for v in rng.uniform(0, 20, 2))
+        boxes.append((i, round(float(rng.uniform(0, 1)), 2), x, y, x + w, y + h))
+    kept = []
+    for b in sorted(boxes, key=lambda b: (-b[1], b[0])):
+        if all(folds.overlap(b[2:], k[2:]) <= 0.3 for k in kept):
+            kept.append(b)
+    from wayfold.operators import spatial
+
+    df = spark.createDataFrame([(0, *b) for b in boxes], "f int, id long, score double, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(r.id for r in spatial.suppressed(df, ["f"], ["score"], 0.3).collect()) == sorted(b[0] for b in kept)

@@ -154,6 +154,59 @@ class HandOver:
         return out
 
 
+class Decay:
+    """A run's exponentially weighted mean at its end: the first value, then ``keep`` of what was and the rest of what comes."""
+
+    columns = "n int, state double"
+
+    def __init__(self, keep: float = 0.8):
+        self.keep, self.n, self.state = keep, 0, 0.0
+
+    def step(self, row) -> None:
+        self.state = row["value"] if not self.n else self.keep * self.state + (1 - self.keep) * row["value"]
+        self.n += 1
+
+    def finish(self) -> dict:
+        return {"n": self.n, "state": self.state}
+
+
+class Suppression:
+    """Boxes by falling score, kept if they overlap none kept before by more than ``iou``.
+
+    Kept boxes are found by the cells that they lie in, whose size follows the first box, so a box meets its neighbours
+    only; boxes of very many cells are kept apart and meet all.
+    """
+
+    columns = "id long, score double"
+
+    def __init__(self, iou: float):
+        self.iou, self.size, self.cells, self.all, self.large = iou, None, {}, [], []
+
+    def step(self, row) -> dict | None:
+        box = row["x0"], row["y0"], row["x1"], row["y1"]
+        if self.size is None:
+            self.size = max(box[2] - box[0], box[3] - box[1]) or 1.0
+        (i, j), (k, n) = ([math.floor(c / self.size) for c in box[m : m + 2]] for m in (0, 2))
+        cells = [(x, y) for x in range(i, k + 1) for y in range(j, n + 1)] if (k - i + 1) * (n - j + 1) <= 64 else None
+        near = self.all if cells is None else [*self.large, *(b for c in cells for b in self.cells.get(c, ()))]
+        if any(overlap(box, b) > self.iou for b in near):
+            return None
+        self.all.append(box)
+        if cells is None:
+            self.large.append(box)
+        for c in cells or ():
+            self.cells.setdefault(c, []).append(box)
+        return {"id": row["id"], "score": row["score"]}
+
+
+def overlap(a: tuple[float, ...], b: tuple[float, ...]) -> float:
+    """Of two boxes: what they share, as a share of what they cover."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    inter = max(w, 0.0) * max(h, 0.0)
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+    return inter / union if union > 0 else 0.0
+
+
 class Segments:
     """Numbers stretches of sensor time; one begins with its first row and lasts a fixed time."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geometry import rotate, transform_point, vector
+from wayfold.operators.folds import Suppression, folded
 
 
 def beam_points(scans: DataFrame, ranges: str, angle_min: Column, increment: Column, range_min: Column, range_max: Column, keep: Sequence[str]) -> DataFrame:
@@ -133,20 +134,10 @@ def dilated(pixels: DataFrame, key: Sequence[str], u: str, v: str, radius: int)
 
 
 def suppressed(boxes: DataFrame, key: Sequence[str], order: Sequence[Column | str], iou: float) -> DataFrame:
-    """Greedy suppression per key: boxes (x0, y0, x1, y1, score, id) by falling score, kept if they overlap none kept by more than ``iou``.
+    """(key, id, score): greedy suppression per key; boxes (x0, y0, x1, y1, score, id) by falling ``order``, smaller ids first on ties.
 
-    Sequential by nature, so it is a fold over each key's sorted array, inside the JVM.
+    Sequential by nature, so it is an ordered fold, whose rows stream through the task; its state is the boxes kept.
     """
-    box = F.struct(F.col("score"), (-F.col("id")).alias("tie"), "id", "x0", "y0", "x1", "y1")
-    sorted_boxes = F.sort_array(F.collect_list(box), asc=False)
-
-    def overlap(a: Column, b: Column) -> Column:
-        w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
-        h = F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
-        inter = w * h
-        union = (a["x1"] - a["x0"]) * (a["y1"] - a["y0"]) + (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) - inter
-        return F.when(union > 0, inter / union).otherwise(0.0)
-
-    grouped = boxes.groupBy(*key).agg(sorted_boxes.alias("all"))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, b: F.when(F.exists(acc, lambda o: overlap(o, b) > iou), acc).otherwise(F.concat(acc, F.array(b))))
-    return grouped.select(*key, F.explode(kept).alias("b")).select(*key, "b.id", "b.score")
+    falling = {f"__o{k}": -F.col(c) if isinstance(c, str) else -c for k, c in enumerate(order)}
+    keyed = boxes.select(F.struct(*key).alias("k"), F.col("id").cast("long").alias("id"), F.col("score").cast("double").alias("score"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], *[c.alias(n) for n, c in falling.items()])
+    return folded(keyed, lambda: Suppression(iou), "k", [*falling, "id"]).select(*[F.col("k").getField(c).alias(c) for c in key], "id", "score")

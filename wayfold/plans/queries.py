@@ -352,10 +352,7 @@ def keyframe_gate(spark, d):
 @query(f"""WITH RECURSIVE {LOG}, o AS (SELECT run_id, value, row_number() OVER {_W} AS n FROM e), s(run_id, n, v) AS (SELECT run_id, n, value FROM o WHERE n = 1
 UNION ALL SELECT o.run_id, o.n, 0.8 * s.v + 0.2 * o.value FROM s JOIN o ON o.run_id = s.run_id AND o.n = s.n + 1) SELECT run_id, CAST(count(*) AS INTEGER) AS n, round(max_by(v, n), 6) AS state FROM s GROUP BY run_id""")
 def exp_decay_state(spark, d):
-    rows = F.sort_array(F.collect_list(F.struct("stamp_ns", "event_id", "value")))
-    runs = log(spark, d).groupBy("run_id").agg(rows.alias("r"))
-    state = F.aggregate(F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))), F.col("r")[0]["value"], lambda acc, x: 0.8 * acc + 0.2 * x["value"])
-    return runs.select("run_id", F.size("r").alias("n"), r6(state, "state"))
+    return folds.folded(log(spark, d), lambda: folds.Decay(0.8), "run_id", ["stamp_ns", "event_id"]).select("run_id", "n", r6("state", "state"))
 
 
 @query(f"""WITH RECURSIVE {LOG}, o AS (SELECT run_id, stamp_ns, event_id, row_number() OVER {_W} AS n FROM e),

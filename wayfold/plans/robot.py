@@ -249,11 +249,11 @@ def report_rows(spark, d):
 
 @query(f"""WITH {LOG}, t AS (SELECT event_id, run_id, stamp_ns, k / 1e6 AS g, value / 1e6 AS f, coalesce((stamp_ns - lag(stamp_ns) OVER {_W}) * 1e-9::DOUBLE, 0) AS dt FROM e),
 a AS (SELECT *, coalesce(sum(g * dt) OVER {_BEFORE}, 0) AS b FROM t), v AS (SELECT run_id, stamp_ns, event_id, sum(dt) OVER {_UPTO} AS dt, sum(cos(b) * f * dt) OVER {_UPTO} AS vx, sum(sin(b) * f * dt) OVER {_UPTO} AS vy FROM a)
-SELECT run_id, stamp_ns, round(dt, 3) AS dt, round(vx, 5) + 0.0 AS vx, round(vy, 5) + 0.0 AS vy FROM v""")
+SELECT run_id, stamp_ns, round(dt, 6) AS dt, round(vx, 5) + 0.0 AS vx, round(vy, 5) + 0.0 AS vy FROM v""")
 def preintegration(spark, d):
     e = log(spark, d).select("run_id", "stamp_ns", F.col("event_id").alias("seq"), F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), (F.col("k") / 1e6).alias("gz"), (F.col("value") / 1e6).alias("ax"), F.lit(0.0).alias("ay"), F.lit(0.0).alias("az"))
     p = folds.folded(e, fields.Preintegration, "run_id", ["stamp_ns", "seq"])
-    return p.select("run_id", "stamp_ns", F.round("dt", 3).alias("dt"), r5z("vx", "vx"), r5z("vy", "vy"))
+    return p.select("run_id", "stamp_ns", F.round("dt", 6).alias("dt"), r5z("vx", "vx"), r5z("vy", "vy"))
 
 
 @query()

@@ -11,6 +11,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -50,7 +52,7 @@ def number(value: bytes) -> int:
 
 def index(path: str) -> tuple[dict[int, tuple[str, str]], list[tuple[int, set[int]]]]:
     """Connections (id -> topic, type) and chunks (position, connection ids) from the end of the file."""
-    with open(path, "rb") as f:
+    with _open(path) as f:
         if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"{path} is not a bag of version 2.0")
         (n,) = struct.unpack("<I", f.read(4))
@@ -80,14 +82,25 @@ def resolved(connections: dict[int, tuple[str, str]], topic: str | None, kind: s
     return found[0]
 
 
+#: Bytes of a file that one partition reads, chunks being whole.
+PARTITION_BYTES = 32 << 20
+
+
 @dataclass
-class Chunk(InputPartition):
+class Chunks(InputPartition):
     path: str
-    number: int
-    position: int
+    places: list[tuple[int, int]]  # (number, position)
     wanted: dict[int, tuple[str, str]]
 
 
+def _open(path: str):
+    """A file of a local path, or of a store that Arrow knows by its URI."""
+    if "://" not in path:
+        return open(path, "rb")
+    store, inside = pa_fs.FileSystem.from_uri(path)
+    return store.open_input_file(inside)
+
+
 class BagReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -96,28 +109,46 @@ class BagReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         connections, chunks = index(self.path)
         wanted = {k: v for k, v in connections.items() if not self.topics or v[0] in self.topics}
-        return [Chunk(self.path, i, at, wanted) for i, (at, held) in enumerate(chunks) if held & wanted.keys()]
-
-    def read(self, partition: Chunk) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.position)
+        out: list[Chunks] = []
+        begin = None
+        for i, (at, held) in enumerate(chunks):
+            if not held & wanted.keys():
+                continue
+            if begin is None or at - begin >= PARTITION_BYTES:
+                out.append(Chunks(self.path, [], wanted))
+                begin = at
+            out[-1].places.append((i, at))
+        return out
+
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+        names = ["chunk", "seq", "topic", "type", "stamp_ns", "data"]
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        for n, position in partition.places if partition else ():  # none, if no chunk has a wanted topic
+            rows = list(self._messages(partition.path, n, position, partition.wanted))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def _messages(self, path: str, chunk: int, position: int, wanted: dict[int, tuple[str, str]]) -> Iterator[tuple]:
+        with _open(path) as f:
+            f.seek(position)
             head = fields(f.read(*struct.unpack("<I", f.read(4))))
             data = f.read(*struct.unpack("<I", f.read(4)))
         kind = head["compression"].decode()
-        if kind not in ("none", "bz2"):
+        if kind not in ("none", "bz2", "lz4"):
             raise ValueError(f"compression {kind} is not supported")
-        raw = bz2.decompress(data) if kind == "bz2" else data
+        size = number(head["size"])
+        raw = bz2.decompress(data) if kind == "bz2" else pa.decompress(data, size, "lz4", asbytes=True) if kind == "lz4" else data
         if len(raw) != number(head["size"]):
             raise ValueError("a chunk has another size than its header says")
         for seq, (record, body) in enumerate(records(raw)):
-            if number(record["op"]) == MESSAGE and number(record["conn"]) in partition.wanted:
-                topic, name = partition.wanted[number(record["conn"])]
+            if number(record["op"]) == MESSAGE and number(record["conn"]) in wanted:
+                topic, name = wanted[number(record["conn"])]
                 seconds, nanos = struct.unpack("<II", record["time"])
-                yield partition.number, seq, topic, name, seconds * 1_000_000_000 + nanos, body
+                yield chunk, seq, topic, name, seconds * 1_000_000_000 + nanos, body
 
 
 class BagSource(DataSource):
-    """``spark.read.format("bag").option("topics", "/a,/b").load(path)``; the path must be one that all executors open."""
+    """``spark.read.format("bag").option("topics", "/a,/b").load(path)``; the path, local or the URI of a store, must be one that all executors open."""
 
     @classmethod
     def name(cls) -> str:
