@@ -248,7 +248,9 @@ def aligned(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Queries are the recordings whose id is divisible by ``every``; all recordings are searched. ``n_queries`` counts
     the query classes that a recording aligns with, ``first_query`` is the smallest id among them, with its offset
-    and error rate; null where there is none. Null and short recordings have no items and align with nothing.
+    and error rate; null where there is none. Null, empty and short recordings have no items and align with nothing.
+    Repeated rows, and rows that share an id, are recordings of their own; equal recordings are one class. An empty table
+    gives no rows; other columns, whatever their names, are not read.
     """
     prints = stash(classes(fingerprints(rendered(vectors, id_col, vector_col), "id", "samples")), "prints")
     asked = prints.where(F.col("id") % every == 0)
