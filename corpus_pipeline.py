@@ -1,6 +1,11 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage takes (spark, docs, sf_dir); its result is written and read again as the next one's ``docs``.
+Each stage takes (spark, docs, sf_dir); its result is written and read again as the next one's ``docs``. All but the
+last return the columns that they got, in their order; ``doc_id``, ``text`` and ``lang`` must be among them.
+
+Null and empty texts score as one empty word, are told no language and so go in the second stage. Repeated rows pass
+the filters alike and stay; of rows that share an id, all stay or go with it in the third stage. An empty table gives an
+empty result. Very long texts are treated whole, extra columns of any name are handed on up to the last stage.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat a document with a smaller id."""
     left = suffix_dedup.without_repeats(docs)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

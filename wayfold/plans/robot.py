@@ -265,6 +265,17 @@ def carved_map(spark, d):
     return found.withColumns({c: F.round(c, 5) for c in ("tsdf", "weight", "red")})
 
 
+@query(f"""WITH RECURSIVE {PLANAR}, o AS (SELECT run_id, x, y, coalesce(sqrt((x - lag(x) OVER {_W}) ** 2 + (y - lag(y) OVER {_W}) ** 2), 0) AS d, row_number() OVER {_W} AS n FROM p),
+s(run_id, n, sx, sy, way, far) AS (SELECT run_id, n, x, y, 0.0::DOUBLE, CAST(NULL AS DOUBLE) FROM o WHERE n = 1 UNION ALL
+SELECT o.run_id, o.n, CASE WHEN s.way + o.d >= 10 THEN o.x ELSE s.sx END, CASE WHEN s.way + o.d >= 10 THEN o.y ELSE s.sy END, CASE WHEN s.way + o.d >= 10 THEN 0 ELSE s.way + o.d END, CASE WHEN s.way + o.d >= 10 THEN sqrt((o.x - s.sx) ** 2 + (o.y - s.sy) ** 2) END FROM s JOIN o ON o.run_id = s.run_id AND o.n = s.n + 1)
+SELECT run_id, count(far) AS pairs, round(avg(far), 5) AS mean_step FROM s WHERE far IS NOT NULL GROUP BY run_id""")
+def rpe_segments(spark, d):
+    """Pairs along the path, each begun where the one before reached the length."""
+    q = stats.arc_pairs(planar(spark, d), "run_id", ["stamp_ns", "event_id"], ["x", "y"], 10.0)
+    step = F.hypot(F.col("to_x") - F.col("from_x"), F.col("to_y") - F.col("from_y"))
+    return q.groupBy("run_id").agg(F.count("*").alias("pairs"), F.round(F.avg(step), 5).alias("mean_step"))
+
+
 _ROOM = (-6.0, 6.0, -4.0, 4.0)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -22,7 +23,9 @@ def ship(spark: SparkSession) -> None:
         return
     with tempfile.TemporaryDirectory() as top:
         shutil.copytree(ROOT / "wayfold", Path(top, "in", "wayfold"), ignore=shutil.ignore_patterns("__pycache__"))
-        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="wayfold-zip-"), "wayfold"), "zip", Path(top, "in"))
+        place = tempfile.mkdtemp(prefix="wayfold-zip-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        made = shutil.make_archive(os.path.join(place, "wayfold"), "zip", Path(top, "in"))
     context.addPyFile(made)
     _sent.add(context.applicationId)
 
