@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.geometry import wrap_angle
 from wayfold.operators.folds import folded
+from wayfold.operators.lineage import cut
 from wayfold.operators.voxel import AXES, capped_mean, gradients, index, ray_observations
 
 
@@ -115,7 +116,8 @@ def register(points: DataFrame, voxels: DataFrame, starts: DataFrame, key: Seque
     ``points`` has (key, ``solve``'s point rows: pid, x, y, z), ``voxels`` (key, ix, iy, iz, tsdf, weight), ``starts``
     (key, solve, x, y, theta). All solves of all maps take a round together: points meet the voxels around them in one join,
     nine sums of each solve are aggregated, and a closed-form 3 x 3 solution moves its pose. Points farther from the surface than
-    0.9 truncations do not count; a solve with fewer than ``least`` of them, or without a solution, keeps its pose.
+    0.9 truncations do not count; a solve with fewer than ``least`` of them, or without a solution, keeps its pose. Rounds
+    end when no pose moves; each is written to the checkpoint folder, so plans do not grow.
     """
     band, names = 0.9 * field.truncation, [*key, solve]
     poses = starts.select(*names, "x", "y", "theta", F.lit(0.0).alias("inliers"))
@@ -129,7 +131,11 @@ def register(points: DataFrame, voxels: DataFrame, starts: DataFrame, key: Seque
         near = F.abs("sdf") <= band
         sums = [F.sum(F.when(near, j[a] * j[b])).alias(f"h{a}{b}") for a in range(3) for b in range(a, 3)] + [F.sum(F.when(near, -j[a] * F.col("sdf"))).alias(f"g{a}") for a in range(3)]
         of = found.groupBy(*names).agg(*sums, F.count_if(near).alias("used"), F.count("*").alias("n"))
-        poses = poses.drop("inliers").join(of, names, "left").select(*names, *_stepped(least))
+        new = cut(poses.drop("inliers").join(of, names, "left").select(*names, *_stepped(least), *[F.col(c).alias(f"__{c}") for c in ("x", "y", "theta")]))
+        moved = (F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y")) >= 1e-6) | (F.abs(wrap_angle(F.col("theta") - F.col("__theta"))) >= 1e-7)
+        poses = new.select(*names, "x", "y", "theta", "inliers")
+        if new.where(moved).isEmpty():
+            break
     return poses
 
 
