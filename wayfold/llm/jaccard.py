@@ -37,9 +37,7 @@ WORDS, PERCENT = 5, 80
 #: Words gathered before a block of postings is sent on.
 BLOCK = 1_000_000
 #: Bytes of text whose postings share a bucket.
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
-#: Buckets that one task merges at most, unless there are too few tasks for all cores.
-BUCKETS_A_TASK = 16
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 16
 #: A block that has a shingle in so many classes sends its number of them, and keeps their names until lengths come back.
 HEAVY = 16
 #: Pairs across components that each text of a list may be tried with, on average, before pivots are or the list is split.
@@ -545,8 +543,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = to_arrow_type(chosen.schema[0].dataType)
     schema = f"bucket int, kind tinyint, block long, id {kind}, cls long, n int, data binary"
     posted = small_batches(chosen).mapInArrow(_blocks(buckets, id_type), schema).repartition(buckets, "bucket")
-    # a task takes several buckets, one after another, so that no flood of small files is written
-    tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, buckets // BUCKETS_A_TASK)
+    # a task takes a bucket; where a session deals out to more partitions than there are buckets, no empty files are written
+    tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, buckets)
     merged = stash(posted.groupBy("bucket").applyInArrow(_merge(buckets, id_type), schema).coalesce(tasks), "merged")
     members = merged.where(f"kind = {TEXT}").select("id", "cls", "n")
     by_block = merged.where(F.col("kind").isin(KEPT, LENGTHS, ELSEWHERE)).select("block", "kind", "data")

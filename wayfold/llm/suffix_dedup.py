@@ -36,7 +36,7 @@ FLAT = 1 << 20
 _PIECE = 1 << 18
 ANCHORS, SENT = 400_000, 100_000
 #: Bytes of text whose anchors share a bucket; bytes of text that the splitters are taken from.
-BUCKET_BYTES, LEAST_BUCKETS, SAMPLED_BYTES, SAMPLED_KEYS = 6 << 20, 64, 32 << 20, 20_000
+BUCKET_BYTES, LEAST_BUCKETS, SAMPLED_BYTES, SAMPLED_KEYS = 6 << 20, 16, 32 << 20, 20_000
 #: A stretch as a row: its suffix, what stands before the anchor from right to left, both padded, and the two lengths.
 RIGHT_WIDTH, LEFT_WIDTH, ROW = 56, 32, 96
 _rng = np.random.default_rng(20)
