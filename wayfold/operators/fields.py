@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.geometry import wrap_angle
 from wayfold.operators.folds import folded
 from wayfold.operators.lineage import cut
+from wayfold.operators.spatial import within_radius
 from wayfold.operators.voxel import AXES, capped_mean, gradients, index, ray_observations
 
 
@@ -160,7 +161,7 @@ def loop_closures(scans: DataFrame, points: DataFrame, anchors: DataFrame, voxel
     from 27 seeds, all at once; of those with enough inliers the best one holds, of equal ones the first submap, then seed. The
     pose is that of the scan in the submap.
     """
-    near = scans.crossJoin(F.broadcast(anchors.select("submap", *[F.col(c).alias(f"a{c}") for c in ("x", "y", "theta")]))).where(F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")) <= radius)
+    near = within_radius(scans.select("scan", "x", "y", "theta"), anchors.select("submap", "x", "y", F.col("theta").alias("atheta")), radius)
     grid = [F.struct(F.lit(9 * i + 3 * j + k).alias("seed"), F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(t).alias("dt")) for i, a in enumerate((-reach, 0.0, reach)) for j, b in enumerate((-reach, 0.0, reach)) for k, t in enumerate((-turn, 0.0, turn))]
     tried = near.withColumn("s", F.explode(F.array(*grid)))
     c, s, dx, dy = F.cos("atheta"), F.sin("atheta"), F.col("x") + F.col("s.dx") - F.col("ax"), F.col("y") + F.col("s.dy") - F.col("ay")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.spatial import within_radius
+
 AXES = ("x", "y", "z")
 
 
@@ -105,17 +107,15 @@ def ghost_fraction(points: DataFrame, key: Sequence[str], walls: tuple[float, fl
     return points.groupBy(*key).agg(F.avg((nearest > clearance).cast("int")).alias("ghosts"))
 
 
-def stale_ghosts(points: DataFrame, key: Sequence[str], walls: tuple[float, float, float, float], clearance: float, people: DataFrame, reach: float) -> DataFrame:
-    """(key, stale): the share of ghosts (see :func:`ghost_fraction`) that stand ``reach`` or more from every person.
-
-    ``people`` (x, y) are those of the last moment, a handful whatever the map's size; each point takes the nearest from one value.
-    """
+def stale_ghosts(points: DataFrame, point_id: str, key: Sequence[str], walls: tuple[float, float, float, float], clearance: float, people: DataFrame, reach: float) -> DataFrame:
+    """(key, stale): the share of ghosts (see :func:`ghost_fraction`) that stand ``reach`` or more from every person of ``people`` (x, y)."""
     x0, x1, y0, y1 = walls
     wall = F.least(F.abs(F.col("x") - x0), F.abs(F.col("x") - x1), F.abs(F.col("y") - y0), F.abs(F.col("y") - y1))
-    there = points.crossJoin(F.broadcast(people.agg(F.collect_list(F.struct("x", "y")).alias("__people"))))
-    away = F.array_min(F.transform("__people", lambda h: F.hypot(F.col("x") - h["x"], F.col("y") - h["y"])))
-    stale = (wall > clearance) & (F.coalesce(away, F.lit(float("inf"))) >= reach)
-    return there.groupBy(*key).agg(F.avg(stale.cast("int")).alias("stale"))
+    there = points.select(point_id, *key, "x", "y", (wall > clearance).alias("__ghost"))
+    met = within_radius(there.where("__ghost").select(point_id, "x", "y"), people.select("x", "y"), reach)
+    beside = met.where(F.col("distance") < reach).select(point_id, F.lit(True).alias("__beside")).distinct()
+    stale = F.col("__ghost") & F.col("__beside").isNull()
+    return there.join(beside, point_id, "left").groupBy(*key).agg(F.avg(stale.cast("int")).alias("stale"))
 
 
 def mixed_hash(*indices: Column) -> Column:

@@ -100,7 +100,7 @@ SELECT run_id, round(avg(CASE WHEN least(abs(x - 0), abs(x - 9), abs(y - 0), abs
 def stale_ghosts(spark, d):
     """Ghosts that no person stands at in the end; there are 77 different places of persons at most."""
     people = read(spark, d, "part").select((F.col("p_partkey") % 11).cast("double").alias("x"), (F.col("p_partkey") % 7).cast("double").alias("y")).distinct()
-    return voxel.stale_ghosts(planar(spark, d), ["run_id"], (0, 9, 0, 10), 1.5, people, 0.5).select("run_id", r6("stale", "stale"))
+    return voxel.stale_ghosts(planar(spark, d), "event_id", ["run_id"], (0, 9, 0, 10), 1.5, people, 0.5).select("run_id", r6("stale", "stale"))
 
 
 @query(f"WITH {LOG} SELECT topic, arg_max(k % 4, event_id) AS kind FROM e GROUP BY topic")

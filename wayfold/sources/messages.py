@@ -219,19 +219,20 @@ def read_depth_clouds(spark: SparkSession, path: str, depth: str, info: str, col
     infos = decoded(opened(spark, path, [info]), camera_info, "stamp_ns long, frame string, width int, height int, fx double, fy double, cx double, cy double").withColumn("g", F.lit(0))
     if infos.isEmpty():
         raise ValueError(f"no camera info in {info}")
-    every = F.lit(0).alias("g")
-    raw = opened(spark, path, [depth]).withColumn("g", every)
-    kept = temporal.every_nth(raw, cfg.every, ["g"], ["chunk", "seq"])  # before anything is decoded
-    frames = decoded(kept.drop("g"), image, columns).withColumn("g", every)
-    met = temporal.with_first_info(frames, infos.select("g", "place", "fx", "fy", "cx", "cy"), ["g"], ["place"], ["fx", "fy", "cx", "cy"])
+    # frames are chosen, and paired with what they need, by their places alone; only then images are joined and decoded
+    place = F.shiftleft(F.col("chunk").cast("long"), 32) + F.col("seq")
+    raw = opened(spark, path, [depth])
+    kept = temporal.every_nth(raw.select(F.lit(0).alias("g"), place.alias("place"), "stamp_ns"), cfg.every, ["g"], ["place"])
+    kept = temporal.with_first_info(kept, infos.select("g", "place", "fx", "fy", "cx", "cy"), ["g"], ["place"], ["fx", "fy", "cx", "cy"])
+    frames = decoded(raw.withColumn("place", place).join(kept.select("place"), "place", "left_semi"), image, columns).drop("topic")
+    met = frames.join(kept.select("place", "fx", "fy", "cx", "cy"), "place")
     paint = ["c_width", "c_height", "c_encoding", "c_step", "c_pixels"]
     if colour is None:
         met = met.withColumns({c: F.lit(None).cast("binary" if c == "c_pixels" else "string" if c == "c_encoding" else "int") for c in paint})
     else:
         images = decoded(opened(spark, path, [colour]), image, columns)
         seen = images.select(F.lit(0).alias("g"), "place", F.col("stamp_ns").alias("at"), F.col("place").alias("image"))
-        # images are found by their places first, and only those that are used are joined
-        pairs = temporal.latest_before(met.select("g", "place", "stamp_ns"), seen, ["g"], "place", "place", "image", ["image", "at"])
+        pairs = temporal.latest_before(frames.select(F.lit(0).alias("g"), "place", "stamp_ns"), seen, ["g"], "place", "place", "image", ["image", "at"])
         near = pairs.where(F.abs(F.col("stamp_ns") - F.col("at")) < cfg.pairing_ns).select("place", "image")
         used = images.select(F.col("place").alias("image"), *[F.col(c.removeprefix("c_")).alias(c) for c in paint])
         met = met.join(near.join(used, "image").drop("image"), "place", "left")
