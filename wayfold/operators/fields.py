@@ -13,7 +13,7 @@ from wayfold.functions.geometry import wrap_angle
 from wayfold.operators.folds import folded
 from wayfold.operators.lineage import cut
 from wayfold.operators.spatial import within_radius
-from wayfold.operators.voxel import AXES, capped_mean, gradients, index, ray_observations
+from wayfold.operators.voxel import AXES, block, capped_mean, gradients, index, ray_observations
 
 
 @dataclass(frozen=True)
@@ -54,55 +54,79 @@ def carve_events(rays: DataFrame, keep: Sequence[str], field: Field) -> DataFram
 class Voxel:
     """One voxel's events in order: observations, and rays that pass it; a voxel that is carved below weight 1 is unobserved again."""
 
-    columns = "tsdf double, weight double, red double, n_red int, observed long, carved long"
-
-    def __init__(self, most: float, carve: float, colours: int = 32):
-        self.most, self.carve, self.colours = most, carve, colours
-        self.tsdf, self.weight, self.red, self.n, self.observed, self.carved = 0.0, 0.0, 0.0, 0, 0, 0
+    def __init__(self, most: float, carve: float, channels: Sequence[str] = ("red",), colours: int = 32):
+        self.most, self.carve, self.channels, self.colours = most, carve, channels, colours
+        self.columns = ", ".join(["tsdf double, weight double", *(f"{c} double" for c in channels), "n_red int, observed long, carved long"])
+        self.tsdf, self.weight, self.paint, self.n, self.observed, self.carved = 0.0, 0.0, [0.0] * len(channels), 0, 0, 0
 
     def step(self, row) -> None:
         if row["obs"] is None:
             if self.weight > 0:
                 self.weight, self.carved = self.weight * self.carve, self.carved + 1
                 if self.weight < 1:
-                    self.tsdf = self.weight = self.red = 0.0
-                    self.n = 0
+                    self.tsdf = self.weight = 0.0
+                    self.paint, self.n = [0.0] * len(self.channels), 0
             return
         self.tsdf = (self.tsdf * self.weight + row["obs"]) / (self.weight + 1)
         self.weight, self.observed = min(self.weight + 1, self.most), self.observed + 1
         if row["colour"] is not None:
-            self.red += (row["colour"] - self.red) / (self.n + 1)
+            self.paint = [p + (c - p) / (self.n + 1) for p, c in zip(self.paint, row["colour"], strict=True)]
             self.n = min(self.n + 1, self.colours)
 
     def finish(self) -> dict:
-        return {"tsdf": self.tsdf, "weight": self.weight, "red": self.red if self.n else None, "n_red": self.n, "observed": self.observed, "carved": self.carved}
+        seen = dict(zip(self.channels, self.paint if self.n else [None] * len(self.channels), strict=True))
+        return {"tsdf": self.tsdf, "weight": self.weight, **seen, "n_red": self.n, "observed": self.observed, "carved": self.carved}
+
+
+def _uncarved(seen: DataFrame, cell: Sequence[str], order: Sequence[str], field: Field, channels: Sequence[str], colours: int = 32) -> DataFrame:
+    """What :class:`Voxel` gives for voxels that no ray passes: running means, which are aggregates up to their caps."""
+    place = [*order, "step"]
+    out = capped_mean(seen, cell, "obs", int(field.most), place).select(*cell, F.col("mean").alias("tsdf"), F.least(F.col("n").cast("double"), F.lit(field.most)).alias("weight"), F.col("n").alias("observed"))
+    if not channels:
+        return out.select(*cell, "tsdf", "weight", F.lit(None).cast("double").alias("red"), F.lit(0).alias("n_red"), "observed", F.lit(0).cast("long").alias("carved"))
+    painted = seen.where("colour is not null")
+    for k, name in enumerate(channels):
+        mean = capped_mean(painted.withColumn("__c", F.col("colour")[k]), cell, "__c", colours, place)
+        out = out.join(mean.select(*cell, F.col("mean").alias(name), *([F.least("n", F.lit(colours)).cast("int").alias("n_red")] if not k else [])), list(cell), "left")
+    return out.select(*cell, "tsdf", "weight", *channels, F.coalesce("n_red", F.lit(0)).alias("n_red"), "observed", F.lit(0).cast("long").alias("carved"))
 
 
-def fused(rays: DataFrame, key: Sequence[str], order: Sequence[str], field: Field, colour: str | None = None) -> DataFrame:
+def fused(rays: DataFrame, key: Sequence[str], order: Sequence[str], field: Field, colour: str | Sequence[str] | None = None) -> DataFrame:
     """(key, ix, iy, iz, tsdf, weight, red, n_red, observed, carved): rays fused into a field, one map for each key.
 
     ``order`` numbers the rays of a key. Each first carves the voxels on its free part, then is observed in the band around
-    its hit; the voxel of the hit takes the ``colour``. Only voxels that are observed at some time have rows, so rays through empty space
-    meet none; those are semi-joined away before anything is sorted. A voxel's events are folded in order.
+    its hit; the voxel of the hit takes the ``colour``, one column or several channels, which then have a column each in place of red.
+    Rays through empty space meet no voxel: blocks of 8 x 8 x 8 that are observed at some time are found first, and of the steps of
+    a ray only those in such blocks are looked up voxel by voxel. Voxels that no ray passes are aggregates; the events of the others
+    are folded in order.
     """
-    names = [*key, *order]
+    names, cell = [*key, *order], [*key, "ix", "iy", "iz"]
+    channels = [colour] if isinstance(colour, str) else list(colour or ())
+    shown = ["red"] if len(channels) < 2 else channels
     seen = ray_observations(rays, names, field.voxel, field.truncation)
-    if colour is None:
-        seen = seen.withColumn("colour", F.lit(None).cast("double"))
+    if not channels:
+        seen = seen.withColumn("colour", F.lit(None).cast("array<double>"))
     else:
-        hit = rays.select(*names, F.col(colour).cast("double").alias("colour"), *[index(f"p{a}", field.voxel).alias(f"h{a}") for a in AXES])
+        hit = rays.select(*names, F.array(*[F.col(c).cast("double") for c in channels]).alias("colour"), *[index(f"p{a}", field.voxel).alias(f"h{a}") for a in AXES])
+        known = F.forall("colour", lambda c: c.isNotNull())
         # the voxel of the hit is met once by its ray
-        seen = seen.join(hit, names).withColumn("colour", F.when((F.col("ix") == F.col("hx")) & (F.col("iy") == F.col("hy")) & (F.col("iz") == F.col("hz")), F.col("colour")))
+        seen = seen.join(hit, names).withColumn("colour", F.when(known & (F.col("ix") == F.col("hx")) & (F.col("iy") == F.col("hy")) & (F.col("iz") == F.col("hz")), F.col("colour")))
         met = Window.partitionBy(*names, "ix", "iy", "iz").orderBy("step")
         seen = seen.withColumn("colour", F.when(F.row_number().over(met) == 1, F.col("colour")))
-    cell = [*key, "ix", "iy", "iz"]
-    events = seen.select(*cell, *order, F.lit(1).alias("kind"), "step", "obs", "colour")
-    if field.carve < 1:
-        passed = carve_events(rays, names, field).join(seen.select(*cell).distinct(), cell, "left_semi")
-        events = events.unionByName(passed.select(*cell, *order, F.lit(0).alias("kind"), "step", F.lit(None).cast("double").alias("obs"), F.lit(None).cast("double").alias("colour")))
+    seen = seen.select(*cell, *order, "step", "obs", "colour")
+    if field.carve >= 1:
+        return _uncarved(seen, cell, order, field, shown if channels else ())
+    blocks = lambda df: df.select("*", *[block(f"i{a}").alias(f"__b{a}") for a in AXES])
+    held = [*key, *[f"__b{a}" for a in AXES]]
+    passed = blocks(carve_events(rays, names, field)).join(blocks(seen).select(*held).distinct(), held, "left_semi")
+    passed = cut(passed.join(seen.select(*cell).distinct(), cell, "left_semi").select(*cell, *order, "step"))
+    worn = passed.select(*cell).distinct()
+    still = _uncarved(seen.join(worn, cell, "left_anti"), cell, order, field, shown if channels else ())
+    events = seen.join(worn, cell, "left_semi").select(*cell, *order, F.lit(1).alias("kind"), "step", "obs", "colour")
+    events = events.unionByName(passed.select(*cell, *order, F.lit(0).alias("kind"), "step", F.lit(None).cast("double").alias("obs"), F.lit(None).cast("array<double>").alias("colour")))
     keyed = events.select(F.struct(*cell).alias("cell"), *order, "kind", "step", "obs", "colour")
-    out = folded(keyed, lambda: Voxel(field.most, field.carve), "cell", [*order, "kind", "step"])
-    return out.select("cell.*", *[c for c in out.columns if c != "cell"])
+    out = folded(keyed, lambda: Voxel(field.most, field.carve, shown), "cell", [*order, "kind", "step"])
+    return out.select("cell.*", *[c for c in out.columns if c != "cell"]).select(still.columns).unionByName(still)
 
 
 def plain(observations: DataFrame, key: Sequence[str], field: Field, order: Sequence[str]) -> DataFrame:

@@ -24,15 +24,22 @@ def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], n
 
 
 def interpolate_at(base: DataFrame, other: DataFrame, key: Sequence[str], time: str, base_seq: str, other_seq: str, value: str, out: str) -> DataFrame:
-    """Rows of ``base`` within the time span of ``other``, with ``other``'s value interpolated linearly.
+    """Rows of ``base`` within the time span of ``other``, with ``other``'s value interpolated linearly; see :func:`interpolated_at`."""
+    return interpolated_at(base, other, key, time, base_seq, other_seq, {out: value})
+
+
+def interpolated_at(base: DataFrame, other: DataFrame, key: Sequence[str], time: str, base_seq: str, other_seq: str, values: dict[str, str]) -> DataFrame:
+    """Rows of ``base`` within the time span of ``other``, with columns of ``other`` (new name -> column) interpolated linearly.
 
     The bracket is the last row strictly earlier, or else the first one, and the one after it; rows of ``base``
     outside the span are dropped, its ends are kept; a bracket without length gives its first value. One sort of
-    the union replaces a join on time.
+    the union replaces a join on time, however many columns there are.
     """
-    cols = [*key, time]
-    a = base.select(*cols, F.struct(*base.columns).alias("row"), F.lit(None).cast("struct<t:bigint,v:double>").alias("obs"), F.col(base_seq).alias("seq"), F.lit(0).alias("side"))
-    b = other.select(*cols, F.lit(None).alias("row"), F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v")).alias("obs"), F.col(other_seq).alias("seq"), F.lit(1).alias("side"))
+    cols, names = [*key, time], [f"v{k}" for k in range(len(values))]
+    kind = f"struct<t:bigint,{','.join(f'{n}:double' for n in names)}>"
+    a = base.select(*cols, F.struct(*base.columns).alias("row"), F.lit(None).cast(kind).alias("obs"), F.col(base_seq).alias("seq"), F.lit(0).alias("side"))
+    obs = F.struct(F.col(time).alias("t"), *[F.col(c).cast("double").alias(n) for n, c in zip(names, values.values(), strict=True)])
+    b = other.select(*cols, F.lit(None).alias("row"), obs.alias("obs"), F.col(other_seq).alias("seq"), F.lit(1).alias("side"))
     # base rows come before other rows of the same stamp, so what came before is strictly earlier
     ordered = Window.partitionBy(*key).orderBy(time, "side", "seq")
     ahead = ordered.rowsBetween(1, Window.unboundedFollowing)
@@ -46,7 +53,7 @@ def interpolate_at(base: DataFrame, other: DataFrame, key: Sequence[str], time:
     inside = F.col("row").isNotNull() & hi.isNotNull() & (F.col("before").isNotNull() | (hi["t"] == F.col(time)))
     dt = hi["t"] - lo["t"]
     w = F.when(dt == 0, F.lit(0.0)).otherwise((F.col(time) - lo["t"]) / dt)
-    return joined.where(inside).select("row.*", (lo["v"] + w * (hi["v"] - lo["v"])).alias(out))
+    return joined.where(inside).select("row.*", *[(lo[n] + w * (hi[n] - lo[n])).alias(out) for n, out in zip(names, values, strict=True)])
 
 
 def latest_before(base: DataFrame, other: DataFrame, key: Sequence[str], time: str, base_seq: str, other_seq: str, columns: Sequence[str], gate: int | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import colour
 from wayfold.functions import geometry as geo
-from wayfold.operators import fields, folds, registration, rig, spatial, stats, temporal, voxel
+from wayfold.operators import fields, folds, graphs, registration, rig, spatial, stats, submaps, temporal, voxel
+from wayfold.operators.lineage import cut
 from wayfold.plans.queries import _BEFORE, _UPTO, _VOXELS, _W, _voxels, query, r5z, r6
 from wayfold.plans.tables import LOG, PLANAR, log, planar, read
 
@@ -49,6 +50,91 @@ def submap_handover(spark, d):
     return folds.folded(p, lambda: folds.HandOver(20.0, 3), "run_id", ["stamp_ns", "seq"]).select("run_id", "seq", "submap", "also", F.round("travelled", 5).alias("travelled"))
 
 
+_TURNED = "CASE WHEN abs({0} - {1}) > pi() THEN 2 * pi() - abs({0} - {1}) ELSE abs({0} - {1}) END"
+#: The fold of ``submaps.Fusion``: last fused poses by kind (a for scans, c for clouds), the submap and what is left of an overlap.
+_FUSED = f"""{PLANAR}, o AS (SELECT run_id, event_id, stamp_ns, x, y, k / 20.0::DOUBLE AS th, CASE WHEN k % 3 = 0 THEN 'cloud' ELSE 'scan' END AS kind, coalesce(sqrt((x - lag(x) OVER {_W}) ** 2 + (y - lag(y) OVER {_W}) ** 2), 0) AS moved, z, row_number() OVER {_W} AS n FROM p),
+f(run_id, n, seq, kind, x, y, th, z, fused, submap, also, spawned, left_, way, ax, ay, at_, cx, cy, ct) AS (
+SELECT run_id, n, event_id, kind, x, y, th, z, true, 0, CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), 0, moved, CASE kind WHEN 'scan' THEN x END, CASE kind WHEN 'scan' THEN y END, CASE kind WHEN 'scan' THEN th END, CASE kind WHEN 'cloud' THEN x END, CASE kind WHEN 'cloud' THEN y END, CASE kind WHEN 'cloud' THEN th END FROM o WHERE n = 1
+UNION ALL SELECT run_id, n, seq, kind, x, y, th, z, due, submap, CASE WHEN before > 0 THEN submap - 1 END, CASE WHEN spawns THEN submap + 1 END, CASE WHEN spawns THEN 3 ELSE rest END, way,
+CASE WHEN due AND kind = 'scan' THEN x ELSE ax END, CASE WHEN due AND kind = 'scan' THEN y ELSE ay END, CASE WHEN due AND kind = 'scan' THEN th ELSE at_ END, CASE WHEN due AND kind = 'cloud' THEN x ELSE cx END, CASE WHEN due AND kind = 'cloud' THEN y ELSE cy END, CASE WHEN due AND kind = 'cloud' THEN th ELSE ct END
+FROM (SELECT *, due AND rest = 0 AND way > 20 AS spawns FROM (SELECT *, CASE WHEN due THEN greatest(before - 1, 0) ELSE before END AS rest FROM (
+SELECT o.run_id, o.n, o.event_id AS seq, o.kind, o.x, o.y, o.th, o.z, coalesce(f.spawned, f.submap) AS submap, f.left_ AS before, CASE WHEN f.spawned IS NULL THEN f.way ELSE 0 END + o.moved AS way, f.ax, f.ay, f.at_, f.cx, f.cy, f.ct,
+CASE o.kind WHEN 'scan' THEN f.ax IS NULL OR sqrt((o.x - f.ax) ** 2 + (o.y - f.ay) ** 2) > 4 OR {_TURNED.format('o.th', 'f.at_')} > 2 ELSE f.cx IS NULL OR sqrt((o.x - f.cx) ** 2 + (o.y - f.cy) ** 2) > 4 OR {_TURNED.format('o.th', 'f.ct')} > 2 END AS due
+FROM f JOIN o ON o.run_id = f.run_id AND o.n = f.n + 1))))"""
+_MAPPING = submaps.Mapping(move=4.0, turn=2.0, extent=20.0, overlap=3)
+#: Submaps' anchors, the poses written to each, and rays of two points a pose in the anchors' frames.
+_LOCAL = f"""{_FUSED}, a AS (SELECT run_id, 0 AS submap, x AS ox, y AS oy, th AS ot FROM f WHERE n = 1 UNION ALL SELECT run_id, spawned, x, y, th FROM f WHERE spawned IS NOT NULL),
+w AS (SELECT *, submap AS target FROM f WHERE fused UNION ALL SELECT *, also FROM f WHERE fused AND also IS NOT NULL),
+l AS (SELECT w.run_id, target AS submap, seq, kind, z, cos(ot) * (x - ox) + sin(ot) * (y - oy) AS lx, cos(ot) * (y - oy) - sin(ot) * (x - ox) AS ly, {_wrapped('(th - ot)')} AS lt FROM w JOIN a ON a.run_id = w.run_id AND a.submap = w.target),
+r AS (SELECT run_id, submap, seq, kind, pid, lx + cos(lt) * 0.1 - sin(lt) * 0.02 AS ox, ly + sin(lt) * 0.1 + cos(lt) * 0.02 AS oy, 0.3::DOUBLE AS oz, lx + cos(lt) * (1.03 + pid) - sin(lt) * (z - 0.5 * pid + 0.017) AS px, ly + sin(lt) * (1.03 + pid) + cos(lt) * (z - 0.5 * pid + 0.017) AS py, z / 2 + 0.011 AS pz FROM l, range(2) j(pid))"""
+
+
+def _fused_sql(rays: str, name: str) -> str:
+    """SQL that observes the rays of a table in the band around their ends, as (run_id, submap, ix, iy, iz, obs)."""
+    return f"""{name}q AS (SELECT *, sqrt((px - ox) ** 2 + (py - oy) ** 2 + (pz - oz) ** 2) AS dist FROM {rays}), {name}s AS (SELECT *, greatest(dist - 1.0::DOUBLE, 0.0) AS s0, dist + 1.0::DOUBLE AS s1 FROM {name}q WHERE dist >= 1e-9),
+{name}u AS (SELECT *, unnest(range(0, CAST(floor((s1 - s0) / 0.25) AS BIGINT) + 2)) AS step FROM {name}s), {name}v AS (SELECT *, least(s0 + step * 0.25, s1) AS t FROM {name}u),
+{name}i AS (SELECT run_id, submap, seq, pid, step, CAST(floor((ox + t * (px - ox) / dist) / 0.5) AS BIGINT) AS ix, CAST(floor((oy + t * (py - oy) / dist) / 0.5) AS BIGINT) AS iy, CAST(floor((oz + t * (pz - oz) / dist) / 0.5) AS BIGINT) AS iz, greatest(-1.0, least(1.0, dist - t)) AS obs FROM {name}v),
+{name}l AS (SELECT *, lag(ix) OVER g AS jx, lag(iy) OVER g AS jy, lag(iz) OVER g AS jz FROM {name}i WINDOW g AS (PARTITION BY run_id, submap, seq, pid ORDER BY step)),
+{name} AS (SELECT run_id, submap, ix, iy, iz, avg(obs) AS tsdf, count(*) AS weight FROM {name}l WHERE jx IS NULL OR jx <> ix OR jy <> iy OR jz <> iz GROUP BY ALL)"""
+
+
+def _fusions(spark, d):
+    """Every event as a pose of its run: which are fused, and into which submaps."""
+    kind = F.when(F.col("k") % 3 == 0, "cloud").otherwise("scan")
+    p = planar(spark, d).select("run_id", "stamp_ns", F.col("event_id").alias("seq"), kind.alias("kind"), "x", "y", (F.col("k") / 20.0).alias("theta"))
+    return submaps.fusions(p, "run_id", _MAPPING)
+
+
+def _seen_points(spark, d):
+    """Two points that each pose sees."""
+    pid = F.explode(F.array(F.lit(0), F.lit(1))).alias("pid")
+    p = planar(spark, d).select("run_id", F.col("event_id").alias("seq"), "z", pid)
+    at = {"ox": F.lit(0.1), "oy": F.lit(0.02), "oz": F.lit(0.3), "px": F.lit(1.03) + F.col("pid"), "py": F.col("z") - 0.5 * F.col("pid") + 0.017, "pz": F.col("z") / 2 + 0.011}
+    return p.withColumns(at).drop("z")
+
+
+_COARSE = fields.Field(0.5, 1.0, 1e5, 1.0, 0.0)
+
+
+def _dual(spark, d):
+    """(events, anchors, map in space, map in the plane); the events are written once, as all the others read them."""
+    events = cut(_fusions(spark, d))
+    return events, *submaps.dual(_seen_points(spark, d), events, "run_id", _COARSE, _COARSE, 0.3, F.lit(True), [0.261])
+
+
+@query(f"""WITH RECURSIVE {_FUSED} SELECT run_id, seq, kind, fused, CAST(submap AS INTEGER) AS submap, CAST(also AS INTEGER) AS also, CAST(spawned AS INTEGER) AS spawned, round(way, 5) AS travelled FROM f""")
+def motion_gate(spark, d):
+    """Scans and clouds are fused each by their own way since the last fusion; fusions hand submaps over."""
+    return _fusions(spark, d).select("run_id", "seq", "kind", "fused", "submap", "also", "spawned", F.round("travelled", 5).alias("travelled"))
+
+
+@query(f"""WITH RECURSIVE {_LOCAL}, {_fused_sql('r', 'm')} SELECT run_id, CAST(submap AS INTEGER) AS submap, ix, iy, iz, round(tsdf, 5) + 0.0 AS tsdf, CAST(weight AS DOUBLE) AS weight FROM m""")
+def dual_integration(spark, d):
+    """Maps in space: each fused pose is written to its submap and, in the overlap, to the one before, in the anchors' frames."""
+    _, _, space, _ = _dual(spark, d)
+    return space.select("run_id", "submap", "ix", "iy", "iz", r5z("tsdf", "tsdf"), "weight")
+
+
+@query(f"""WITH RECURSIVE {_LOCAL}, h AS (SELECT run_id, submap, seq, pid, ox, oy, 0.0::DOUBLE AS oz, px, py, 0.0::DOUBLE AS pz FROM r WHERE CASE kind WHEN 'scan' THEN pz >= 0.3 ELSE abs(pz - 0.261::DOUBLE) <= 0.05 END), {_fused_sql('h', 'm')}
+SELECT run_id, CAST(submap AS INTEGER) AS submap, ix, iy, iz, round(tsdf, 5) + 0.0 AS tsdf, CAST(weight AS DOUBLE) AS weight FROM m""")
+def slice_integration(spark, d):
+    """Maps in the plane: scans without hits of the floor, and of clouds what lies in the laser's band."""
+    *_, plane = _dual(spark, d)
+    return plane.select("run_id", "submap", "ix", "iy", "iz", r5z("tsdf", "tsdf"), "weight")
+
+
+@query(f"""WITH RECURSIVE {_LOCAL}, {_fused_sql('r', 'm')}, z AS (SELECT run_id, max_by(coalesce(spawned, submap), n) AS active, max_by(left_, n) AS left_ FROM f GROUP BY run_id),
+b AS (SELECT run_id, submap, 2 + cos(0.5::DOUBLE) * (ox + 0.1 * submap) - sin(0.5::DOUBLE) * oy AS bx, 1 + sin(0.5::DOUBLE) * (ox + 0.1 * submap) + cos(0.5::DOUBLE) * oy AS by_, 0.5 + ot AS bt FROM a)
+SELECT m.run_id, CAST(m.submap AS INTEGER) AS submap, CASE WHEN m.submap = active THEN 'active' WHEN m.submap = active - 1 AND left_ > 0 THEN 'overlap' ELSE 'frozen' END AS state, ix, iy, iz,
+round(bx + cos(bt) * (ix + 0.5) * 0.5 - sin(bt) * (iy + 0.5) * 0.5, 5) + 0.0 AS wx, round(by_ + sin(bt) * (ix + 0.5) * 0.5 + cos(bt) * (iy + 0.5) * 0.5, 5) + 0.0 AS wy, CAST((iz + 0.5) * 0.5 AS DOUBLE) AS wz FROM m JOIN b ON b.run_id = m.run_id AND b.submap = m.submap JOIN z ON z.run_id = m.run_id""")
+def submaps_in_world(spark, d):
+    """All submaps in the world, after their anchors were moved: voxels stay as they are, only anchors change."""
+    events, at, space, _ = _dual(spark, d)
+    moved = at.select("run_id", F.col("submap").alias("node"), (F.col("x") + 0.1 * F.col("submap")).alias("x"), "y", "theta")
+    met = submaps.placed(space, submaps.reposed(at, moved, "run_id"), "run_id", 0.5, (2.0, 1.0, 0.5)).join(submaps.states(events, "run_id"), ["run_id", "submap"])
+    return met.select("run_id", "submap", "state", "ix", "iy", "iz", r5z("wx", "wx"), r5z("wy", "wy"), "wz")
+
+
 _COLOURS = LOG + """, d AS (SELECT * FROM e WHERE topic = 'click'), v AS (SELECT run_id, event_id AS colour, stamp_ns AS seen FROM e WHERE topic = 'view'),
 c AS (SELECT d.event_id, CASE WHEN abs(d.stamp_ns - v.seen) < 86400000000000 THEN v.colour END AS colour FROM d ASOF LEFT JOIN v ON d.run_id = v.run_id AND d.event_id >= v.colour)"""
 
@@ -307,9 +393,10 @@ def scan_odometry(spark, d):
     return met.select("run_id", "seq", near.alias("near"), F.when(F.col("outcome").isin("keyframe", "matched"), "known").otherwise(F.col("outcome")).alias("outcome"))
 
 
-@query("SELECT s_nationkey AS run_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS node, true AS near FROM supplier QUALIFY count(*) OVER (PARTITION BY s_nationkey) > 1")
+@query("""WITH n AS (SELECT s_nationkey AS run_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS node, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), t AS (SELECT *, node * 2 * pi() / n AS a FROM n WHERE n > 1)
+SELECT run_id, CAST(node AS INTEGER) AS node, round(10 * cos(a) - 10, 4) + 0.0 AS x, round(10 * sin(a), 4) + 0.0 AS y, round(sin(a), 4) + 0.0 AS sine, round(cos(a), 4) + 0.0 AS cosine FROM t""")
 def pose_graph(spark, d):
-    """Anchors of each nation on a circle, measured without error but told with drift; the optimum is the truth, which the SQL says."""
+    """Anchors of each nation on a circle, measured without error but told with drift: the optimum is the circle, whose poses the SQL computes."""
     w = Window.partitionBy("run_id").orderBy("id")
     n = read(spark, d, "supplier").select(F.col("s_nationkey").alias("run_id"), F.col("s_suppkey").alias("id")).withColumns({"node": (F.row_number().over(w) - 1).cast("int"), "n": F.count("*").over(Window.partitionBy("run_id"))}).where("n > 1")
     a = F.col("node") * 2 * math.pi / F.col("n")
@@ -321,6 +408,26 @@ def pose_graph(spark, d):
     loops = pair(truth.where("node = 0").withColumn("to", (F.col("n") - 1).cast("int"))).withColumns({"sigma_turn": F.lit(0.01), "sigma_move": F.lit(0.05)})
     dx, dy, c, s = F.col("bx") - F.col("tx"), F.col("by") - F.col("ty"), F.cos("tt"), F.sin("tt")
     edges = hops.unionByName(loops).select("run_id", F.col("node").alias("from"), "to", (c * dx + s * dy).alias("dx"), (c * dy - s * dx).alias("dy"), geo.wrap_angle(F.col("bt") - F.col("tt")).alias("dtheta"), "sigma_turn", "sigma_move")
-    found = registration.optimised(drift, edges, "run_id").join(truth, ["run_id", "node"])
-    near = (F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")) < 0.01) & (F.abs(geo.wrap_angle(F.col("theta") - F.col("tt"))) < 0.01)
-    return found.select("run_id", "node", near.alias("near"))
+    r4z = lambda e, name: (F.round(e, 4) + F.lit(0.0)).alias(name)
+    found = registration.optimised(drift, edges, "run_id")
+    return found.select("run_id", "node", r4z(F.col("x"), "x"), r4z(F.col("y"), "y"), r4z(F.sin("theta"), "sine"), r4z(F.cos("theta"), "cosine"))
+
+
+@query("""WITH n AS (SELECT c_nationkey AS run_id, c_custkey, 1 + (c_custkey % 7) / 10.0::DOUBLE AS hop, row_number() OVER w - 1 AS node, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+t AS (SELECT *, coalesce(sum(hop) OVER (PARTITION BY run_id ORDER BY node ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after, sum(hop) OVER (PARTITION BY run_id) AS whole FROM n WHERE n > 2)
+SELECT run_id, CAST(node AS INTEGER) AS node, round(whole - after - first_value(hop) OVER (PARTITION BY run_id ORDER BY node) + 0.5 * node * 0.04::DOUBLE / ((n - 1) * 0.04::DOUBLE + 0.0025::DOUBLE), 4) + 0.0 AS x, 0.0::DOUBLE AS y FROM t""")
+def pose_graph_spread(spark, d):
+    """Chains of customers whose loop says half a metre more than their hops do: each hop takes its share of it, by its variance.
+
+    Solved as sparse equations of all graphs together. On a line the optimum has a closed form, which is the SQL.
+    """
+    w = Window.partitionBy("run_id").orderBy("c_custkey")
+    n = read(spark, d, "customer").select(F.col("c_nationkey").alias("run_id"), "c_custkey", (1 + F.col("c_custkey") % 7 / 10.0).alias("hop")).withColumns({"node": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("run_id"))}).where("n > 2")
+    told = n.withColumn("x", F.sum(F.when(F.col("node") > 0, F.col("hop")).otherwise(0.0)).over(w))
+    anchors = told.select("run_id", "node", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("theta"))
+    zero = [F.lit(0.0).alias("dy"), F.lit(0.0).alias("dtheta")]
+    hops = told.where("node > 0").select("run_id", (F.col("node") - 1).alias("from"), F.col("node").alias("to"), F.col("hop").alias("dx"), *zero, F.lit(0.05).alias("sigma_turn"), F.lit(0.2).alias("sigma_move"))
+    loops = told.where("node = n - 1").select("run_id", F.lit(0).alias("from"), F.col("node").alias("to"), (F.col("x") + 0.5).alias("dx"), *zero, F.lit(0.01).alias("sigma_turn"), F.lit(0.05).alias("sigma_move"))
+    found = graphs.planar(anchors, hops.unionByName(loops), "run_id").variables
+    r4z = lambda e, name: (F.round(e, 4) + F.lit(0.0)).alias(name)
+    return found.select(F.col("graph").cast("int").alias("run_id"), F.col("v").cast("int").alias("node"), r4z(F.col("value")[0], "x"), r4z(F.col("value")[1], "y"))

@@ -119,37 +119,43 @@ def frames(spark: SparkSession, config: Run, path: str) -> DataFrame | None:
 
 
 def assembled(spark: SparkSession, config: Run, path: str) -> DataFrame:
-    """(kind, kind_rank, stamp_ns, place, topic, frame, body): all sensors of a run in one stream, of which ``body`` is a struct by kind.
+    """(kind, kind_rank, stamp_ns, place, topic, frame, body): all sensors of a run in one stream.
 
-    Sorted by (stamp_ns, kind_rank, place) the streams are merged stably: inertial samples, odometry, scans, clouds. Split
-    inertial sensors are merged at the stamps of the gyro. With a rig, a frame that it doesn't have is an error.
+    ``body`` is a struct with a field for each kind, of which a row fills its own: imu, odometry, scan and, where the run has depth
+    cameras, cloud. Sorted by (stamp_ns, kind_rank, place) the streams are merged stably: inertial samples, odometry, scans,
+    clouds. All topics but those of depth cameras are read in one pass. Split inertial sensors are merged at the
+    stamps of the gyro. With a rig, ``pose`` is that of the frame, and a frame that it doesn't have is an error.
     """
     s = config.sensors
-    streams: list[tuple[str, int, DataFrame]] = []
-    for i in s.imus:
-        if i.topic is not None:
-            streams.append(("imu", 0, messages.read_imu(spark, path, i.topic)))
-        else:
-            gyro, accel = (messages.read_imu(spark, path, t).withColumn("run", F.lit(0)) for t in (i.gyro_topic, i.accel_topic))
-            merged = gyro.drop("ax", "ay", "az")
-            for a in ("ax", "ay", "az"):
-                merged = temporal.interpolate_at(merged, accel, ["run"], "stamp_ns", "place", "place", a, a)
-            streams.append(("imu", 0, merged.drop("run")))
-    streams += [("odometry", 1, messages.read_odometry(spark, path, o.topic)) for o in s.odometry]
-    streams += [("scan", 2, messages.read_scans(spark, path, c.topic)) for c in s.scans]
+    split = [i for i in s.imus if i.topic is None]
+    topics = {i.topic: "imu" for i in s.imus if i.topic is not None} | {t: "imu" for i in split for t in (i.gyro_topic, i.accel_topic)}
+    topics |= {o.topic: "odometry" for o in s.odometry} | {c.topic: "scan" for c in s.scans}
+    if not topics and not s.depth:
+        raise ValueError("the configuration names no sensor")
+    kinds = ["imu", "odometry", "scan"]
+    out = None
+    if topics:
+        all_ = messages.read_streams(spark, path, topics)
+        halves = {t for i in split for t in (i.gyro_topic, i.accel_topic)}
+        out = all_.where(~F.col("topic").isin(sorted(halves))) if halves else all_
+        for i in split:
+            gyro, accel = (all_.where(F.col("topic") == t).withColumn("run", F.lit(0)) for t in (i.gyro_topic, i.accel_topic))
+            sides = accel.select("run", "stamp_ns", "place", *[F.col(f"imu.{c}").alias(c) for c in ("ax", "ay", "az")])
+            met = temporal.interpolated_at(gyro, sides, ["run"], "stamp_ns", "place", "place", {"ax": "ax", "ay": "ay", "az": "az"})
+            imu = F.struct("imu.gx", "imu.gy", "imu.gz", "ax", "ay", "az").alias("imu")
+            out = out.unionByName(met.select("topic", "place", "stamp_ns", "frame", "kind", imu, "odometry", "scan"))
     for c in s.depth:
         cfg = messages.Depth(c.target_spacing, c.min_stride, c.max_points, c.min_range, c.max_range, c.every_nth)
-        streams.append(("cloud", 3, messages.read_depth_clouds(spark, path, c.topic, c.camera_info, c.color, cfg).withColumn("topic", F.lit(c.topic))))
-    if not streams:
-        raise ValueError("the configuration names no sensor")
-    out, known = None, frames(spark, config, path)
-    for kind, rank, df in streams:
-        body = [c for c in df.columns if c not in ("topic", "place", "stamp_ns", "frame")]
-        part = df.select(F.lit(kind).alias("kind"), F.lit(rank).alias("kind_rank"), "stamp_ns", "place", "topic", F.regexp_replace("frame", "^/", "").alias("frame"), F.struct(F.struct(*body).alias(kind)).alias("body"))
-        if known is not None and kind != "odometry":
-            met = part.join(F.broadcast(known.select("frame", "pose")), "frame", "left")
-            unknown = F.raise_error(F.concat(F.lit("no frame in the rig: "), F.col("frame"))).cast(known.schema["pose"].dataType)
-            part = met.withColumn("pose", F.coalesce("pose", unknown))
-        part = part.withColumn("body", F.to_json("body"))
+        clouds = messages.read_depth_clouds(spark, path, c.topic, c.camera_info, c.color, cfg)
+        body = [n for n in clouds.columns if n not in ("topic", "place", "stamp_ns", "frame")]
+        part = clouds.select(F.lit(c.topic).alias("topic"), "place", "stamp_ns", "frame", F.lit("cloud").alias("kind"), F.struct(*body).alias("cloud"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    kinds = [k for k in (*kinds, "cloud") if k in out.columns]
+    rank = F.array_position(F.array(*[F.lit(k) for k in ("imu", "odometry", "scan", "cloud")]), F.col("kind")).cast("int") - 1
+    out = out.select("kind", rank.alias("kind_rank"), "stamp_ns", "place", "topic", F.regexp_replace("frame", "^/", "").alias("frame"), F.struct(*kinds).alias("body"))
+    known = frames(spark, config, path)
+    if known is None:
+        return out
+    met = out.join(F.broadcast(known.select("frame", "pose")), "frame", "left")  # one row a frame of the rig
+    unknown = F.raise_error(F.concat(F.lit("no frame in the rig: "), F.col("frame"))).cast(known.schema["pose"].dataType)
+    return met.withColumn("pose", F.when((F.col("kind") == "odometry") | F.col("pose").isNotNull(), F.col("pose")).otherwise(unknown))

@@ -1,20 +1,22 @@
 """Recorded message logs (version 2.0 bags) as a Spark data source.
 
-The index is read when the job is planned: connections and chunks become partitions, and chunks without a wanted
-topic are never opened. Rows are (chunk, seq, topic, type, stamp_ns, data); order is restored by (chunk, seq).
+The index is read when the job is planned: connections and chunks become partitions. Filters on topic, type and stamp are pushed
+down: chunks that hold no wanted topic, or no stamp in the wanted span, are never opened, and messages that don't fit are
+never copied. Rows are (chunk, seq, topic, type, stamp_ns, data); order is restored by (chunk, seq).
 """
 
 from __future__ import annotations
 
 import bz2
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs as pa_fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 MAGIC = b"#ROSBAG V2.0\n"
 MESSAGE, HEADER, INDEX, CHUNK, CHUNK_INFO, CONNECTION = 2, 3, 4, 5, 6, 7
@@ -50,8 +52,22 @@ def number(value: bytes) -> int:
     return int.from_bytes(value, "little")
 
 
-def index(path: str) -> tuple[dict[int, tuple[str, str]], list[tuple[int, set[int]]]]:
-    """Connections (id -> topic, type) and chunks (position, connection ids) from the end of the file."""
+class Chunk(NamedTuple):
+    """Where a chunk begins, the connections in it, and the span of its stamps; without times in the index it may hold any."""
+
+    at: int
+    held: set[int]
+    first_ns: int | None = None
+    last_ns: int | None = None
+
+
+def stamp(raw: bytes) -> int:
+    seconds, nanos = struct.unpack("<II", raw)
+    return seconds * 1_000_000_000 + nanos
+
+
+def index(path: str) -> tuple[dict[int, tuple[str, str]], list[Chunk]]:
+    """Connections (id -> topic, type) and chunks from the end of the file."""
     with _open(path) as f:
         if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"{path} is not a bag of version 2.0")
@@ -66,7 +82,8 @@ def index(path: str) -> tuple[dict[int, tuple[str, str]], list[tuple[int, set[in
         if number(head["op"]) == CONNECTION:
             connections[number(head["conn"])] = head["topic"].decode(), fields(data).get("type", b"").decode()
         elif number(head["op"]) == CHUNK_INFO:
-            chunks.append((number(head["chunk_pos"]), {number(data[k : k + 4]) for k in range(0, len(data), 8)}))
+            span = [stamp(head[k]) if k in head else None for k in ("start_time", "end_time")]
+            chunks.append(Chunk(number(head["chunk_pos"]), {number(data[k : k + 4]) for k in range(0, len(data), 8)}, *span))
     return connections, chunks
 
 
@@ -86,6 +103,47 @@ def resolved(connections: dict[int, tuple[str, str]], topic: str | None, kind: s
 PARTITION_BYTES = 32 << 20
 
 
+@dataclass
+class Wanted:
+    """What is read: topics and types (None: all of them), and the first and last stamp."""
+
+    topics: set[str] | None = None
+    types: set[str] | None = None
+    first_ns: int | None = None
+    last_ns: int | None = None
+
+    def narrowed(self, f: Filter) -> bool:
+        """Takes a filter in, if it is one on topic, type or stamp."""
+        if isinstance(f, IsNotNull):
+            return True  # no column of a bag is ever null
+        name, value = getattr(f, "attribute", (None,))[0], getattr(f, "value", None)
+        if name in ("topic", "type") and isinstance(f, EqualTo | In):
+            values = set(value) if isinstance(f, In) else {value}
+            field_ = f"{name}s"
+            held = getattr(self, field_)
+            setattr(self, field_, values if held is None else held & values)
+            return True
+        if name == "stamp_ns" and value is not None and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
+            low, high = value + isinstance(f, GreaterThan), value - isinstance(f, LessThan)
+            if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                self.first_ns = low if self.first_ns is None else max(self.first_ns, low)
+            if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                self.last_ns = high if self.last_ns is None else min(self.last_ns, high)
+            return True
+        return False
+
+    def connection(self, topic: str, kind: str) -> bool:
+        return (self.topics is None or topic in self.topics) and (self.types is None or kind in self.types)
+
+    def chunk(self, c: Chunk) -> bool:
+        early = self.first_ns is not None and c.last_ns is not None and c.last_ns < self.first_ns
+        late = self.last_ns is not None and c.first_ns is not None and c.first_ns > self.last_ns
+        return not early and not late
+
+    def at(self, stamp_ns: int) -> bool:
+        return (self.first_ns is None or stamp_ns >= self.first_ns) and (self.last_ns is None or stamp_ns <= self.last_ns)
+
+
 @dataclass
 class Chunks(InputPartition):
     path: str
@@ -104,20 +162,24 @@ def _open(path: str):
 class BagReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
-        self.topics = {t for t in options.get("topics", "").split(",") if t}
+        topics = {t for t in options.get("topics", "").split(",") if t}
+        self.only = Wanted(topics or None)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        return [f for f in filters if not self.only.narrowed(f)]
 
     def partitions(self) -> list[InputPartition]:
         connections, chunks = index(self.path)
-        wanted = {k: v for k, v in connections.items() if not self.topics or v[0] in self.topics}
+        wanted = {k: v for k, v in connections.items() if self.only.connection(*v)}
         out: list[Chunks] = []
         begin = None
-        for i, (at, held) in enumerate(chunks):
-            if not held & wanted.keys():
+        for i, chunk in enumerate(chunks):
+            if not chunk.held & wanted.keys() or not self.only.chunk(chunk):
                 continue
-            if begin is None or at - begin >= PARTITION_BYTES:
+            if begin is None or chunk.at - begin >= PARTITION_BYTES:
                 out.append(Chunks(self.path, [], wanted))
-                begin = at
-            out[-1].places.append((i, at))
+                begin = chunk.at
+            out[-1].places.append((i, chunk.at))
         return out
 
     def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
@@ -142,9 +204,9 @@ class BagReader(DataSourceReader):
             raise ValueError("a chunk has another size than its header says")
         for seq, (record, body) in enumerate(records(raw)):
             if number(record["op"]) == MESSAGE and number(record["conn"]) in wanted:
-                topic, name = wanted[number(record["conn"])]
-                seconds, nanos = struct.unpack("<II", record["time"])
-                yield chunk, seq, topic, name, seconds * 1_000_000_000 + nanos, body
+                at = stamp(record["time"])
+                if self.only.at(at):
+                    yield chunk, seq, *wanted[number(record["conn"])], at, body
 
 
 class BagSource(DataSource):
@@ -162,6 +224,8 @@ class BagSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to a session, which then pushes filters down into Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BagSource)
 
 

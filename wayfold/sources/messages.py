@@ -142,20 +142,58 @@ def _resolved(path: str, topic: str | None, kind: str) -> str:
     return bag.resolved(bag.index(path)[0], topic, kind)
 
 
+#: kind -> (message type, decoder, columns after stamp and frame) of the sensors that become streams.
+STREAMS = {
+    "imu": (IMU, bag.imu, "gx double, gy double, gz double, ax double, ay double, az double"),
+    "odometry": (ODOMETRY, bag.odometry, "child string, tx double, ty double, tz double, qx double, qy double, qz double, qw double"),
+    "scan": (SCAN, bag.scan, "angle_min float, angle_increment float, range_min float, range_max float, ranges array<float>"),
+}
+
+
+def read_streams(spark: SparkSession, path: str, topics: dict[str, str]) -> DataFrame:
+    """(topic, place, stamp_ns, frame, kind, imu, odometry, scan) of several topics (topic -> kind) in one pass over the file.
+
+    Each message is decoded once, by the kind of its topic, into that kind's struct; the other structs are null. A topic
+    that the file lacks, or has with another type, is an error.
+    """
+    connections = bag.index(path)[0]
+    for topic, kind in topics.items():
+        bag.resolved(connections, topic, STREAMS[kind][0])
+    structs = ", ".join(f"{k} struct<{', '.join(c.replace(' ', ': ', 1) for c in columns.split(', '))}>" for k, (_, _, columns) in STREAMS.items())
+    schema = StructType.fromDDL(f"topic string, place long, stamp_ns long, frame string, kind string, {structs}")
+    arrow = to_arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in arrow]
+            for topic, place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                kind = topics[topic]
+                stamp, frame, *found = STREAMS[kind][1](data.as_py())
+                bodies = [dict(zip(schema[k].dataType.names, found, strict=True)) if k == kind else None for k in STREAMS]
+                for column, value in zip(out, (topic, place, stamp, frame, kind, *bodies), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    place = F.shiftleft(F.col("chunk").cast("long"), 32) + F.col("seq")
+    return opened(spark, path, sorted(topics)).select("topic", place.alias("place"), "data").mapInArrow(rows, schema)
+
+
+def _one(spark: SparkSession, path: str, topic: str | None, kind: str) -> DataFrame:
+    name, decode, columns = STREAMS[kind]
+    return decoded(opened(spark, path, [_resolved(path, topic, name)]), decode, f"stamp_ns long, frame string, {columns}")
+
+
 def read_imu(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
     """(topic, place, stamp_ns, frame, gx, gy, gz, ax, ay, az); without a topic, the only one of its type."""
-    columns = "stamp_ns long, frame string, gx double, gy double, gz double, ax double, ay double, az double"
-    return decoded(opened(spark, path, [_resolved(path, topic, IMU)]), bag.imu, columns)
+    return _one(spark, path, topic, "imu")
 
 
 def read_scans(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
-    columns = "stamp_ns long, frame string, angle_min float, angle_increment float, range_min float, range_max float, ranges array<float>"
-    return decoded(opened(spark, path, [_resolved(path, topic, SCAN)]), bag.scan, columns)
+    return _one(spark, path, topic, "scan")
 
 
 def read_odometry(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
-    columns = "stamp_ns long, frame string, child string, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
-    return decoded(opened(spark, path, [_resolved(path, topic, ODOMETRY)]), bag.odometry, columns)
+    return _one(spark, path, topic, "odometry")
 
 
 def read_static_transforms(spark: SparkSession, path: str, topic: str = "/tf_static") -> DataFrame:
