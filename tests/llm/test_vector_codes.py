@@ -81,6 +81,11 @@ def test_bounds_prune_and_hold():
     assert total < 0.5 * 4 * 2000 * 64
 
 
+def test_written_bounds_stay_below():
+    x = np.concatenate([np.geomspace(1e-8, 1e9, 5000), [0.0]]).astype(np.float32)
+    assert (vc.kept(x).astype(float) <= x).all() and (vc.kept(x[(x > 1) & (x < 1e4)]) > 0.998 * x[(x > 1) & (x < 1e4)]).all()
+
+
 def test_hot_label_and_many_labels(spark):
     rows = [(i, [i / 500.0] * 16, 1 if i % 3 == 0 else i) for i in range(600)]
     check(spark, rows)

@@ -31,7 +31,7 @@ from wayfold.llm.common import small_batches, texts_of
 LEAST_CHARS, LEAST_DOCS = 40, 5
 BLANK = " \t\n\x0b\x0c\r"
 #: Text of a block, at least and at most; between them it grows with the root of the input, so that rows keep some entries.
-BLOCK_BYTES, MOST_BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 256 << 20, 48
+BLOCK_BYTES, MOST_BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 256 << 20, 12
 KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 #: What a block sends with a hash and what it gets back.
 SENT = np.dtype([("a", "<u8"), ("b", "<u8"), ("last", "<i8"), ("n", "<u4")])
@@ -222,12 +222,12 @@ def _indexed(group: pa.Table) -> pa.Table:
     return pa.table(columns, ["shard", "size", "levels", "fingerprints", "counts", "lasts"])
 
 
-def kept_lines(text: str, i: int, often: dict[bytes, int], least_chars: int = LEAST_CHARS) -> tuple[list[str], int]:
-    """(lines that stay, number of all lines) of document ``i``; ``often`` has the largest id of the digests that are too frequent."""
+def kept_lines(text: str, i: int | None, often: dict[bytes, int], least_chars: int = LEAST_CHARS) -> tuple[list[str], int]:
+    """(lines that stay, number of all lines) of document ``i`` (null: nothing goes); ``often`` has the largest id of the digests that are too frequent."""
     kept, n = [], 0
     for line, digest in line_keys(text, least_chars):
         n += 1
-        last = often.get(digest) if digest else None
+        last = often.get(digest) if digest and i is not None else None
         if last is None or last == i:
             kept.append(line)
     return kept, n

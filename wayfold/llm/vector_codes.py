@@ -5,7 +5,7 @@ the entry it is assigned to, an upper bound of the distance to it and a lower bo
 written after each round. When entries move, upper bounds grow by their entry's way and lower bounds shrink by theirs. An entry is
 left out only where its lower bound, or half its distance from the assigned one, is strictly above the upper bound;
 what remains is compared by whole squared distances, ties to the lower number, so codes are those of the plain rounds.
-Bounds are 32-bit floats, rounded away from pruning. Sums and counts by part and entry are aggregated by Spark.
+Bounds are floats, rounded away from pruning; lower ones are written with 16 bits. Sums and counts by part and entry are aggregated by Spark.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import discard, stash
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
-#: Vectors of a block; their lower bounds are PARTS x ENTRIES x 4 bytes each.
-BLOCK = 2048
+#: Vectors of a block; their lower bounds are PARTS x ENTRIES x 2 bytes each.
+BLOCK = 512
 #: Bytes of codebooks that tasks hold at a time; widths beyond it take passes of their own.
 BOOKS_BYTES = 64 << 20
 #: A label with at least this share of all rows is hot; there are no more of them than its inverse.
@@ -52,6 +52,12 @@ def down(d: np.ndarray) -> np.ndarray:
     return (d * (1 - SLACK)).astype(np.float32)
 
 
+def kept(lower: np.ndarray) -> np.ndarray:
+    """Lower bounds as they are written: 16-bit floats, which have 11 binary digits, below what was known."""
+    x = np.minimum(lower * (1 - 2.0**-10), 65_000.0)
+    return np.where(x < 2.0**-12, 0.0, x).astype(np.float16)
+
+
 def assigned(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nearest entry, upper bounds, lower bounds) of the rows of one part, from all distances."""
     d2 = squares(x, entries)
@@ -102,7 +108,7 @@ class Block:
         if not row["near"]:
             return cls(width, row["ids"], row["labels"], row["unlabelled"], vectors)
         near, upper = np.frombuffer(row["near"], np.uint8).reshape(PARTS, n), np.frombuffer(row["upper"], np.float32).reshape(PARTS, n)
-        return cls(width, row["ids"], row["labels"], row["unlabelled"], vectors, near, upper, np.frombuffer(row["lower"], np.float32).reshape(PARTS, n, -1))
+        return cls(width, row["ids"], row["labels"], row["unlabelled"], vectors, near, upper, np.frombuffer(row["lower"], np.float16).reshape(PARTS, n, -1))
 
     def bounds(self) -> list[tuple[int, int]]:
         ends = part_ends(self.width)
@@ -139,7 +145,7 @@ class Block:
     def row(self) -> dict:
         return {
             "width": self.width, "size": len(self.vectors), "ids": self.ids, "labels": self.labels, "unlabelled": self.unlabelled, "vectors": self.vectors.tobytes(),
-            "near": self.near.tobytes(), "upper": self.upper.tobytes(), "lower": self.lower.tobytes(),
+            "near": self.near.tobytes(), "upper": self.upper.tobytes(), "lower": kept(self.lower).tobytes(),
         }
 
 

@@ -141,20 +141,23 @@ def _scored(pairs: DataFrame, exact: DataFrame, queries: DataFrame) -> DataFrame
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products over ``vectors`` but its own row.
 
-    Both tables are (id, v) with whole numbers. Their length is the most frequent one of ``vectors``, of equally
-    frequent ones the larger; rows of another length, which have no product with those, are left out, as are null
-    vectors. Ties go to the smaller id; where fewer than k other vectors exist, all are returned. Ids are unique, but
-    repeated vectors are vectors of their own. An empty table gives no rows; other columns are not read.
+    Both tables are (id, v) with whole numbers. Only vectors of one length have a product, so each length is searched by
+    itself, one after another; null and empty vectors are left out. Ties go to the smaller id; where fewer than k other vectors of its
+    length exist, a query gets all of them. Ids are unique, but repeated vectors are vectors of their own. An empty table gives
+    no rows; other columns are not read.
     """
-    usual = vectors.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not usual:
-        return empty
-    dims, n = usual.n, usual["count"]
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asked = {r.n for r in queries.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().collect()}
+    for r in sorted(vectors.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().collect()):
+        if r.n in asked:
+            found = found.unionByName(_top_k(vectors, queries, r.n, r["count"], k))
+    return found
+
+
+def _top_k(vectors: DataFrame, queries: DataFrame, dims: int, n: int, k: int) -> DataFrame:
+    """:func:`top_k` over the ``n`` vectors of one length."""
     queries = queries.where(F.size("v") == dims)
     m = queries.count()
-    if not m:
-        return empty
     exact = stash(vectors.where(F.size("v") == dims).select("id", "v"), "exact")
     edges = cell_edges(exact, dims)
     file = stash(packed(exact, BLOCK, n, edges), "cells")
