@@ -16,8 +16,26 @@ def test_fitting_keeps_the_picture():
     assert out.shape == (3, 20, 20) and np.allclose(out[:, 4:16].transpose(1, 2, 0), rgb / 255)
     assert np.allclose(out[:, :4], masks.PAD) and np.allclose(out[:, 16:], masks.PAD)
     flat = masks.letterboxed(np.full((50, 30, 3), 51, np.uint8), 16)
-    scale, w, h, left, top = masks.fit(30, 50, 16)
-    assert (h, w) == (16, 10) and np.allclose(flat[:, top : top + h, left : left + w], 0.2)
+    scale, left, top = masks.fit(30, 50, 16)
+    assert (scale, left, top) == (pytest.approx(0.32), pytest.approx(3.2), 0.0)
+    assert np.allclose(flat[:, :, 3:13], 0.2) and np.allclose(flat[:, :, :3], masks.PAD) and np.allclose(flat[:, :, 13:], masks.PAD)
+
+
+def test_pads_within_a_pixel():
+    """Each covered pixel against a plain loop over its place in the image."""
+    rgb = np.random.default_rng(4).integers(0, 256, (23, 37, 3), dtype=np.uint8)
+    out = masks.letterboxed(rgb, 32)
+    scale, left, top = masks.fit(37, 23, 32)
+    for y in range(32):
+        for x in range(32):
+            if not (math.floor(top) <= y < math.ceil(top + 23 * scale) and math.floor(left) <= x < math.ceil(left + 37 * scale)):
+                assert np.allclose(out[:, y, x], masks.PAD)
+                continue
+            u, v = (min(max((p + 0.5 - pad) / scale - 0.5, 0), n - 1) for p, pad, n in ((x, left, 37), (y, top, 23)))
+            i, j = int(u), int(v)
+            k, m = min(i + 1, 36), min(j + 1, 22)
+            want = (rgb[j, i] * (1 - u + i) + rgb[j, k] * (u - i)) * (1 - v + j) + (rgb[m, i] * (1 - u + i) + rgb[m, k] * (u - i)) * (v - j)
+            assert np.allclose(out[:, y, x], want / 255, atol=1e-6)
 
 
 def test_best_class(spark):
@@ -38,7 +56,7 @@ def test_union_and_the_way_back(spark):
     mask = masks.united(d, p, ["f"])
     assert {(r.u, r.v) for r in mask.collect()} == want
     size, side = (30, 20), 32
-    scale, _, _, left, top = masks.fit(*size, side)
+    scale, left, top = masks.fit(*size, side)
     back = {(u, v) for u in range(30) for v in range(20) if (math.floor(((u + 0.5) * scale + left) / 4), math.floor(((v + 0.5) * scale + top) / 4)) in want}
     found = masks.at_source(mask, ["f"], 8, side, size)
     assert {(r.u, r.v) for r in found.collect()} == back and found.count() == len(back)

@@ -68,3 +68,15 @@ def test_a_loop_spreads_the_drift(spark):
     assert abs(y[4]) < 0.05 and abs(y[0]) < 1e-6 and all(abs(v) < 0.15 for v in y)
     alone = reg.optimised(a, e.where(F.lit(False)), "run").orderBy("node").collect()
     assert [r.y for r in alone] == [0.1 * k for k in range(5)]
+
+
+def test_points_that_tell_no_direction():
+    rng = np.random.default_rng(9)
+    wall = np.stack([np.linspace(0, 4, 60), np.where(np.arange(60) < 30, 0.0, np.linspace(-2, 2, 60))], 1) + rng.normal(0, 1e-3, (60, 2))
+    alone = np.array([[50.0, 50.0]])
+    both = np.concatenate([wall, alone])
+    reference = reg.Neighbours(both, 1.0)
+    with_alone, without = (reg.match(p, reference, np.zeros(3)) for p in (both, wall))
+    assert np.allclose(with_alone.pose, without.pose, atol=1e-12) and np.isfinite(with_alone.residual)
+    assert reg.match(wall[:19], reference, np.zeros(3)) is None
+    assert reg.match(wall, reg.Neighbours(wall[:19], 1.0), np.zeros(3)) is None

@@ -86,6 +86,29 @@ def test_submaps_move_with_their_anchors(spark):
     assert (p.x, p.y, p.theta, p.note) == (pytest.approx(5.0), pytest.approx(3.0), pytest.approx(math.pi / 2 + 0.2), "kept")
 
 
+@pytest.mark.parametrize("solve", [submaps.solved, registration.optimised, None])
+def test_closures_move_anchors_or_snap(spark, solve):
+    """A square of four submaps told with drift, whose last pose sees the first submap; a run without closure stays."""
+    truth = np.array([[0, 0, 0], [5, 0, math.pi / 2], [5, 5, math.pi], [0, 5, -math.pi / 2]], float)
+    told = truth + np.arange(4)[:, None] * [0.1, 0.05, 0.02]
+    rows = [(r, k, k, *map(float, p)) for r in ("a", "b") for k, p in enumerate(told)]
+    at = spark.createDataFrame(rows, "run string, submap int, seq long, x double, y double, theta double")
+    ahead = np.array([0.5, 0.1, 0.2])
+    events = spark.createDataFrame([(r, k, k, None, *map(float, registration.se2_compose(p, ahead))) for r in ("a", "b") for k, p in enumerate(told)], "run string, seq long, submap int, also int, x double, y double, theta double")
+    seen = registration.se2_compose(registration.se2_inverse(truth[0]), registration.se2_compose(truth[3], ahead))
+    closures = spark.createDataFrame([("a", 3, 0, *map(float, seen))], "run string, seq long, target int, cx double, cy double, ctheta double")
+    new, poses = submaps.closed(closures, events, at, "run", solve)
+    hops = [(k, k + 1, registration.se2_compose(registration.se2_inverse(told[k]), told[k + 1]), *submaps.ODOMETRY) for k in range(3)]
+    loop = (0, 3, registration.se2_compose(seen, registration.se2_inverse(ahead)), *submaps.LOOP)
+    want = told if solve is None else registration.optimise(told, [*hops, loop])
+    got = {(r.run, r.submap): (r.x, r.y, r.theta) for r in new.collect()}
+    p = {(r.run, r.seq): np.array([r.x, r.y, r.theta]) for r in poses.collect()}
+    for k in range(4):
+        assert got["b", k] == pytest.approx(tuple(told[k])) and got["a", k] == pytest.approx(tuple(want[k]), abs=1e-5)
+        of = registration.se2_compose(want[0], seen) if k == 3 else registration.se2_compose(want[k], ahead)
+        assert np.allclose(p["a", k], of, atol=1e-5) and np.allclose(p["b", k], registration.se2_compose(told[k], ahead))
+
+
 def ring(n, loops, noise, seed=1):
     rng = np.random.default_rng(seed)
     a = np.arange(n) * 2 * math.pi / 40

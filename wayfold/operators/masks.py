@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,28 +25,31 @@ def class_ids(name: str | Sequence[int]) -> tuple[int, ...]:
     return tuple(int(c) for c in name)
 
 
-def fit(width: int, height: int, side: int) -> tuple[float, int, int, int, int]:
-    """(scale, width and height within the square, left and top pad) of an image fitted to a square."""
+def fit(width: int, height: int, side: int) -> tuple[float, float, float]:
+    """(scale, left pad, top pad) of an image fitted to a square; pads may end within a pixel."""
     scale = min(side / width, side / height)
-    w, h = round(width * scale), round(height * scale)
-    return scale, w, h, (side - w) // 2, (side - h) // 2
+    return scale, (side - width * scale) / 2, (side - height * scale) / 2
 
 
 def letterboxed(rgb: np.ndarray, side: int) -> np.ndarray:
-    """(3, side, side) single-precision light of an 8-bit image (height, width, 3), resized bilinearly, the rest padded."""
+    """(3, side, side) single-precision light of an 8-bit image (height, width, 3), resized bilinearly, the rest padded.
+
+    Pixels that the image covers in part are taken from it as a whole.
+    """
     height, width = rgb.shape[:2]
-    _, w, h, left, top = fit(width, height, side)
+    scale, left, top = fit(width, height, side)
     out = np.full((3, side, side), PAD, np.float32)
 
-    def places(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.clip((np.arange(n) + 0.5) * size / n - 0.5, 0, size - 1)
+    def places(size: int, pad: float) -> tuple[slice, np.ndarray, np.ndarray, np.ndarray]:
+        span = slice(max(math.floor(pad), 0), min(math.ceil(pad + size * scale), side))
+        at = np.clip((np.arange(span.start, span.stop) + 0.5 - pad) / scale - 0.5, 0, size - 1)
         low = np.floor(at).astype(int)
-        return low, np.minimum(low + 1, size - 1), (at - low)
+        return span, low, np.minimum(low + 1, size - 1), (at - low)
 
-    (x0, x1, fx), (y0, y1, fy) = places(w, width), places(h, height)
+    (across, x0, x1, fx), (down, y0, y1, fy) = places(width, left), places(height, top)
     light = rgb.astype(np.float64) / 255
     row = lambda y: light[y][:, x0] * (1 - fx)[:, None] + light[y][:, x1] * fx[:, None]
-    out[:, top : top + h, left : left + w] = (row(y0) * (1 - fy)[:, None, None] + row(y1) * fy[:, None, None]).transpose(2, 0, 1)
+    out[:, down, across] = (row(y0) * (1 - fy)[:, None, None] + row(y1) * fy[:, None, None]).transpose(2, 0, 1)
     return out
 
 
@@ -77,10 +81,10 @@ def at_source(mask: DataFrame, key: Sequence[str], grid: int, side: int, size: t
 
     Each grid pixel takes the image's pixels whose centres lie in it, so pads cover nothing.
     """
-    scale, _, _, left, top = fit(*size, side)
+    scale, left, top = fit(*size, side)
     cell = side / grid
 
-    def span(c: str, pad: int, n: int, i: str) -> Column:
+    def span(c: str, pad: float, n: int, i: str) -> Column:
         first = F.ceil((F.col(c) * cell - pad) / scale - 0.5)
         last = F.ceil(((F.col(c) + 1) * cell - pad) / scale - 0.5) - 1
         lo, hi = F.greatest(first, F.lit(0)), F.least(last, F.lit(n - 1))

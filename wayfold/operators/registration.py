@@ -97,7 +97,12 @@ def weak_axis(h00: float, h01: float, h11: float, ratio: float) -> np.ndarray |
 
 
 def match(current: np.ndarray, reference: Neighbours, start: np.ndarray, cfg: Matching = Matching()) -> Match | None:
-    """Trimmed point-to-line registration of ``current`` against a reference; None if too few pairs or singular."""
+    """Trimmed point-to-line registration of ``current`` against a reference; None if either has too few points, or too few pairs, or singular.
+
+    A point whose only reference, or whose references in one place, it lies on itself tells no direction and is left out.
+    """
+    if min(len(current), len(reference.points)) < cfg.least:
+        return None
     pose = np.array(start, float)
     out = None
     for _ in range(cfg.iterations):
@@ -111,9 +116,11 @@ def match(current: np.ndarray, reference: Neighbours, start: np.ndarray, cfg: Ma
         gap = q - a
         far = np.hypot(gap[:, 0], gap[:, 1])
         lone = (index[used, 1] < 0) | (size < 1e-9)
-        normal[lone] = np.where(far[lone, None] > 1e-12, gap[lone] / np.maximum(far[lone, None], 1e-12), [1.0, 0.0])
+        normal[lone] = gap[lone] / np.maximum(far[lone, None], 1e-12)
+        told = ~lone | (far >= 1e-12)
+        q, gap, normal = q[told], gap[told], normal[told]
         residual = (normal * gap).sum(1)
-        keep = int(math.floor(len(used) * (1 - cfg.trim)))
+        keep = int(math.floor(len(q) * (1 - cfg.trim)))
         if keep < cfg.least:
             return None
         best = np.argsort(np.abs(residual), kind="stable")[:keep]

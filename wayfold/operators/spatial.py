@@ -121,9 +121,9 @@ def masked(pixels: DataFrame, mask: DataFrame, u: str, v: str, size: tuple[int,
 
 
 def letterbox(width: Column, height: Column, side: int) -> tuple[Column, Column, Column]:
-    """(scale, left pad, top pad) that fit an image into a square."""
+    """(scale, left pad, top pad) that fit an image into a square; pads may end within a pixel."""
     scale = F.least(side / width, side / height)
-    return scale, F.floor((side - F.round(width * scale)) / 2), F.floor((side - F.round(height * scale)) / 2)
+    return scale, (side - width * scale) / 2, (side - height * scale) / 2
 
 
 def dilated(pixels: DataFrame, key: Sequence[str], u: str, v: str, radius: int) -> DataFrame:

@@ -11,14 +11,14 @@ Poses are planar (x, y, theta); points are (px, py, pz) in the levelled base fra
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geometry import wrap_angle
-from wayfold.operators import fields
+from wayfold.operators import fields, graphs
 from wayfold.operators.folds import folded
 from wayfold.operators.spatial import in_bands
 
@@ -189,3 +189,51 @@ def carried(poses: DataFrame, old: DataFrame, new: DataFrame, key: str) -> DataF
     world = composed(*map(F.col, ("__nx", "__ny", "__ntheta", "__lx", "__ly", "__lt")))
     out = met.withColumns({n: c for c, n in zip(world, ("__wx", "__wy", "__wt"), strict=True)}).withColumns({"x": F.col("__wx"), "y": F.col("__wy"), "theta": F.col("__wt")})
     return out.select(poses.columns)
+
+
+#: Standard deviations (turn, move) of the motion between submaps and of verified loops.
+ODOMETRY, LOOP = (0.05, 0.20), (0.01, 0.05)
+Solver = Callable[[DataFrame, DataFrame, str], DataFrame]
+
+
+def solved(anchors: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, node, x, y, theta): anchors (key, node, x, y, theta) at the optimum of :func:`graphs.planar`."""
+    found = graphs.planar(anchors, edges, key).variables
+    kinds = anchors.schema[key].dataType, anchors.schema["node"].dataType
+    return found.select(F.col("graph").cast(kinds[0]).alias(key), F.col("v").cast(kinds[1]).alias("node"), *[F.col("value")[k].alias(c) for k, c in enumerate(("x", "y", "theta"))])
+
+
+def closure_edges(closures: DataFrame, events: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
+    """(key, from, to, dx, dy, dtheta): what each of ``closures`` says about the anchor of its submap and that of the submap its pose was in.
+
+    ``closures`` has (key, seq, target, cx, cy, ctheta), the verified pose of an event in the target submap.
+    """
+    at = anchors.select(key, "submap", *[F.col(c).alias(f"__a{c}") for c in ("x", "y", "theta")])
+    met = closures.join(events.select(key, "seq", "submap", "x", "y", "theta"), [key, "seq"]).join(at, [key, "submap"])
+    # the active anchor in the event's frame, then in the target's
+    back = relative(*map(F.col, ("x", "y", "theta", "__ax", "__ay", "__atheta")))
+    met = met.withColumns({n: c for c, n in zip(back, ("__bx", "__by", "__bt"), strict=True)})
+    edge = composed(*map(F.col, ("cx", "cy", "ctheta", "__bx", "__by", "__bt")))
+    return met.where(F.col("target") != F.col("submap")).select(key, F.col("target").alias("from"), F.col("submap").alias("to"), *[c.alias(n) for c, n in zip(edge, ("dx", "dy", "dtheta"), strict=True)])
+
+
+def closed(closures: DataFrame, events: DataFrame, anchors: DataFrame, key: str, solve: Solver | None = solved) -> tuple[DataFrame, DataFrame]:
+    """(anchors, poses) after loops were closed: ``anchors`` and ``events`` with the poses that the verified ``closures`` lead to.
+
+    Closures of events that no overlap runs at become edges beside the motions between anchors; the graph's optimum moves the
+    anchors, and poses go with that of their submap. A pose that closed a loop is where its closure says, in the target submap as it
+    is then. Without a solver, for runs without such a closure, and where solving fails, anchors stay and only those poses snap.
+    """
+    new = anchors
+    if solve is not None:
+        lone = closures.join(events.where("also is null").select(key, "seq"), [key, "seq"], "left_semi")
+        loops = closure_edges(lone, events, anchors, key).withColumns({"sigma_turn": F.lit(LOOP[0]), "sigma_move": F.lit(LOOP[1])})
+        hops = hand_over_edges(anchors, key).join(loops.select(key).distinct(), key, "left_semi").withColumns({"sigma_turn": F.lit(ODOMETRY[0]), "sigma_move": F.lit(ODOMETRY[1])})
+        nodes = anchors.join(loops.select(key).distinct(), key, "left_semi").select(key, F.col("submap").alias("node"), "x", "y", "theta")
+        new = reposed(anchors, solve(nodes, hops.unionByName(loops), key), key)
+    moved = carried(events, anchors, new, key)
+    at = new.select(key, F.col("submap").alias("target"), *[F.col(c).alias(f"__a{c}") for c in ("x", "y", "theta")])
+    snapped = composed(*map(F.col, ("__ax", "__ay", "__atheta", "cx", "cy", "ctheta")))
+    there = closures.join(at, [key, "target"]).select(key, "seq", *[c.alias(n) for c, n in zip(snapped, ("__sx", "__sy", "__st"), strict=True)])
+    met = moved.join(there, [key, "seq"], "left").withColumns({"x": F.coalesce("__sx", "x"), "y": F.coalesce("__sy", "y"), "theta": F.coalesce("__st", "theta")})
+    return new, met.select(events.columns)

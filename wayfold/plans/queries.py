@@ -547,11 +547,12 @@ def rotation_round_trip(spark, d):
     return e.select("vec_id", *[r6(f"r.{k}", k) for k in ("roll", "pitch", "yaw")])
 
 
-@query("""SELECT i AS stamp, round(1.5 * (1 - cos(2 * pi() / 10 * i / 200.0::DOUBLE)), 5) + 0.0 AS px, round(1.5 * (2 * pi() / 10) ** 2 * cos(2 * pi() / 10 * i / 200.0::DOUBLE), 5) + 0.0 AS ax FROM range(4001) t(i)""")
+@query("""WITH t AS (SELECT event_id, 2 * pi() / 10 * (event_id % 4001) / 200.0::DOUBLE AS a FROM events) SELECT event_id, round(1.5 * (1 - cos(a)), 5) + 0.0 AS px, round(1.5 * (2 * pi() / 10) ** 2 * cos(a), 5) + 0.0 AS ax FROM t""")
 def synthetic_trajectory(spark, d):
+    """Where a body on an even swing is at each event, and its acceleration."""
     w = 2 * math.pi / 10
-    t = F.col("id") / 200.0
-    return spark.range(4001).select(F.col("id").alias("stamp"), r5z(1.5 * (1 - F.cos(w * t)), "px"), r5z(1.5 * w**2 * F.cos(w * t), "ax"))
+    t = F.col("event_id") % 4001 / 200.0
+    return read(spark, d, "events").select("event_id", r5z(1.5 * (1 - F.cos(w * t)), "px"), r5z(1.5 * w**2 * F.cos(w * t), "ax"))
 
 
 #: Names that these queries had while others of their name read some ids only.

@@ -291,10 +291,10 @@ def masked_pixels(spark, d):
 
 
 @query("""WITH i AS (SELECT p_partkey, p_size * 37.0::DOUBLE AS w, 480.0::DOUBLE AS h FROM part), s AS (SELECT *, least(640 / w, 640 / h) AS scale FROM i)
-SELECT p_partkey, round(scale, 6) AS scale, floor((640 - round(w * scale)) / 2) AS pad_x, floor((640 - round(h * scale)) / 2) AS pad_y FROM s""")
+SELECT p_partkey, round(scale, 6) AS scale, round((640 - w * scale) / 2, 6) + 0.0 AS pad_x, round((640 - h * scale) / 2, 6) + 0.0 AS pad_y FROM s""")
 def letterbox_fit(spark, d):
     scale, px, py = spatial.letterbox(F.col("p_size") * 37.0, F.lit(480.0), 640)
-    return read(spark, d, "part").select("p_partkey", r6(scale, "scale"), px.cast("double").alias("pad_x"), py.cast("double").alias("pad_y"))
+    return read(spark, d, "part").select("p_partkey", r6(scale, "scale"), r5z_six(px).alias("pad_x"), r5z_six(py).alias("pad_y"))
 
 
 @query("SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: embedding[i]::DOUBLE * embedding[i + 32]::DOUBLE)) > 0 AS inside FROM embeddings")
@@ -342,13 +342,36 @@ def preintegration(spark, d):
     return p.select("run_id", "stamp_ns", F.round("dt", 6).alias("dt"), r5z("vx", "vx"), r5z("vy", "vy"))
 
 
-@query()
+def _folded_voxels(most: float, carve: float) -> str:
+    """SQL that folds the events of a voxel (kind 0: passed, 1: observed) in order; an event is laid out as the state is."""
+    state = lambda **k: "struct_pack(" + ", ".join(f"{c} := {k.get(c, f'a.{c}')}" for c in ("kind", "obs", "colour", "tsdf", "weight", "red", "n", "observed", "carved")) + ")"
+    passed = f"CASE WHEN a.weight <= 0 THEN a WHEN a.weight * {carve} < 1 THEN {state(tsdf='0.0::DOUBLE', weight='0.0::DOUBLE', red='0.0::DOUBLE', n='0::BIGINT', carved='a.carved + 1')} ELSE {state(weight=f'a.weight * {carve}::DOUBLE', carved='a.carved + 1')} END"
+    painted = {"red": "CASE WHEN e.colour IS NULL THEN a.red ELSE a.red + (e.colour - a.red) / (a.n + 1) END", "n": "CASE WHEN e.colour IS NULL THEN a.n ELSE least(a.n + 1, 32) END"}
+    seen = state(tsdf="(a.tsdf * a.weight + e.obs) / (a.weight + 1)", weight=f"least(a.weight + 1, {most}::DOUBLE)", observed="a.observed + 1", **painted)
+    return f"list_reduce(events, lambda a, e: CASE WHEN e.kind = 0 THEN {passed} ELSE {seen} END)"
+
+
+@query(f"""WITH {PLANAR}, q AS (SELECT run_id % 5 AS map, stamp_ns, event_id, k::DOUBLE AS paint, x AS px, y AS py, z AS pz, sqrt(x * x + y * y + z * z) AS dist FROM p), s AS (SELECT *, greatest(dist - 0.5::DOUBLE, 0.0) AS a, dist + 0.5::DOUBLE AS b FROM q WHERE dist >= 1e-9),
+w AS (SELECT *, unnest(range(0, CAST(floor((b - a) / 0.125) AS BIGINT) + 2)) AS step FROM s), v AS (SELECT *, least(a + step * 0.125, b) AS t FROM w),
+i AS (SELECT *, CAST(floor(t * px / dist / 0.25) AS BIGINT) AS ix, CAST(floor(t * py / dist / 0.25) AS BIGINT) AS iy, CAST(floor(t * pz / dist / 0.25) AS BIGINT) AS iz, greatest(-0.5, least(0.5, dist - t)) AS obs FROM v),
+l AS (SELECT *, lag(ix) OVER g AS jx, lag(iy) OVER g AS jy, lag(iz) OVER g AS jz FROM i WINDOW g AS (PARTITION BY event_id ORDER BY step)),
+o AS (SELECT *, row_number() OVER (PARTITION BY event_id, ix, iy, iz ORDER BY step) AS n FROM l WHERE jx IS NULL OR jx <> ix OR jy <> iy OR jz <> iz),
+f AS (SELECT *, greatest(dist - 0.5::DOUBLE, 0.0) - 0.25 AS free FROM q WHERE dist >= 1e-9), u AS (SELECT *, unnest(range(0, CAST(floor(free / 0.25) AS BIGINT) + 2)) AS step FROM f WHERE free >= 0.25),
+c AS (SELECT *, least(step * 0.25, free) AS t FROM u), ci AS (SELECT *, CAST(floor(t * px / dist / 0.25) AS BIGINT) AS ix, CAST(floor(t * py / dist / 0.25) AS BIGINT) AS iy, CAST(floor(t * pz / dist / 0.25) AS BIGINT) AS iz FROM c WHERE dist - t > greatest(0.1::DOUBLE * t, 1.0)),
+cl AS (SELECT *, lag(ix) OVER g AS jx, lag(iy) OVER g AS jy, lag(iz) OVER g AS jz FROM ci WINDOW g AS (PARTITION BY event_id ORDER BY step)),
+cc AS (SELECT * FROM cl SEMI JOIN o USING (map, ix, iy, iz) WHERE jx IS NULL OR jx <> ix OR jy <> iy OR jz <> iz),
+e0 AS (SELECT map, ix, iy, iz, stamp_ns, event_id, 1 AS kind, step, obs, CASE WHEN n = 1 AND ix = CAST(floor(px / 0.25) AS BIGINT) AND iy = CAST(floor(py / 0.25) AS BIGINT) AND iz = CAST(floor(pz / 0.25) AS BIGINT) THEN paint END AS colour FROM o
+UNION ALL SELECT map, ix, iy, iz, stamp_ns, event_id, 0, step, NULL, NULL FROM cc
+UNION ALL SELECT DISTINCT map, ix, iy, iz, -1, -1, -1, 0, NULL, NULL FROM o),
+g AS (SELECT map, ix, iy, iz, list(struct_pack(kind := kind, obs := obs, colour := colour, tsdf := 0.0::DOUBLE, weight := 0.0::DOUBLE, red := 0.0::DOUBLE, n := 0::BIGINT, observed := 0::BIGINT, carved := 0::BIGINT) ORDER BY stamp_ns, event_id, kind, step) AS events FROM e0 GROUP BY ALL),
+r AS (SELECT map, ix, iy, iz, {_folded_voxels(1e5, 0.5)} AS s FROM g)
+SELECT map, ix, iy, iz, round(s.tsdf, 5) + 0.0 AS tsdf, round(s.weight, 5) AS weight, CASE WHEN s.n > 0 THEN round(s.red, 5) END AS red, CAST(s.n AS INTEGER) AS n_red, s.observed AS observed, s.carved AS carved FROM r""")
 def carved_map(spark, d):
-    """Rays of a map in order of time, fused with carving and colour; the tests compare with a map kept ray by ray."""
+    """Rays of a map in order of time, fused with carving and colour; the SQL folds each voxel's list of events."""
     p = planar(spark, d)
     rays = p.select((F.col("run_id") % 5).alias("map"), "stamp_ns", "event_id", *[F.lit(0.0).alias(f"o{a}") for a in voxel.AXES], *[F.col(a).alias(f"p{a}") for a in voxel.AXES], F.col("k").cast("double").alias("red"))
     found = fields.fused(rays, ["map"], ["stamp_ns", "event_id"], fields.Field(0.25, 0.5, 1e5, 0.5, 0.1), "red")
-    return found.withColumns({c: F.round(c, 5) for c in ("tsdf", "weight", "red")})
+    return found.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("tsdf", "weight", "red")})
 
 
 @query(f"""WITH RECURSIVE {PLANAR}, o AS (SELECT run_id, x, y, coalesce(sqrt((x - lag(x) OVER {_W}) ** 2 + (y - lag(y) OVER {_W}) ** 2), 0) AS d, row_number() OVER {_W} AS n FROM p),
@@ -431,3 +454,22 @@ def pose_graph_spread(spark, d):
     found = graphs.planar(anchors, hops.unionByName(loops), "run_id").variables
     r4z = lambda e, name: (F.round(e, 4) + F.lit(0.0)).alias(name)
     return found.select(F.col("graph").cast("int").alias("run_id"), F.col("v").cast("int").alias("node"), r4z(F.col("value")[0], "x"), r4z(F.col("value")[1], "y"))
+
+
+@query("""WITH n AS (SELECT s_nationkey AS run_id, s_suppkey AS seq, 1 + (s_suppkey % 7) / 10.0::DOUBLE AS hop, row_number() OVER w - 1 AS node, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+t AS (SELECT *, sum(CASE WHEN node > 0 THEN hop ELSE 0 END) OVER (PARTITION BY run_id ORDER BY node) + CASE WHEN n > 2 THEN 0.5 * node * 0.04::DOUBLE / ((n - 1) * 0.04::DOUBLE + 0.0025::DOUBLE) ELSE 0 END AS anchor, sum(CASE WHEN node > 0 THEN hop ELSE 0 END) OVER (PARTITION BY run_id) AS whole FROM n)
+SELECT run_id, seq, CAST(node AS INTEGER) AS submap, round(anchor, 4) + 0.0 AS anchor_x, round(CASE WHEN node = n - 1 AND n > 2 THEN whole + 0.8 ELSE anchor + 0.3 END, 4) + 0.0 AS x FROM t""")
+def loop_closing(spark, d):
+    """Each supplier a submap on its nation's line with a pose 30 cm ahead; the last pose closes a loop with the first submap, half a metre off.
+
+    Anchors take their shares of it, poses go with them, and the one that closed the loop is where the closure says.
+    """
+    w = Window.partitionBy("run_id").orderBy("seq")
+    n = read(spark, d, "supplier").select(F.col("s_nationkey").alias("run_id"), F.col("s_suppkey").alias("seq")).withColumns({"hop": 1 + F.col("seq") % 7 / 10.0, "submap": (F.row_number().over(w) - 1).cast("int"), "n": F.count("*").over(Window.partitionBy("run_id"))})
+    told = n.withColumn("x", F.sum(F.when(F.col("submap") > 0, F.col("hop")).otherwise(0.0)).over(w)).withColumns({"y": F.lit(0.0), "theta": F.lit(0.0)})
+    anchors = told.select("run_id", "submap", "seq", "x", "y", "theta")
+    events = told.select("run_id", "seq", "submap", F.lit(None).cast("int").alias("also"), (F.col("x") + 0.3).alias("x"), "y", "theta")
+    closures = told.where("submap = n - 1 and n > 2").select("run_id", "seq", F.lit(0).alias("target"), (F.col("x") + 0.8).alias("cx"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("ctheta"))
+    new, poses = submaps.closed(closures, events, anchors, "run_id", registration.optimised)
+    r4z = lambda e, name: (F.round(e, 4) + F.lit(0.0)).alias(name)
+    return poses.join(new.select("run_id", "submap", F.col("x").alias("ax")), ["run_id", "submap"]).select("run_id", "seq", "submap", r4z(F.col("ax"), "anchor_x"), r4z(F.col("x"), "x"))
