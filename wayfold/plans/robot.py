@@ -365,13 +365,16 @@ UNION ALL SELECT map, ix, iy, iz, stamp_ns, event_id, 0, step, NULL, NULL FROM c
 UNION ALL SELECT DISTINCT map, ix, iy, iz, -1, -1, -1, 0, NULL, NULL FROM o),
 g AS (SELECT map, ix, iy, iz, list(struct_pack(kind := kind, obs := obs, colour := colour, tsdf := 0.0::DOUBLE, weight := 0.0::DOUBLE, red := 0.0::DOUBLE, n := 0::BIGINT, observed := 0::BIGINT, carved := 0::BIGINT) ORDER BY stamp_ns, event_id, kind, step) AS events FROM e0 GROUP BY ALL),
 r AS (SELECT map, ix, iy, iz, {_folded_voxels(1e5, 0.5)} AS s FROM g)
-SELECT map, ix, iy, iz, round(s.tsdf, 5) + 0.0 AS tsdf, round(s.weight, 5) AS weight, CASE WHEN s.n > 0 THEN round(s.red, 5) END AS red, CAST(s.n AS INTEGER) AS n_red, s.observed AS observed, s.carved AS carved FROM r""")
+SELECT map, ix, iy, iz, round(s.tsdf + 1e-9, 5) + 0.0 AS tsdf, round(s.weight + 1e-9, 5) AS weight, CASE WHEN s.n > 0 THEN round(s.red + 1e-9, 5) END AS red, CAST(s.n AS INTEGER) AS n_red, s.observed AS observed, s.carved AS carved FROM r""")
 def carved_map(spark, d):
-    """Rays of a map in order of time, fused with carving and colour; the SQL folds each voxel's list of events."""
+    """Rays of a map in order of time, fused with carving and colour; the SQL folds each voxel's list of events.
+
+    Means of few observations often lie between two rounded values, so a billionth is added before rounding.
+    """
     p = planar(spark, d)
     rays = p.select((F.col("run_id") % 5).alias("map"), "stamp_ns", "event_id", *[F.lit(0.0).alias(f"o{a}") for a in voxel.AXES], *[F.col(a).alias(f"p{a}") for a in voxel.AXES], F.col("k").cast("double").alias("red"))
     found = fields.fused(rays, ["map"], ["stamp_ns", "event_id"], fields.Field(0.25, 0.5, 1e5, 0.5, 0.1), "red")
-    return found.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("tsdf", "weight", "red")})
+    return found.withColumns({c: F.round(F.col(c) + 1e-9, 5) + F.lit(0.0) for c in ("tsdf", "weight", "red")})
 
 
 @query(f"""WITH RECURSIVE {PLANAR}, o AS (SELECT run_id, x, y, coalesce(sqrt((x - lag(x) OVER {_W}) ** 2 + (y - lag(y) OVER {_W}) ** 2), 0) AS d, row_number() OVER {_W} AS n FROM p),
