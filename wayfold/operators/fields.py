@@ -13,7 +13,7 @@ from wayfold.functions.geometry import wrap_angle
 from wayfold.operators.folds import folded
 from wayfold.operators.lineage import cut
 from wayfold.operators.spatial import within_radius
-from wayfold.operators.voxel import AXES, block, capped_mean, gradients, index, ray_observations
+from wayfold.operators.voxel import AXES, capped_mean, gradients, index, ray_observations
 
 
 @dataclass(frozen=True)
@@ -96,9 +96,8 @@ def fused(rays: DataFrame, key: Sequence[str], order: Sequence[str], field: Fiel
 
     ``order`` numbers the rays of a key. Each first carves the voxels on its free part, then is observed in the band around
     its hit; the voxel of the hit takes the ``colour``, one column or several channels, which then have a column each in place of red.
-    Rays through empty space meet no voxel: blocks of 8 x 8 x 8 that are observed at some time are found first, and of the steps of
-    a ray only those in such blocks are looked up voxel by voxel. Voxels that no ray passes are aggregates; the events of the others
-    are folded in order.
+    Only voxels that are observed at some time have rows, so rays through empty space meet none; those are semi-joined away before
+    anything is sorted. Without carving voxels are aggregates; with it a voxel's events are folded in order.
     """
     names, cell = [*key, *order], [*key, "ix", "iy", "iz"]
     channels = [colour] if isinstance(colour, str) else list(colour or ())
@@ -116,17 +115,12 @@ def fused(rays: DataFrame, key: Sequence[str], order: Sequence[str], field: Fiel
     seen = seen.select(*cell, *order, "step", "obs", "colour")
     if field.carve >= 1:
         return _uncarved(seen, cell, order, field, shown if channels else ())
-    blocks = lambda df: df.select("*", *[block(f"i{a}").alias(f"__b{a}") for a in AXES])
-    held = [*key, *[f"__b{a}" for a in AXES]]
-    passed = blocks(carve_events(rays, names, field)).join(blocks(seen).select(*held).distinct(), held, "left_semi")
-    passed = cut(passed.join(seen.select(*cell).distinct(), cell, "left_semi").select(*cell, *order, "step"))
-    worn = passed.select(*cell).distinct()
-    still = _uncarved(seen.join(worn, cell, "left_anti"), cell, order, field, shown if channels else ())
-    events = seen.join(worn, cell, "left_semi").select(*cell, *order, F.lit(1).alias("kind"), "step", "obs", "colour")
+    passed = carve_events(rays, names, field).join(seen.select(*cell).distinct(), cell, "left_semi")
+    events = seen.select(*cell, *order, F.lit(1).alias("kind"), "step", "obs", "colour")
     events = events.unionByName(passed.select(*cell, *order, F.lit(0).alias("kind"), "step", F.lit(None).cast("double").alias("obs"), F.lit(None).cast("array<double>").alias("colour")))
     keyed = events.select(F.struct(*cell).alias("cell"), *order, "kind", "step", "obs", "colour")
     out = folded(keyed, lambda: Voxel(field.most, field.carve, shown), "cell", [*order, "kind", "step"])
-    return out.select("cell.*", *[c for c in out.columns if c != "cell"]).select(still.columns).unionByName(still)
+    return out.select("cell.*", *[c for c in out.columns if c != "cell"])
 
 
 def plain(observations: DataFrame, key: Sequence[str], field: Field, order: Sequence[str]) -> DataFrame:
