@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_dedup import overlapping, repeated
 
@@ -21,6 +22,39 @@ def test_boundaries_in_hot_keys(docs, monkeypatch, seed):
     assert sorted(map(tuple, suffix_dedup.digests(docs(rows).repartition(5)).collect()), key=str) == repeated(rows)
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_buckets_in_parts(docs, monkeypatch, seed):
+    # a bucket of some thousand rows is taken in many ranges
+    monkeypatch.setattr(suffix_dedup, "PART", 64)
+    monkeypatch.setattr(suffix_dedup, "SENT", 300)
+    rng = random.Random(seed)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60, 300))) for _ in range(12)]
+    rows = overlapping(seed) + [(100 + k, "".join(rng.choice(passages) + str(k) for _ in range(rng.randrange(4))), "en") for k in range(60)]
+    assert sorted(map(tuple, suffix_dedup.digests(docs(rows).repartition(4)).collect()), key=str) == repeated(rows)
+
+
+def test_parts_keep_keys_together():
+    rng = np.random.default_rng(3)
+    blocks, whole = [], []
+    for k in range(9):
+        rows = np.zeros((rng.integers(1, 4000), suffix_dedup.RIGHT_WIDTH), np.uint8)
+        rows[:, :3] = rng.integers(97, 100, (len(rows), 3))
+        rows = rows[np.lexsort(rows.T[::-1])]
+        ids = np.arange(len(rows)) + 10_000 * k
+        blocks.append(suffix_dedup._packed_bytes(suffix_dedup.SINGLE, 0, rows, [ids.astype(np.uint32)], np.zeros(len(rows), np.int64), np.array([k]), np.array([k])))
+        whole += [(i, bytes(r)) for i, r in zip(ids.tolist(), rows, strict=True)]
+    table = pa.Table.from_batches(blocks)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffix_dedup, "PART", 2000)
+        parts = list(suffix_dedup._parts(table, suffix_dedup.RIGHT_WIDTH, suffix_dedup.WINDOW, np.uint32))
+    found, keys = [], []
+    for p in parts:
+        rows, (place,), *_ = suffix_dedup._unpacked_bytes(p, suffix_dedup.RIGHT_WIDTH, np.uint32)
+        found += [(i, bytes(r)) for i, r in zip(place.tolist(), rows, strict=True)]
+        keys.append({bytes(r) for r in rows})
+    assert len(parts) > 3 and sorted(found) == sorted(whole) and sum(map(len, keys)) == len(set().union(*keys))
+
+
 def test_a_text_of_one_character(docs):
     rows = [(1, "x" * (1 << 20), "en"), (2, "y" * 60 + "x" * 100, "en"), (3, "x" * 49, "en"), (0, "ab" * 30 + "x" * 70, "en"), (4, "ab" * 100_000, "en")]
     found = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.digests(docs(rows)).collect()}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from wayfold.llm.common import planes, slices, small_batches, texts_of, unplanes
+from wayfold.llm.common import frugal, give_back, planes, slices, small_batches, texts_of, unplanes
 
 WINDOW, KEY = 50, 20
 #: Bytes that a stretch can have before its anchor.
@@ -35,8 +35,12 @@ LEFT = WINDOW - KEY
 FLAT = 1 << 20
 _PIECE = 1 << 18
 ANCHORS, SENT = 400_000, 100_000
-#: Bytes of text whose anchors share a bucket; bytes of text that the splitters are taken from.
-BUCKET_BYTES, LEAST_BUCKETS, SAMPLED_BYTES, SAMPLED_KEYS = 6 << 20, 64, 32 << 20, 20_000
+#: Bytes of text whose anchors share a bucket.
+BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 64
+#: Splitters are taken from a sample with so many stretches a bucket, one in THINNED of those of at least so many bytes of text.
+SAMPLED_ROWS, THINNED, SAMPLED_BYTES = 32, 64, 16 << 20
+#: Rows of bytes that are compared at once; a bucket that holds more is taken range by range.
+PART = 1 << 17
 #: A stretch as a row: its suffix, what stands before the anchor from right to left, both padded, and the two lengths.
 RIGHT_WIDTH, LEFT_WIDTH, ROW = 56, 32, 96
 _rng = np.random.default_rng(20)
@@ -334,6 +338,7 @@ def _shared(table: pa.Table) -> pa.Table:
         several = (np.maximum.reduceat(known, start) > 0) | (np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start))
         chosen = np.repeat(several, np.diff(np.append(start, len(key)))) & (known == 0)
         out.append(pa.Table.from_arrays(_by_doc(OPEN, doc[chosen], number[chosen], ids, tids), _NAMES[1:]))
+    give_back()
     return pa.concat_tables([t.cast(out[0].schema) for t in out])
 
 
@@ -356,15 +361,51 @@ def _packed_bytes(kind: int, bucket: int, rows: np.ndarray, arrays: list[np.ndar
     return _sent(bucket, [pa.array([kind], pa.int8()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())])
 
 
-def _unpacked_bytes(table: pa.Table, width: int, *kinds) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """All rows of bytes of a table with their arrays, the document of each, and the documents' ids, ascending, with tids."""
+def _raws(data: bytes) -> list[bytes]:
+    """The three parts that :func:`_packed_bytes` joined."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : end])
+        at = end
+    return out
+
+
+def _parts(table: pa.Table, width: int, key: int, *kinds) -> Iterator[list[list[bytes]]]:
+    """The blocks of a table in ranges of the first ``key`` bytes, of about PART rows each, but for one key with more.
+
+    Every block is in order, so it is cut by binary search; of a large bucket only one range is unpacked at a time.
+    """
+    blocks = [_raws(x.as_py()) for x in table.column("data")]
+    total = sum(zstandard.get_frame_parameters(b[2]).content_size for b in blocks) // width
+    if total <= PART:
+        if blocks:
+            yield blocks
+        return
+    opened = lambda b: np.frombuffer(zstandard.ZstdDecompressor().decompress(b[2]), np.uint8).reshape(-1, width)
+    keys = lambda rows: np.ascontiguousarray(rows[:, :key]).view(f"S{key}").ravel()
+    step, seen, drawn = max(1, PART // 64), 0, []
+    for b in blocks:
+        rows = opened(b)
+        drawn.append(keys(rows[-seen % step :: step]))
+        seen += len(rows)
+    drawn = np.sort(np.concatenate(drawn))
+    edges = np.unique(drawn[np.linspace(0, len(drawn), -(-total // PART) + 1).astype(np.int64)[1:-1]])
+    out: list[list[list[bytes]]] = [[] for _ in range(len(edges) + 1)]
+    while blocks:
+        b = blocks.pop()
+        rows, arrays = opened(b), _unpack(b[1], np.uint32, *kinds)
+        cut = np.concatenate([[0], np.searchsorted(keys(rows), edges, "left"), [len(rows)]])
+        for r in np.flatnonzero(np.diff(cut)):
+            some = slice(cut[r], cut[r + 1])
+            out[r].append([b[0], _pack(*(x[some] for x in arrays)), zstandard.ZstdCompressor(level=1).compress(rows[some].tobytes())])
+    yield from filter(None, out)
+
+
+def _unpacked_bytes(blocks: list[list[bytes]], width: int, *kinds) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """All rows of bytes of blocks with their arrays, the document of each, and the documents' ids, ascending, with tids."""
     rows, arrays, ids, tids = [], [[] for _ in kinds], [], []
-    for x in table.column("data"):
-        data, raws, at = x.as_py(), [], 0
-        while at < len(data):
-            end = at + 4 + int.from_bytes(data[at : at + 4], "little")
-            raws.append(data[at + 4 : end])
-            at = end
+    for raws in blocks:
         i, t = _unpack(raws[0], np.int64, np.int64)
         who, *found = _unpack(raws[1], np.uint32, *kinds)
         for a, f in zip(arrays, found, strict=True):
@@ -483,31 +524,31 @@ def _compare(table: pa.Table) -> pa.Table:
     kind = table.column("kind").to_numpy()
     out = _passed_on(table, (GONE, WINDOWS))
     add = lambda what, doc, number, ids, tids: out.append(pa.Table.from_arrays(_by_doc(what, doc, number, ids, tids), _NAMES[1:]))
-    packed = table.filter(pa.array(kind == STRETCHES))
-    if len(packed):
-        rows, (number, place), doc, ids, tids = _unpacked_bytes(packed, ROW, np.uint32, np.uint32)
+    for part in _parts(table.filter(pa.array(kind == STRETCHES)), ROW, KEY, np.uint32, np.uint32):
+        rows, (number, place), doc, ids, tids = _unpacked_bytes(part, ROW, np.uint32, np.uint32)
         order, start = suffix_order(rows)
         rows, number, place, doc = rows[order], number[order], place[order], doc[order]
         own = ids[doc]
         gone = own > _least(own, start)
         add(GONE, doc[gone], number[gone], ids, tids)
         rows, place, doc, own = rows[~gone], place[~gone], doc[~gone], own[~gone]
+        if not len(rows):
+            continue
         key = rows[:, :KEY]
-        keys = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))) if len(rows) else np.zeros(0, np.int64)
-        if len(keys):
-            size = np.diff(np.append(keys, len(rows)))
-            several = np.repeat(np.minimum.reduceat(own, keys) != np.maximum.reduceat(own, keys), size)
-            rows, place, doc, own = rows[several], place[several], doc[several], own[several]
-            found = [(doc[at], place[at] + rows[at, -1] - np.uint32(p)) for at, p in _equal_windows(rows, own)]
-            if found:
-                add(WINDOWS, *(np.concatenate(x) for x in zip(*found, strict=True)), ids, tids)
-    single = table.filter(pa.array(kind == SINGLE))
-    if len(single):
-        window, (place,), doc, ids, tids = _unpacked_bytes(single, RIGHT_WIDTH, np.uint32)
+        keys = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+        size = np.diff(np.append(keys, len(rows)))
+        several = np.repeat(np.minimum.reduceat(own, keys) != np.maximum.reduceat(own, keys), size)
+        rows, place, doc, own = rows[several], place[several], doc[several], own[several]
+        found = [(doc[at], place[at] + rows[at, -1] - np.uint32(p)) for at, p in _equal_windows(rows, own)]
+        if found:
+            add(WINDOWS, *(np.concatenate(x) for x in zip(*found, strict=True)), ids, tids)
+    for part in _parts(table.filter(pa.array(kind == SINGLE)), RIGHT_WIDTH, WINDOW, np.uint32):
+        window, (place,), doc, ids, tids = _unpacked_bytes(part, RIGHT_WIDTH, np.uint32)
         order, start = suffix_order(window)
         place, doc = place[order], doc[order]
         gone = ids[doc] > _least(ids[doc], start)
         add(WINDOWS, doc[gone], place[gone], ids, tids)
+    give_back()
     return pa.concat_tables([t.cast(out[0].schema) for t in out])
 
 
@@ -571,13 +612,13 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sized = known.where(f"octet_length(text) >= {WINDOW}").select("id", "tid", "text")
     size = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
-    sent = sized.mapInArrow(_anchors(buckets), _SENT).repartition(buckets, "bucket")
+    sent = sized.mapInArrow(frugal(_anchors(buckets)), _SENT).repartition(buckets, "bucket")
     opened = sent.groupBy("bucket").applyInArrow(_shared, _BACK)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     # one exchange of the texts serves both joins, as both take the same columns
     dealt = known.repartition(parts, "id", "tid")
     several = dealt.join(opened.groupBy("id", "tid").agg(F.collect_list("data").alias("open")), ["id", "tid"]).select("id", "tid", "text", "open", "row")
-    handed = several.mapInArrow(_suffixes(_splitters(sized, size, buckets), buckets), _SENT).repartition(buckets, "bucket")
+    handed = several.mapInArrow(frugal(_suffixes(_splitters(sized, size, buckets), buckets)), _SENT).repartition(buckets, "bucket")
     back = handed.groupBy("bucket").applyInArrow(_compare, _BACK)
     some = lambda kind, name: F.collect_list(F.when(F.col("kind") == kind, F.col("data"))).alias(name)
     joined = dealt.join(back.groupBy("id", "tid").agg(some(GONE, "gone"), some(WINDOWS, "windows")), ["id", "tid"], "left")
@@ -587,16 +628,22 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _splitters(sized: DataFrame, size: int, buckets: int) -> np.ndarray:
-    """Stretches that cut all of them into buckets of about equal size, from a bounded sample. They move work, not results."""
-    share = min(1.0, SAMPLED_KEYS * 8 / max(1, min(size, SAMPLED_BYTES)))
+    """Stretches that cut all of them into buckets of about equal size. They move work, not results.
+
+    The sample grows with the number of buckets, and so does what the driver gets: some 3 KB a bucket.
+    """
+    wanted = buckets * SAMPLED_ROWS * THINNED * (WINDOW - KEY + 2) // 2  # bytes of text that have so many anchors
+    share = min(1.0, max(wanted, SAMPLED_BYTES) / max(1, size))
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in slices(batches, column=0):
             for s in stretches([t.encode() for t in texts_of(batch.column(0))]):
-                at = np.arange(0, len(s), max(1, round(1 / share)))
+                at = np.arange(-seen % THINNED, len(s), THINNED)
+                seen += len(s)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in s.rows(at)], pa.binary())], ["row"])
 
-    some = sized.select("text").sample(min(1.0, SAMPLED_BYTES / max(1, size)), 11).mapInArrow(drawn, "row binary").collect()
+    some = sized.select("text").sample(share, 11).mapInArrow(frugal(drawn), "row binary").collect()
     rows = sorted(bytes(r.row) for r in some)
     at = np.linspace(0, len(rows), buckets + 1).astype(np.int64)[1:-1] if rows else ()
     return np.frombuffer(b"".join(sorted({rows[i] for i in at})), np.uint8).reshape(-1, ROW)
@@ -619,7 +666,7 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, finish, schema: Struc
         return pa.RecordBatch.from_arrays([batch.column(0), *finish(batch.column(1), texts, removed)], names)
 
     marked = _marked(docs, id_col, text_col)
-    return marked.mapInArrow(_spans(finished), StructType([marked.schema["row"], *schema.fields]))
+    return marked.mapInArrow(frugal(_spans(finished)), StructType([marked.schema["row"], *schema.fields]))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
