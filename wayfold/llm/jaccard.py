@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from wayfold.llm.bpe import BoundedCache
-from wayfold.llm.common import discard, planes, small_batches, stash, texts_of, unplanes
+from wayfold.llm.common import discard, frugal, planes, small_batches, stash, texts_of, unplanes
 from wayfold.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -488,11 +488,11 @@ def _links(sets: DataFrame, percent: int) -> tuple[DataFrame | None, list[int]]:
         tried = stash(_tried(lists, pivots, percent, number), "tried", total)
         counts.append(tried.count())
         side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("lists").alias(f"s{k}"))
-        found = stash(small_batches(tried).join(side("b"), "b").join(side("a"), "a").mapInArrow(_probe(percent), "a long, b long"), "found", counts[-1], 2000)
+        found = stash(small_batches(tried).join(side("b"), "b").join(side("a"), "a").mapInArrow(frugal(_probe(percent)), "a long, b long"), "found", counts[-1], 2000)
         again = lists.where("split")
         left = lists.where("not few and not split").join(pivots.select("h", "cls"), ["h", "cls"], "left_anti").select(*_MET, "whole")  # pivots have met all others
         if number:
-            parts = again.join(sets.select("cls", "lists"), "cls").mapInArrow(_split(percent), "h long, cls long, n int, r int, w int, at int, next int, comp long, depth int")
+            parts = again.join(sets.select("cls", "lists"), "cls").mapInArrow(frugal(_split(percent)), "h long, cls long, n int, r int, w int, at int, next int, comp long, depth int")
             enough = again.where(100 * F.col("w") >= percent * F.col("n"))  # may link without a further list
             left = left.unionByName(parts.withColumn("whole", F.lit(False))).unionByName(enough.select(*_MET, F.lit(True).alias("whole")))
         if found.limit(1).count():
@@ -544,7 +544,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
     id_type = to_arrow_type(chosen.schema[0].dataType)
     schema = f"bucket int, kind tinyint, block long, id {kind}, cls long, n int, data binary"
-    posted = small_batches(chosen).mapInArrow(_blocks(buckets, id_type), schema).repartition(buckets, "bucket")
+    posted = small_batches(chosen).mapInArrow(frugal(_blocks(buckets, id_type)), schema).repartition(buckets, "bucket")
     # a task takes several buckets, one after another, so that no flood of small files is written
     tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, buckets // BUCKETS_A_TASK)
     merged = stash(posted.groupBy("bucket").applyInArrow(_merge(buckets, id_type), schema).coalesce(tasks), "merged")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wayfold.llm.common import crc_bucket, slices, small_batches, texts_of
+from wayfold.llm.common import crc_bucket, frugal, slices, small_batches, texts_of
 
 #: Sample of labelled rows that a dictionary is made of: rows a language, bytes of each, bytes in all.
 SAMPLE_ROWS, SLICE, DICTIONARY = 192, 1024, 65_536
@@ -61,7 +61,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             raw = [spread(letters(t)) for t in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(raw, pa.binary())], ["lang", "rank", "raw"])
 
-    rows = small_batches(chosen).mapInArrow(drawn, "lang string, rank int, raw binary").collect()
+    rows = small_batches(chosen).mapInArrow(frugal(drawn), "lang string, rank int, raw binary").collect()
     sample: dict[str, bytes] = {k: b"" for k in sizes}
     for r in sorted(rows, key=lambda r: r.rank):
         sample[r.lang] += r.raw
@@ -127,7 +127,7 @@ def predict(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: st
             )
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("lang_score", "double").add("lang_accepted", "boolean")
-    return small_batches(docs).mapInArrow(predicted, schema)
+    return small_batches(docs).mapInArrow(frugal(predicted), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm import bpe
-from wayfold.llm.common import slices, small_batches, stash, texts_of
+from wayfold.llm.common import frugal, slices, small_batches, stash, texts_of
 
 CACHED = 400_000
 CAPACITY = 2048
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     kind = chosen.schema[0].dataType.simpleString()
     # ranks count within a task, so they hold only for the rows as this table keeps them
     pieces = stash(
-        small_batches(chosen).mapInArrow(_cut(capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long"),
+        small_batches(chosen).mapInArrow(frugal(_cut(capacity)), f"id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long"),
         "pieces",
     )
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
