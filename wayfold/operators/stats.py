@@ -126,14 +126,17 @@ def gated(figures: DataFrame, checks: Sequence[tuple[str, str, Column]]) -> Data
     return figures.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def arc_pairs(df: DataFrame, key: str, order: Sequence[str], xyz: Sequence[str], delta: float) -> DataFrame:
-    """(key, from_, to_, length): pairs of rows between which the path is ``delta`` long at least, one after another: each begins where the one before ended."""
-    return folded(df, lambda: _Arc(tuple(xyz), delta), key, order)
+def arc_pairs(df: DataFrame, key: str, order: Sequence[str], xyz: Sequence[str], delta: float, carried: Sequence[str] = ()) -> DataFrame:
+    """(key, from_, to_, length): pairs of rows between which the path is ``delta`` long at least, one after another: each begins where the one before ended.
+
+    Numbers of the rows named in ``carried`` come along.
+    """
+    return folded(df, lambda: _Arc((*xyz, *carried), len(xyz), delta), key, order)
 
 
 class _Arc:
-    def __init__(self, names: tuple[str, ...], delta: float):
-        self.names, self.delta = names, delta
+    def __init__(self, names: tuple[str, ...], size: int, delta: float):
+        self.names, self.size, self.delta = names, size, delta
         self.columns = ", ".join(f"{p}{n} double" for p in ("from_", "to_") for n in names) + ", length double"
         self.start, self.before, self.length = None, None, 0.0
 
@@ -142,7 +145,7 @@ class _Arc:
         if self.start is None:
             self.start = self.before = here
             return None
-        self.length += math.dist(self.before, here)
+        self.length += math.dist(self.before[: self.size], here[: self.size])
         self.before = here
         if self.length < self.delta:
             return None
