@@ -130,10 +130,21 @@ def _picked(edges: np.ndarray):
     return picked
 
 
+def _met(file: DataFrame, asked: DataFrame, blocks: int) -> DataFrame:
+    """Every block of the file beside every block of queries. Queries are dealt to the file's blocks by a shuffle: a copy for each of them is too large to broadcast."""
+    everywhere = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return file.hint("merge").join(everywhere, "block")
+
+
+def _met_again(served: DataFrame, file: DataFrame, asked: DataFrame) -> DataFrame:
+    """The blocks that ``served`` (block, group, limits) names, beside their queries; these go to the larger blocks of the file."""
+    return served.join(asked.hint("merge"), "group").join(file.hint("merge"), "block").select("ids", "packed", "qids", "q", "limits")
+
+
 def _scored(pairs: DataFrame, exact: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, id, score) of pairs (query, id): the exact vectors of those ids are read."""
     asked = queries.select(F.col("id").alias("query"), F.col("v").alias("q"))
-    met = pairs.select("query", "id").join(exact, "id").join(asked, "query")
+    met = pairs.select("query", "id").join(exact.hint("merge"), "id").join(asked.hint("merge"), "query")
     score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, x: acc + x)
     return met.select("query", "id", score.alias("score"))
 
@@ -164,15 +175,13 @@ def _top_k(vectors: DataFrame, queries: DataFrame, dims: int, n: int, k: int) ->
     asked = stash(packed(queries, QUERIES, m).select(F.col("block").alias("group"), F.col("ids").alias("qids"), F.col("packed").alias("q")), "queries")
     blocks = max(1, math.ceil(n / BLOCK))
     # a stated set of queries against all rows, block by block
-    met = file.join(asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block")
-    bests = stash(met.mapInArrow(_bests(edges, k), "query long, group int, block int, slack double, best array<double>"), "bests")
+    bests = stash(_met(file, asked, blocks).mapInArrow(_bests(edges, k), "query long, group int, block int, slack double, best array<double>"), "bests")
     kth = F.sort_array(F.flatten(F.collect_list("best")), asc=False)
     floors = bests.groupBy("query").agg(kth.alias("best")).select("query", F.coalesce(F.get("best", F.lit(k - 1)), F.lit(float("-inf"))).alias("kth"))
     limit = F.col("kth") - 2 * F.col("slack")
-    near = bests.join(floors, "query").where((F.size("best") > 0) & (F.get("best", F.lit(0)) >= limit))
+    near = bests.hint("merge").join(floors, "query").where((F.size("best") > 0) & (F.get("best", F.lit(0)) >= limit))
     served = near.groupBy("block", "group").agg(F.map_from_entries(F.collect_list(F.struct("query", limit))).alias("limits"))
-    again = served.join(file, "block").join(asked, "group")
-    picked = stash(again.select("ids", "packed", "qids", "q", "limits").mapInArrow(_picked(edges), "query long, id long, bound double"), "picked")
+    picked = stash(_met_again(served, file, asked).mapInArrow(_picked(edges), "query long, id long, bound double"), "picked")
     by_bound = Window.partitionBy("query").orderBy(F.desc("bound"), "id")
     ranked = picked.withColumn("place", F.row_number().over(by_bound))
     first = stash(_scored(ranked.where(F.col("place") <= k), exact, queries), "first")
