@@ -51,11 +51,15 @@ class Match:
     weak: np.ndarray | None
 
 
+#: Pairs of queries and references up to which all distances are taken: a scan's are fewer than what a grid costs to walk.
+DENSE = 1 << 18
+
+
 class Neighbours:
-    """Two nearest references within a gate, from a grid of cells as wide as the gate; ties go to the lower index."""
+    """Two nearest references within a gate, of all of them or, of many, from a grid of cells as wide as the gate; ties go to the lower index."""
 
     def __init__(self, points: np.ndarray, gate: float):
-        self.points, self.gate = points, gate
+        self.points, self.gate, self.held = points, gate, None
         cells = np.floor(points / gate).astype(np.int64)
         self.low, self.span = cells.min(0) - 1, cells.max(0) - cells.min(0) + 3
         key = self._key(cells)
@@ -69,6 +73,8 @@ class Neighbours:
 
     def two(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(indices, squared distances), two columns each; -1 and infinity where there is none."""
+        if 0 < len(queries) * len(self.points) <= DENSE:
+            return self._dense(queries)
         cells = np.floor(queries / self.gate).astype(np.int64)
         who, refs = [], []
         for step in [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
@@ -89,6 +95,24 @@ class Neighbours:
         index[who[top], rank[top]], dist[who[top], rank[top]] = refs[top], d2[top]
         return index, dist
 
+    def _dense(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shape = len(queries), len(self.points)
+        if self.held is None or self.held[0].shape != shape:
+            self.held = np.empty(shape), np.empty(shape)  # kept, as a scan asks several times
+        d2, dy2 = self.held
+        for k, out in enumerate(self.held):
+            np.subtract(queries[:, k, None], self.points[:, k], out=out)
+            np.multiply(out, out, out=out)
+        d2 += dy2
+        index, dist, rows = np.empty((len(queries), 2), int), np.empty((len(queries), 2)), np.arange(len(queries))
+        for k in (0, 1):
+            best = d2.argmin(1)
+            far = d2[rows, best]
+            near = far <= self.gate**2
+            index[:, k], dist[:, k] = np.where(near, best, -1), np.where(near, far, np.inf)
+            d2[rows, best] = np.inf
+        return index, dist
+
 
 def weak_axis(h00: float, h01: float, h11: float, ratio: float) -> np.ndarray | None:
     """Unit vector of the direction that the sums hardly constrain, if there is one."""

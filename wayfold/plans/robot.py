@@ -413,7 +413,9 @@ def _walk(spark, d):
 def scan_odometry(spark, d):
     """Scans in a room with a pillar; the SQL is the truth: no estimate is 5 cm or 0.02 rad off, and none coasts."""
     walk = _walk(spark, d)
-    found = folds.folded(_seen_from(walk, 240).select("run_id", "seq", "stamp_ns", "ranges", "angle_min", "angle_increment", "range_min", "range_max"), registration.ScanOdometry, "run_id", ["stamp_ns", "seq"])
+    # poses are small and beams cost: dealt by number, or the poses of all runs would be left to a few tasks
+    dealt = walk.repartition(4 * spark.sparkContext.defaultParallelism, "run_id", "seq")
+    found = folds.folded(_seen_from(dealt, 240).select("run_id", "seq", "stamp_ns", "ranges", "angle_min", "angle_increment", "range_min", "range_max"), registration.ScanOdometry, "run_id", ["stamp_ns", "seq"])
     met = found.withColumnsRenamed({"x": "ex", "y": "ey", "theta": "et"}).join(walk.drop("i"), ["run_id", "stamp_ns"])
     near = (F.hypot(F.col("ex") - F.col("x"), F.col("ey") - F.col("y")) < 0.05) & (F.abs(geo.wrap_angle(F.col("et") - F.col("theta"))) < 0.02)
     return met.select("run_id", "seq", near.alias("near"), F.when(F.col("outcome").isin("keyframe", "matched"), "known").otherwise(F.col("outcome")).alias("outcome"))
