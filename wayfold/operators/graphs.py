@@ -5,7 +5,7 @@ A graph's variables are numbered along its run, so that neighbours have near num
 task, which eliminates the variables that no other element touches and leaves one element over the others. Blocks grow by
 level until a graph is one block, so chains of any length go in a few levels. Where what is left of a block would be too large for a task, the
 remaining equations are solved by preconditioned conjugate gradients, whose products are joins of the matrix' entries with the vector.
-Steps then go back down the levels. Damping, acceptance and convergence are kept by graph; graphs of all runs take their rounds together.
+Steps then go back down the levels. Tables with a row a variable or factor meet by shuffles, as broadcasts of every round would go through the driver. Damping, acceptance and convergence are kept by graph; graphs of all runs take their rounds together.
 
 Tables: variables (graph, v, value array<double>), factors (graph, kind, vars array<long>, data array<double>); see ``FACTORS``.
 """
@@ -192,9 +192,9 @@ def _linear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linearised(factors: DataFrame, variables: DataFrame, state: DataFrame) -> DataFrame:
     """Elements of ``factors`` at the values of ``variables``, with their errors; of graphs that ``state`` (graph, lam) names."""
     sides = factors.withColumn("f", F.monotonically_increasing_id()) if "f" not in factors.columns else factors
-    met = sides.select("graph", "f", F.posexplode("vars").alias("at", "v")).join(variables.select("graph", "v", "value"), ["graph", "v"])
+    met = sides.select("graph", "f", F.posexplode("vars").alias("at", "v")).join(variables.select("graph", "v", "value").hint("merge"), ["graph", "v"])
     values = met.groupBy("graph", "f").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("all"))
-    whole = sides.join(values, ["graph", "f"]).where(F.size("all") == F.size("vars")).join(state.select("graph", "lam"), "graph")
+    whole = sides.join(values.hint("merge"), ["graph", "f"]).where(F.size("all") == F.size("vars")).join(state.select("graph", "lam"), "graph")
     rows = whole.select("graph", "kind", "vars", "data", F.flatten(F.transform("all", lambda a: a["value"])).alias("values"), "lam")
     return rows.mapInArrow(_linear, ELEMENT + ", error double")
 
@@ -302,8 +302,8 @@ def conjugate(elements: DataFrame, rounds: int = 2000, accuracy: float = 1e-7) -
         if going.isEmpty():
             break
         along = going.select("graph", F.col("v").alias("w"), F.col("c").alias("k"), "p")
-        product = matrix.join(along, ["graph", "w", "k"]).groupBy("graph", "v", "c").agg(F.sum(F.col("value") * F.col("p")).alias("q"))
-        met = rows.join(product, ["graph", "v", "c"], "left")
+        product = matrix.join(along.hint("merge"), ["graph", "w", "k"]).groupBy("graph", "v", "c").agg(F.sum(F.col("value") * F.col("p")).alias("q"))
+        met = rows.join(product.hint("merge"), ["graph", "v", "c"], "left")
         sums = met.groupBy("graph").agg(F.sum(F.col("p") * F.col("q")).alias("pq"))
         met = met.join(sums, "graph").withColumn("alpha", F.when(F.col("pq") > 0, F.col("rz") / F.col("pq")).otherwise(0.0))
         met = met.withColumns({"x": F.col("x") + F.col("alpha") * F.col("p"), "r": F.col("r") - F.col("alpha") * F.coalesce("q", F.lit(0.0))})
@@ -331,7 +331,7 @@ def steps(elements: DataFrame, block: int = BLOCK, limit: int = LIMIT) -> DataFr
         if solved is None:
             known = level.select("graph", "block", F.lit(None).cast("long").alias("v"), F.lit(None).cast("array<double>").alias("step")).limit(0)
         else:
-            known = level.select("graph", "block", F.explode("bvars").alias("v")).join(solved, ["graph", "v"])
+            known = level.select("graph", "block", F.explode("bvars").alias("v")).join(solved.hint("merge"), ["graph", "v"])
         new = level.groupBy("graph", "block").cogroup(_own(known).groupBy("graph", "block")).applyInArrow(_back, _SOLVED)
         solved = new if solved is None else _own(solved).unionByName(new)
     return solved
@@ -360,7 +360,7 @@ def _moved(variables: DataFrame, step: DataFrame) -> DataFrame:
                 out.append(x.tolist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("graph", "v", "kind")), pa.array(out, pa.list_(pa.float64()))], ["graph", "v", "kind", "value"])
 
-    met = variables.join(step, ["graph", "v"], "left")
+    met = variables.join(step.hint("merge"), ["graph", "v"], "left")
     return met.select("graph", "v", "kind", "value", "step").mapInArrow(moved, "graph string, v long, kind string, value array<double>")
 
 
