@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geometry import wrap_angle
-from wayfold.operators import fields, graphs
+from wayfold.operators import fields, graphs, registration
 from wayfold.operators.folds import folded
 from wayfold.operators.spatial import in_bands
 
@@ -203,6 +203,24 @@ def solved(anchors: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return found.select(F.col("graph").cast(kinds[0]).alias(key), F.col("v").cast(kinds[1]).alias("node"), *[F.col("value")[k].alias(c) for k, c in enumerate(("x", "y", "theta"))])
 
 
+#: Nodes up to which a graph is solved in one task, by dense equations.
+SMALL = 300
+
+
+def solved_by_size(anchors: DataFrame, edges: DataFrame, key: str, most: int = SMALL) -> DataFrame:
+    """What :func:`solved` gives: graphs of at most ``most`` nodes each in a task, larger ones together as sparse equations.
+
+    Dense equations take a graph's nodes squared in memory and cubed in time.
+    """
+    large = anchors.groupBy(key).count().where(F.col("count") > most).select(key)
+    part = lambda how: (anchors.join(large, key, how), edges.join(large, key, how))
+    small = registration.optimised(*part("left_anti"), key)
+    if large.isEmpty():
+        return small
+    found = solved(*part("left_semi"), key)
+    return small.unionByName(found.withColumn("node", F.col("node").cast("int")))
+
+
 def closure_edges(closures: DataFrame, events: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
     """(key, from, to, dx, dy, dtheta): what each of ``closures`` says about the anchor of its submap and that of the submap its pose was in.
 

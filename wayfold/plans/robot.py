@@ -437,7 +437,7 @@ def pose_graph(spark, d):
     dx, dy, c, s = F.col("bx") - F.col("tx"), F.col("by") - F.col("ty"), F.cos("tt"), F.sin("tt")
     edges = hops.unionByName(loops).select("run_id", F.col("node").alias("from"), "to", (c * dx + s * dy).alias("dx"), (c * dy - s * dx).alias("dy"), geo.wrap_angle(F.col("bt") - F.col("tt")).alias("dtheta"), "sigma_turn", "sigma_move")
     r4z = lambda e, name: (F.round(e, 4) + F.lit(0.0)).alias(name)
-    found = registration.optimised(drift, edges, "run_id")
+    found = submaps.solved_by_size(drift, edges, "run_id")
     return found.select("run_id", "node", r4z(F.col("x"), "x"), r4z(F.col("y"), "y"), r4z(F.sin("theta"), "sine"), r4z(F.cos("theta"), "cosine"))
 
 
@@ -475,6 +475,6 @@ def loop_closing(spark, d):
     anchors = told.select("run_id", "submap", "seq", "x", "y", "theta")
     events = told.select("run_id", "seq", "submap", F.lit(None).cast("int").alias("also"), (F.col("x") + 0.3).alias("x"), "y", "theta")
     closures = told.where("submap = n - 1 and n > 2").select("run_id", "seq", F.lit(0).alias("target"), (F.col("x") + 0.8).alias("cx"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("ctheta"))
-    new, poses = submaps.closed(closures, events, anchors, "run_id", registration.optimised)
+    new, poses = submaps.closed(closures, events, anchors, "run_id", submaps.solved_by_size)
     r4z = lambda e, name: (F.round(e, 4) + F.lit(0.0)).alias(name)
     return poses.join(new.select("run_id", "submap", F.col("x").alias("ax")), ["run_id", "submap"]).select("run_id", "seq", "submap", r4z(F.col("ax"), "anchor_x"), r4z(F.col("x"), "x"))
