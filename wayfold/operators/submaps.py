@@ -204,7 +204,7 @@ def solved(anchors: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 
 #: Nodes up to which a graph is solved in one task, by dense equations.
-SMALL = 1000
+SMALL = 300
 
 
 def solved_by_size(anchors: DataFrame, edges: DataFrame, key: str, most: int = SMALL) -> DataFrame:
