@@ -20,7 +20,7 @@ from wayfold.llm.common import crc_bucket, read, stash
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below the threshold of their language; it learns from labelled rows that are not held out."""
     labels = read(spark, sf_dir, "labels").where(crc_bucket("doc_id") != 0)
-    return toxicity.score(docs, toxicity.fit(docs, labels)).where("toxicity < 0.5").select(docs.columns)
+    return toxicity.score(docs, toxicity.fit_all(docs.where(crc_bucket("doc_id") != 0), labels)).where("toxicity < 0.5").select(docs.columns)
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
