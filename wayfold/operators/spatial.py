@@ -85,19 +85,27 @@ def ray_box(ox: Column, oy: Column, dx: Column, dy: Column, x0: float, x1: float
     return F.least(far(ox, dx, x0, x1), far(oy, dy, y0, y1))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` that are computed once, however often later ones use them: projections on a generator aren't merged with those below it.
+
+    Merged, steps whose results are used many times multiply: a rotation of a rotation parses its row's text a thousand times.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def lifted(points: DataFrame, extrinsic: Column, tilt: Column, clearance: float | None = None, sensor_z: Column | None = None) -> DataFrame:
     """Sensor points (x, y, z) in the levelled base frame, as px, py, pz: the extrinsic pose, then the tilt rotation (null: not known yet).
 
     With a ``clearance``, points below it go, as hits of the floor, where the tilt is known and the sensor is more than
     twice as high; without one all stay.
     """
-    base = transform_point(extrinsic, vector(F.col("x"), F.col("y"), F.col("z")))
-    moved = points.withColumns({"__tilt": tilt, "__base": base})
+    at = once(points, __at=vector(F.col("x"), F.col("y"), F.col("z")), __tilt=tilt)
+    moved = once(at, __base=transform_point(extrinsic, F.col("__at")))
     level = F.when(F.col("__tilt").isNotNull(), rotate(F.col("__tilt"), F.col("__base"))).otherwise(F.col("__base"))
-    out = moved.withColumn("__p", level).withColumns({f"p{a}": F.col(f"__p.{a}") for a in "xyz"})
+    out = once(moved, __p=level).withColumns({f"p{a}": F.col(f"__p.{a}") for a in "xyz"})
     if clearance is not None:
         out = out.where(~(F.col("__tilt").isNotNull() & (sensor_z > 2 * clearance) & (F.col("pz") < clearance)))
-    return out.drop("__tilt", "__base", "__p")
+    return out.drop("__at", "__tilt", "__base", "__p")
 
 
 def in_bands(points: DataFrame, z: str, planes: Sequence[float], tolerance: float) -> DataFrame:
