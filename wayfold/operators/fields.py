@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from wayfold.functions.geometry import wrap_angle
-from wayfold.operators.folds import folded
+from wayfold.operators.folds import OUT
 from wayfold.operators.lineage import cut
 from wayfold.operators.spatial import within_radius
-from wayfold.operators.voxel import AXES, capped_mean, gradients, index, ray_observations
+from wayfold.operators.voxel import AXES, capped_mean, gradients, index, ray_observations, stepped
 
 
 @dataclass(frozen=True)
@@ -38,17 +43,15 @@ def carve_events(rays: DataFrame, keep: Sequence[str], field: Field) -> DataFram
     more than that share of their distance and two truncations: grazing rays don't wear a surface off. Steps are a voxel;
     a voxel that repeats the one before is left out.
     """
-    d = {a: F.col(f"p{a}") - F.col(f"o{a}") for a in AXES}
-    far = rays.withColumn("dist", F.sqrt(sum(v * v for v in d.values()))).withColumn("free", F.greatest(F.col("dist") - field.truncation, F.lit(0.0)) - field.voxel)
+    dist = F.sqrt(sum((F.col(f"p{a}") - F.col(f"o{a}")) * (F.col(f"p{a}") - F.col(f"o{a}")) for a in AXES))
+    far = rays.withColumn("dist", dist).withColumn("free", F.greatest(F.col("dist") - field.truncation, F.lit(0.0)) - field.voxel)
     far = far.where((F.col("dist") >= 1e-9) & (F.col("free") >= field.voxel))
-    steps = F.sequence(F.lit(0), F.floor(F.col("free") / field.voxel).cast("int") + 1)
-    walked = far.withColumn("step", F.explode(steps)).withColumn("s", F.least(F.col("step") * field.voxel, F.col("free")))
-    if field.margin:
-        walked = walked.where(F.col("dist") - F.col("s") > F.greatest(field.margin * F.col("s"), F.lit(2 * field.truncation)))
-    walked = walked.withColumns({f"i{a}": index(F.col(f"o{a}") + F.col("s") * d[a] / F.col("dist"), field.voxel) for a in AXES})
-    before = F.lag(F.struct("ix", "iy", "iz")).over(Window.partitionBy(*keep).orderBy("step"))
-    fresh = walked.withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__b") != F.struct("ix", "iy", "iz")))
-    return fresh.select(*keep, "step", "ix", "iy", "iz")
+    way = lambda step: F.least(step * field.voxel, F.col("free"))
+    walked = far.withColumn("step", F.explode(F.sequence(F.lit(0), F.floor(F.col("free") / field.voxel).cast("int") + 1)))
+    if field.margin:  # this keeps a ray's first steps, so each still has the one before
+        s = way(F.col("step"))
+        walked = walked.where(F.col("dist") - s > F.greatest(field.margin * s, F.lit(2 * field.truncation)))
+    return stepped(walked, way, field.voxel).select(*keep, "step", "ix", "iy", "iz")
 
 
 class Voxel:
@@ -59,18 +62,20 @@ class Voxel:
         self.columns = ", ".join(["tsdf double, weight double", *(f"{c} double" for c in channels), "n_red int, observed long, carved long"])
         self.tsdf, self.weight, self.paint, self.n, self.observed, self.carved = 0.0, 0.0, [0.0] * len(channels), 0, 0, 0
 
-    def step(self, row) -> None:
-        if row["obs"] is None:
-            if self.weight > 0:
-                self.weight, self.carved = self.weight * self.carve, self.carved + 1
-                if self.weight < 1:
-                    self.tsdf = self.weight = 0.0
-                    self.paint, self.n = [0.0] * len(self.channels), 0
-            return
-        self.tsdf = (self.tsdf * self.weight + row["obs"]) / (self.weight + 1)
-        self.weight, self.observed = min(self.weight + 1, self.most), self.observed + 1
-        if row["colour"] is not None:
-            self.paint = [p + (c - p) / (self.n + 1) for p, c in zip(self.paint, row["colour"], strict=True)]
+    def passed(self, times: int) -> None:
+        """Rays pass the voxel, so many one after another; those that find it unobserved change nothing."""
+        while times and self.weight > 0:
+            self.weight, self.carved, times = self.weight * self.carve, self.carved + 1, times - 1
+            if self.weight < 1:
+                self.tsdf = self.weight = 0.0
+                self.paint, self.n = [0.0] * len(self.channels), 0
+
+    def seen(self, obs: float, colour: Sequence[float] | None) -> None:
+        weight = self.weight
+        self.tsdf = (self.tsdf * weight + obs) / (weight + 1)
+        self.weight, self.observed = min(weight + 1, self.most), self.observed + 1
+        if colour is not None:
+            self.paint = [p + (c - p) / (self.n + 1) for p, c in zip(self.paint, colour, strict=True)]
             self.n = min(self.n + 1, self.colours)
 
     def finish(self) -> dict:
@@ -102,25 +107,68 @@ def fused(rays: DataFrame, key: Sequence[str], order: Sequence[str], field: Fiel
     names, cell = [*key, *order], [*key, "ix", "iy", "iz"]
     channels = [colour] if isinstance(colour, str) else list(colour or ())
     shown = ["red"] if len(channels) < 2 else channels
-    seen = ray_observations(rays, names, field.voxel, field.truncation)
+    if channels:
+        rays = rays.withColumns({"colour": F.array(*[F.col(c).cast("double") for c in channels]), **{f"h{a}": index(f"p{a}", field.voxel) for a in AXES}})
+    seen = ray_observations(rays, [*names, *(("colour", "hx", "hy", "hz") if channels else ())], field.voxel, field.truncation)
     if not channels:
         seen = seen.withColumn("colour", F.lit(None).cast("array<double>"))
     else:
-        hit = rays.select(*names, F.array(*[F.col(c).cast("double") for c in channels]).alias("colour"), *[index(f"p{a}", field.voxel).alias(f"h{a}") for a in AXES])
         known = F.forall("colour", lambda c: c.isNotNull())
-        # the voxel of the hit is met once by its ray
-        seen = seen.join(hit, names).withColumn("colour", F.when(known & (F.col("ix") == F.col("hx")) & (F.col("iy") == F.col("hy")) & (F.col("iz") == F.col("hz")), F.col("colour")))
-        met = Window.partitionBy(*names, "ix", "iy", "iz").orderBy("step")
-        seen = seen.withColumn("colour", F.when(F.row_number().over(met) == 1, F.col("colour")))
+        # a straight ray meets the voxel of its hit once
+        seen = seen.withColumn("colour", F.when(known & (F.col("ix") == F.col("hx")) & (F.col("iy") == F.col("hy")) & (F.col("iz") == F.col("hz")), F.col("colour")))
     seen = seen.select(*cell, *order, "step", "obs", "colour")
     if field.carve >= 1:
         return _uncarved(seen, cell, order, field, shown if channels else ())
     passed = carve_events(rays, names, field).join(seen.select(*cell).distinct(), cell, "left_semi")
-    events = seen.select(*cell, *order, F.lit(1).alias("kind"), "step", "obs", "colour")
-    events = events.unionByName(passed.select(*cell, *order, F.lit(0).alias("kind"), "step", F.lit(None).cast("double").alias("obs"), F.lit(None).cast("array<double>").alias("colour")))
-    keyed = events.select(F.struct(*cell).alias("cell"), *order, "kind", "step", "obs", "colour")
-    out = folded(keyed, lambda: Voxel(field.most, field.carve, shown), "cell", [*order, "kind", "step"])
-    return out.select("cell.*", *[c for c in out.columns if c != "cell"])
+    nothing = F.lit(None).cast("double").alias("obs"), F.lit(None).cast("array<double>").alias("colour")
+    events = seen.select(*cell, *order, "obs", "colour").unionByName(passed.select(*cell, *order, *nothing))
+    return _carved(events, cell, order, field, shown)
+
+
+def _carved(events: DataFrame, cell: Sequence[str], order: Sequence[str], field: Field, channels: Sequence[str]) -> DataFrame:
+    """What :class:`Voxel` gives for each cell of ``events`` (cell, order, obs, colour), in order; where ``obs`` is null a ray passes.
+
+    A ray passes a voxel and is observed in it once each, so nulls come first of its events. Passes that follow each other are one
+    step with their number.
+    """
+    make = lambda: Voxel(field.most, field.carve, channels)
+    schema = StructType([*events.select(*cell).schema.fields, *StructType.fromDDL(make().columns).fields])
+    arrow = to_arrow_schema(schema)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        at, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            obs = batch.column("obs").to_numpy(zero_copy_only=False)
+            passed = np.isnan(obs)
+            fresh = np.zeros(len(obs), bool)
+            for c in cell:
+                number = batch.column(c).dictionary_encode("encode").indices.to_numpy()
+                fresh[1:] |= number[1:] != number[:-1]
+            fresh[0] = state is None or at != tuple(batch.column(c)[0].as_py() for c in cell)
+            begin = np.flatnonzero(fresh | ~passed | np.append(True, ~passed[:-1]))
+            times = np.diff(np.append(begin, len(obs)))
+            colours = batch.column("colour").take(pa.array(begin)).to_pylist()
+            for k, new, free, times, value, colour in zip(begin.tolist(), fresh[begin].tolist(), passed[begin].tolist(), times.tolist(), obs[begin].tolist(), colours, strict=True):
+                if new:
+                    if state is not None:
+                        yield dict(zip(cell, at, strict=True)) | state.finish()
+                    at, state = tuple(batch.column(c)[k].as_py() for c in cell), make()
+                if free:
+                    state.passed(times)
+                else:
+                    state.seen(value, colour)
+        if state is not None:
+            yield dict(zip(cell, at, strict=True)) | state.finish()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = runs(batches)
+        while rows := list(islice(found, OUT)):
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    sorted_events = events.repartition(*cell).sortWithinPartitions(*cell, *order, "obs")
+    return sorted_events.select(*cell, "obs", "colour").mapInArrow(fold, schema)
 
 
 def plain(observations: DataFrame, key: Sequence[str], field: Field, order: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from wayfold.operators.spatial import within_radius
 
 AXES = ("x", "y", "z")
+#: Cap of a mean from which keys beyond it are few enough to be broadcast.
+FEW = 10_000
 
 
 def index(p: Column | str, voxel: float) -> Column:
@@ -30,6 +32,8 @@ def capped_mean(observations: DataFrame, key: Sequence[str], value: str, cap: in
     """
     sizes = observations.groupBy(*key).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
     beyond = sizes.where(F.col("n") > cap + 1).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("n").alias("__n"))
+    if cap >= FEW:  # at most one key for that many observations: those within their cap are then not shuffled again
+        beyond = F.broadcast(beyond)
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
     numbered = observations.join(beyond, same).withColumn("__i", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     share = F.pow(F.lit(cap / (cap + 1)), F.col("__n") - F.greatest("__i", F.lit(cap + 1))) / (cap + 1)
@@ -54,12 +58,22 @@ def ray_observations(rays: DataFrame, keep: Sequence[str], voxel: float, truncat
         {"start": F.greatest(F.col("dist") - truncation, F.lit(0.0)), "end": F.col("dist") + truncation}
     )
     steps = F.floor((F.col("end") - F.col("start")) / (voxel / 2)).cast("int") + 1
-    walked = band.withColumn("step", F.explode(F.sequence(F.lit(0), steps))).withColumn("s", F.least(F.col("start") + F.col("step") * (voxel / 2), F.col("end")))
-    walked = walked.withColumns({f"i{a}": index(F.col(f"o{a}") + F.col("s") * d[a] / F.col("dist"), voxel) for a in AXES})
-    before = F.lag(F.struct("ix", "iy", "iz")).over(Window.partitionBy(*keep).orderBy("step"))
-    obs = F.greatest(F.lit(-truncation), F.least(F.lit(truncation), F.col("dist") - F.col("s")))
-    fresh = walked.withColumns({"__b": before, "obs": obs}).where(F.col("__b").isNull() | (F.col("__b") != F.struct("ix", "iy", "iz")))
-    return fresh.select(*keep, "step", "ix", "iy", "iz", "obs")
+    way = lambda step: F.least(F.col("start") + step * (voxel / 2), F.col("end"))
+    fresh = stepped(band.withColumn("step", F.explode(F.sequence(F.lit(0), steps))), way, voxel)
+    obs = F.greatest(F.lit(-truncation), F.least(F.lit(truncation), F.col("dist") - way(F.col("step"))))
+    return fresh.select(*keep, "step", "ix", "iy", "iz", obs.alias("obs"))
+
+
+def stepped(walked: DataFrame, way: Callable[[Column], Column], voxel: float) -> DataFrame:
+    """``walked`` with the voxel ix, iy, iz that each ``step`` of a ray is in, where it isn't that of the step before.
+
+    ``way`` tells how far along the ray a step is. The step before is computed once more rather than looked up, so rays
+    are neither shuffled nor sorted. All of its steps before one must be among the rows or in other voxels.
+    """
+    at = lambda step: {a: index(F.col(f"o{a}") + way(step) * (F.col(f"p{a}") - F.col(f"o{a}")) / F.col("dist"), voxel) for a in AXES}
+    here, before = at(F.col("step")), at(F.col("step") - 1)
+    moved = [here[a] != before[a] for a in AXES]
+    return walked.withColumns({f"i{a}": c for a, c in here.items()}).where((F.col("step") == 0) | moved[0] | moved[1] | moved[2])
 
 
 def sampled(points: DataFrame, voxels: DataFrame, point_id: str, voxel: float) -> DataFrame:
