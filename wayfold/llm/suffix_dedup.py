@@ -34,9 +34,9 @@ LEFT = WINDOW - KEY
 #: Texts are scanned this many bytes at a time; so many anchors, and so many stretches, are sorted and sent on together.
 FLAT = 1 << 20
 _PIECE = 1 << 18
-ANCHORS, SENT = 400_000, 100_000
-#: Bytes of text whose anchors share a bucket.
-BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 64
+ANCHORS, SENT = 700_000, 100_000
+#: Bytes of text whose stretches share a bucket; keys, which are smaller but name their documents in each bucket, share one of so many.
+BUCKET_BYTES, LEAST_BUCKETS, KEYS_SHARE = 6 << 20, 64, 2
 #: Splitters are taken from a sample with so many stretches a bucket, one in THINNED of those of at least so many bytes of text.
 SAMPLED_ROWS, THINNED, SAMPLED_BYTES = 32, 64, 16 << 20
 #: Rows of bytes that are compared at once; a bucket that holds more is taken range by range.
@@ -89,8 +89,12 @@ class Stretches:
         return _mix((self.sums[end] - self.sums[start]) * _powers()[1][start])
 
     def keys(self) -> np.ndarray:
-        """Stand for the anchors' first KEY bytes; unlike keys that share one only have more to compare."""
-        return self.hashed(self.anchor, self.anchor + KEY)
+        """Stand for the anchors' first KEY bytes; unlike keys that share one only have more to compare.
+
+        An anchor is where this hash is smallest, so it is mixed again: else most keys would fall to the first buckets.
+        48 bits of it are enough to put nearly all lone keys aside, and the others compress to nothing.
+        """
+        return _mix(self.hashed(self.anchor, self.anchor + KEY)) & ~np.uint64(0xFFFF)
 
     def rows(self, at: np.ndarray) -> np.ndarray:
         """(stretches, ROW) bytes, equal only for equal stretches; as bytes they sort by suffix, then by what stands before."""
@@ -612,7 +616,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sized = known.where(f"octet_length(text) >= {WINDOW}").select("id", "tid", "text")
     size = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
-    sent = sized.mapInArrow(frugal(_anchors(buckets)), _SENT).repartition(buckets, "bucket")
+    of_keys = -(-buckets // KEYS_SHARE)
+    sent = sized.mapInArrow(frugal(_anchors(of_keys)), _SENT).repartition(of_keys, "bucket")
     opened = sent.groupBy("bucket").applyInArrow(_shared, _BACK)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     # one exchange of the texts serves both joins, as both take the same columns
