@@ -9,14 +9,14 @@ a vote for the offset and every wrong one against it, and a low error rate align
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import slices, stash
+from wayfold.llm.common import slices, small_batches, stash
 
 RATE, FRAME, HOP = 5512, 2048, 512
 CLASSES, LOWEST, HIGHEST = 12, 110.0, 1760.0
@@ -26,6 +26,8 @@ SPAN = 8
 LEAST_VOTES, MOST_ERRORS, LEAST_ITEMS = 3, 0.25, 8
 #: Items of the recordings and of the queries that meet at once.
 BLOCK = 1 << 15
+#: Blocks of queries that are broadcast at once: 8 MB of items.
+PASS = 32
 
 
 def filters() -> list[tuple[int, int, int, int, int, float]]:
@@ -219,13 +221,15 @@ def alignments(prints: DataFrame, queries: DataFrame) -> DataFrame:
     ``prints`` has (id, items, cls), ``queries`` some of its rows. Recordings with equal items are one class and
     meet once. Every query class is compared with every class at every offset, block by block, so nothing that is
     close enough is missed (see :func:`best_offsets`). Recordings without items align with nothing.
+
+    Queries are broadcast, at most PASS blocks of them at once; the recordings stay where they are. What the passes
+    find is written where there are several, so that one broadcast is gone before the next.
     """
     reps = stash(prints.where("cls is not null").groupBy("cls").agg(F.min_by("items", "id").alias("items")), "classes")
     asked = queries.where("cls is not null").select("cls", "items").dropDuplicates(["cls"])
     blocks, file = _packed(reps, "c")
     groups, wanted = _packed(asked, "q")
-    pairs = stash(wanted, "queries").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = stash(file, "recordings").join(pairs, "c_block").repartition(min(blocks * groups, 2000), "c_block", "q_block")
+    file, wanted = stash(file, "recordings").repartition(min(blocks, 2000), "c_block"), stash(wanted, "queries")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,9 +242,14 @@ def alignments(prints: DataFrame, queries: DataFrame) -> DataFrame:
                     columns = [np.full(other.sum(), name), cls[other], offset[other].astype(np.int32), n[other], rate[other]]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "c", "offset", "n", "rate"])
 
-    found = met.mapInArrow(compared, "q long, c long, offset int, n long, rate double")
+    def found(first: int) -> DataFrame:
+        some = wanted.where(F.col("q_block").between(first, first + PASS - 1))
+        met = small_batches(file.crossJoin(F.broadcast(some)))
+        return met.mapInArrow(compared, "q long, c long, offset int, n long, rate double")
+
+    parts = [found(0)] if groups <= PASS else [stash(found(first), "alignments") for first in range(0, groups, PASS)]
     same = asked.select(F.col("cls").alias("q"), F.col("cls").alias("c"), F.lit(0).alias("offset"), F.size("items").cast("long").alias("n"), F.lit(0.0).alias("rate"))
-    return found.unionByName(same)
+    return reduce(DataFrame.unionByName, parts, same)
 
 
 def aligned(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100) -> DataFrame:
@@ -259,10 +268,11 @@ def aligned(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     best = [F.min_by(k, "query").alias(k) for k in ("offset", "rate")]
     matches = stash(met.agg(F.count("*").alias("n_queries"), F.min("query").alias("first_query"), *best), "matches")
     raw = F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).cast("binary")
-    return prints.join(matches, "cls", "left").select(
+    rows = prints.select("id", F.size("items").cast("long").alias("n_items"), F.crc32(raw).alias("items_crc32"), "cls")
+    return rows.join(matches.hint("merge"), "cls", "left").select(  # nearly every recording has a match, so they aren't broadcast
         F.col("id").alias(id_col),
-        F.size("items").cast("long").alias("n_items"),
-        F.crc32(raw).alias("items_crc32"),
+        "n_items",
+        "items_crc32",
         "cls",
         F.coalesce("n_queries", F.lit(0)).alias("n_queries"),
         "first_query",
