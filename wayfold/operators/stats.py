@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators.folds import folded
+from wayfold.operators.lineage import cut
 
 
 def latency_stats(df: DataFrame, key: Sequence[str], ns: str) -> DataFrame:
@@ -120,6 +122,31 @@ def best_pick(df: DataFrame, key: Sequence[str], name: str, value: str, smallest
     return found.select(*key, f"b.{name}", f"b.{value}")
 
 
+def mean_in_order(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """(key, mean): values are added one after another in their order, so the last digit doesn't hang on how rows are dealt."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    running = F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumns({"mean": running, "__last": F.lead(F.lit(1)).over(w).isNull()}).where("__last").select(*key, "mean")
+
+
+def best_mean(df: DataFrame, key: Sequence[str], name: str, value: str, order: Sequence[str], digits: int) -> DataFrame:
+    """(key, name, mean) of the name with the smallest mean, see :func:`best_pick`; means are those of :func:`mean_in_order`.
+
+    Sums of doubles in any order lie within ``slack`` of each other. Only the rows of keys whose best name, or its mean
+    when rounded to ``digits``, that much can change are sorted; the result is the same as if all were.
+    """
+    slack = F.count(value) * F.avg(F.abs(value)) * 2.0**-51
+    found = df.groupBy(*key, name).agg(F.avg(value).alias("mean"), slack.alias("__slack")).where("mean is not null and not isnan(mean)")
+    found = found.withColumns({"__low": F.col("mean") - F.col("__slack"), "__high": F.col("mean") + F.col("__slack")})
+    near = found.withColumn("__reach", F.min("__high").over(Window.partitionBy(*key))).where("__low <= __reach or isnan(__low)")
+    unsure = (F.count("*") > 1) | F.max(F.round("__low", digits) != F.round("__high", digits))
+    picked = cut(near.groupBy(*key).agg(F.min_by(F.struct(name, "mean"), F.struct("mean", name)).alias("b"), unsure.alias("__open")))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
+    rows = df.alias("l").join(picked.where("__open").select(*key).alias("r"), reduce(Column.__and__, same), "left_semi")
+    sure = picked.where("not __open").select(*key, f"b.{name}", "b.mean")
+    return sure.unionByName(best_pick(mean_in_order(rows, [*key, name], value, order), key, name, "mean"))
+
+
 def gated(figures: DataFrame, checks: Sequence[tuple[str, str, Column]]) -> DataFrame:
     """(check, passed, shown) for each (name, figure shown, condition) on a table of one row; a null condition fails."""
     rows = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed"), F.col(s).cast("double").alias("shown")) for n, s, c in checks])

@@ -212,8 +212,8 @@ def selftest_gates(spark, d):
 
 @query("WITH m AS (SELECT l_suppkey AS sequence, l_returnflag AS config, avg(l_discount) AS mean FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY mean, config) AS n FROM m) SELECT sequence, config, round(mean, 6) AS mean FROM r WHERE n = 1")
 def best_config(spark, d):
-    m = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sequence"), F.col("l_returnflag").alias("config")).agg(F.avg("l_discount").alias("mean"))
-    return stats.best_pick(m, ["sequence"], "config", "mean").select("sequence", "config", r6("mean", "mean"))
+    l = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("sequence"), F.col("l_returnflag").alias("config"), "l_discount", "_metadata.file_path", "_metadata.row_index")
+    return stats.best_mean(l, ["sequence"], "config", "l_discount", ["file_path", "row_index"], 6).select("sequence", "config", r6("mean", "mean"))
 
 
 def _thin(step: str) -> str:
