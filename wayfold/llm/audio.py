@@ -28,6 +28,8 @@ LEAST_VOTES, MOST_ERRORS, LEAST_ITEMS = 3, 0.25, 8
 BLOCK = 1 << 15
 #: Blocks of queries that are broadcast at once: 8 MB of items.
 PASS = 32
+#: Recordings of similar length from which on products of matrices are faster than bits.
+FEW = 8
 
 
 def filters() -> list[tuple[int, int, int, int, int, float]]:
@@ -155,23 +157,78 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return chosen.mapInArrow(render, f"id {chosen.schema[0].dataType.simpleString()}, samples binary")
 
 
-def best_offsets(a: np.ndarray, many: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(which of ``many``, offset, items that meet, share of wrong bits) of those that align with ``a``, each at its best offset.
+def best_offsets(asked: list[np.ndarray], many: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(which of ``asked``, which of ``many``, offset, items that meet, share of wrong bits) of those that align, at the best offset.
 
-    Item k of the other meets ``a``'s item k + offset. All offsets are tried. The best one has the most right bits less
-    wrong ones; of equal ones the nearest to 0, then the larger. Items that are silent in both count as neither.
+    Item k of the other meets the asked one's item k + offset. All offsets are tried. The best one has the most right bits
+    less wrong ones; of equal ones the nearest to 0, then the larger. Items that are silent in both count as neither.
     """
-    size = np.array([len(b) for b in many])
-    out = []
-    order = np.argsort(size, kind="stable")
-    while len(order):  # recordings of similar length at once, as a table of one column each
+    out = [tuple(np.zeros(0, np.int64) for _ in range(5))]
+    for these in _alike(asked):
+        for those in _alike(many):
+            some = [many[i] for i in those]
+            if min(len(these), len(those)) >= FEW and max(len(asked[these[-1]]), len(some[-1])) <= BLOCK:
+                row, column, *rest = _products([asked[i] for i in these], some)
+                out.append((these[row], those[column], *rest))
+                continue
+            size = np.array([len(x) for x in some])
+            for i in these:
+                which, *rest = _best_offsets(asked[i], some, size, those)
+                out.append((np.full(len(which), i), which, *rest))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _alike(many: list[np.ndarray]) -> list[np.ndarray]:
+    """Places of recordings of similar length, shorter ones first, which fit one table."""
+    size = np.array([len(x) for x in many])
+    order, out = np.argsort(size, kind="stable"), []
+    while len(order):
         near = int(np.searchsorted(size[order], max(1, size[order[0]]) * 1.5, "right"))
-        at, order = order[:near], order[near:]
-        out.append(_best_offsets(a, [many[i] for i in at], size[at], at))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+        out.append(order[:near])
+        order = order[near:]
+    return out
+
+
+def _signs(many: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(recordings, 32 * longest): each bit as 1 or -1, 0 where a recording has ended; and (recordings, longest): 1 for silent items."""
+    items, there = np.zeros((len(many), longest), "<u4"), np.zeros((len(many), longest), bool)
+    for i, x in enumerate(many):
+        items[i, : len(x)], there[i, : len(x)] = x, True
+    bits = np.unpackbits(items.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    return bits * np.repeat(there, 32, axis=1), (there & (items == SILENCE)).astype(np.float32)
+
+
+def _products(asked: list[np.ndarray], many: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """:func:`best_offsets` of many with many: a product of signs is right bits less wrong ones, exact below 2 ** 24."""
+    size_a, size = (np.array([len(x) for x in y]) for y in (asked, many))
+    here, longest = int(size_a.max()), int(size.max())
+    (a, quiet_a), (c, quiet) = _signs(asked, here), _signs(many, longest)
+    c, quiet = np.ascontiguousarray(c.T), np.ascontiguousarray(quiet.T)
+    silent = quiet_a.any() and quiet.any()
+    even = size_a.min() == here and size.min() == longest
+    best = np.full((len(asked), len(many)), -np.inf, np.float32)
+    offset, n_best, told_best = np.zeros((3, *best.shape), np.int32)
+    for o in sorted(range(LEAST_ITEMS - longest, here - LEAST_ITEMS + 1), key=lambda o: (abs(o), -o)):
+        lo, hi = max(0, o), min(here, longest + o)
+        gain = a[:, 32 * lo : 32 * hi] @ c[32 * (lo - o) : 32 * (hi - o)]
+        n = hi - lo if even else np.minimum(size_a[:, None], size + o) - lo
+        told = n
+        if silent:
+            both = quiet_a[:, lo:hi] @ quiet[lo - o : hi - o]
+            gain -= 32 * both
+            told = n - both.astype(np.int32)
+        found = np.nonzero((gain > best) & (gain >= 32 * (1 - 2 * MOST_ERRORS) * told - 1))
+        n, told = (np.broadcast_to(x, best.shape)[found].astype(np.int64) for x in (n, told))
+        right = (n >= LEAST_ITEMS) & (told >= LEAST_VOTES) & (16 * told - gain[found] / 2 <= MOST_ERRORS * 32 * told)
+        found = tuple(x[right] for x in found)
+        best[found], offset[found], n_best[found], told_best[found] = gain[found], o, n[right], told[right]
+    row, column = np.nonzero(n_best)
+    told = told_best[row, column].astype(np.int64)
+    return row, column, offset[row, column].astype(np.int64), n_best[row, column].astype(np.int64), (16 * told - best[row, column].astype(np.int64) // 2) / (32 * told)
 
 
 def _best_offsets(a: np.ndarray, many: list[np.ndarray], size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """:func:`best_offsets` of one with many, without the first column; bit by bit, which also takes long recordings."""
     longest = int(size.max())
     table = np.zeros((longest, len(many)), np.uint32)
     for i, b in enumerate(many):
@@ -234,13 +291,12 @@ def alignments(prints: DataFrame, queries: DataFrame) -> DataFrame:
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c, c_sizes, c_items, q, q_sizes, q_items in zip(*(batch.column(k) for k in ("c", "c_sizes", "c_items", "q", "q_sizes", "q_items")), strict=True):
-                names, many = c.values.to_numpy(), _unpacked(c_sizes, c_items)
-                for name, items in zip(q.values.to_numpy(), _unpacked(q_sizes, q_items), strict=True):
-                    which, offset, n, rate = best_offsets(items, many)
-                    cls = names[which]
-                    other = cls != name
-                    columns = [np.full(other.sum(), name), cls[other], offset[other].astype(np.int32), n[other], rate[other]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "c", "offset", "n", "rate"])
+                names, others = q.values.to_numpy(), c.values.to_numpy()
+                which, other, offset, n, rate = best_offsets(_unpacked(q_sizes, q_items), _unpacked(c_sizes, c_items))
+                names, others = names[which], others[other]
+                new = names != others
+                columns = [names[new], others[new], offset[new].astype(np.int32), n[new], rate[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "c", "offset", "n", "rate"])
 
     def found(first: int) -> DataFrame:
         some = wanted.where(F.col("q_block").between(first, first + PASS - 1))
