@@ -8,7 +8,7 @@ a vote for the offset and every wrong one against it, and a low error rate align
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -260,12 +260,12 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.withColumn("cls", F.when(F.size("items") > 0, F.xxhash64("items")))
 
 
-def _packed(prints: DataFrame, k: str) -> tuple[int, DataFrame]:
-    """The number of blocks, and ``prints`` (cls, items) as one row for each: (block, classes, sizes, items of all), named after ``k``."""
+def _packed(prints: DataFrame, k: str, carried: Sequence[str] = ()) -> tuple[int, DataFrame]:
+    """The number of blocks, and ``prints`` (cls, items) as one row for each: (block, classes, sizes, items of all, columns carried along), named after ``k``."""
     total = prints.agg(F.sum(F.size("items"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
-    rows = prints.groupBy(F.pmod("cls", F.lit(blocks)).cast("int").alias(f"{k}_block")).agg(F.collect_list(F.struct("cls", "items")).alias("r"))
-    return blocks, rows.select(f"{k}_block", F.col("r.cls").alias(k), F.transform("r.items", F.size).alias(f"{k}_sizes"), F.flatten("r.items").alias(f"{k}_items"))
+    rows = prints.groupBy(F.pmod("cls", F.lit(blocks)).cast("int").alias(f"{k}_block")).agg(F.collect_list(F.struct("cls", "items", *carried)).alias("r"))
+    return blocks, rows.select(f"{k}_block", F.col("r.cls").alias(k), F.transform("r.items", F.size).alias(f"{k}_sizes"), F.flatten("r.items").alias(f"{k}_items"), *[f"r.{x}" for x in carried])
 
 
 def _unpacked(sizes: pa.ListScalar, items: pa.ListScalar) -> list[np.ndarray]:
@@ -273,7 +273,9 @@ def _unpacked(sizes: pa.ListScalar, items: pa.ListScalar) -> list[np.ndarray]:
 
 
 def alignments(prints: DataFrame, queries: DataFrame) -> DataFrame:
-    """(q, c, offset, n, rate): for the class of each query the classes that align with it, its own with offset 0.
+    """(q, c, offset, n, rate, query): for the class of each query the classes that align with it, its own with offset 0.
+
+    ``query`` is the smallest id among the queries of class ``q``.
 
     ``prints`` has (id, items, cls), ``queries`` some of its rows. Recordings with equal items are one class and
     meet once. Every query class is compared with every class at every offset, block by block, so nothing that is
@@ -283,28 +285,28 @@ def alignments(prints: DataFrame, queries: DataFrame) -> DataFrame:
     find is written where there are several, so that one broadcast is gone before the next.
     """
     reps = stash(prints.where("cls is not null").groupBy("cls").agg(F.min_by("items", "id").alias("items")), "classes")
-    asked = queries.where("cls is not null").select("cls", "items").dropDuplicates(["cls"])
+    asked = queries.where("cls is not null").groupBy("cls").agg(F.min_by("items", "id").alias("items"), F.min("id").alias("query"))
     blocks, file = _packed(reps, "c")
-    groups, wanted = _packed(asked, "q")
+    groups, wanted = _packed(asked, "q", ["query"])
     file, wanted = stash(file, "recordings").repartition(min(blocks, 2000), "c_block"), stash(wanted, "queries")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, c_sizes, c_items, q, q_sizes, q_items in zip(*(batch.column(k) for k in ("c", "c_sizes", "c_items", "q", "q_sizes", "q_items")), strict=True):
+            for c, c_sizes, c_items, q, q_sizes, q_items, query in zip(*(batch.column(k) for k in ("c", "c_sizes", "c_items", "q", "q_sizes", "q_items", "query")), strict=True):
                 names, others = q.values.to_numpy(), c.values.to_numpy()
                 which, other, offset, n, rate = best_offsets(_unpacked(q_sizes, q_items), _unpacked(c_sizes, c_items))
-                names, others = names[which], others[other]
-                new = names != others
-                columns = [names[new], others[new], offset[new].astype(np.int32), n[new], rate[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "c", "offset", "n", "rate"])
+                new = names[which] != others[other]
+                which, other = which[new], other[new]
+                columns = [names[which], others[other], offset[new].astype(np.int32), n[new], rate[new]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), query.values.take(pa.array(which))], ["q", "c", "offset", "n", "rate", "query"])
 
     def found(first: int) -> DataFrame:
         some = wanted.where(F.col("q_block").between(first, first + PASS - 1))
         met = small_batches(file.crossJoin(F.broadcast(some)))
-        return met.mapInArrow(compared, "q long, c long, offset int, n long, rate double")
+        return met.mapInArrow(compared, f"q long, c long, offset int, n long, rate double, query {asked.schema['query'].dataType.simpleString()}")
 
     parts = [found(0)] if groups <= PASS else [stash(found(first), "alignments") for first in range(0, groups, PASS)]
-    same = asked.select(F.col("cls").alias("q"), F.col("cls").alias("c"), F.lit(0).alias("offset"), F.size("items").cast("long").alias("n"), F.lit(0.0).alias("rate"))
+    same = asked.select(F.col("cls").alias("q"), F.col("cls").alias("c"), F.lit(0).alias("offset"), F.size("items").cast("long").alias("n"), F.lit(0.0).alias("rate"), "query")
     return reduce(DataFrame.unionByName, parts, same)
 
 
@@ -318,9 +320,7 @@ def aligned(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     gives no rows; other columns, whatever their names, are not read.
     """
     prints = stash(classes(fingerprints(rendered(vectors, id_col, vector_col), "id", "samples")), "prints")
-    asked = prints.where(F.col("id") % every == 0)
-    first = asked.where("cls is not null").groupBy(F.col("cls").alias("q")).agg(F.min("id").alias("query"))
-    met = alignments(prints, asked).join(first, "q").groupBy(F.col("c").alias("cls"))
+    met = alignments(prints, prints.where(F.col("id") % every == 0)).groupBy(F.col("c").alias("cls"))
     best = [F.min_by(k, "query").alias(k) for k in ("offset", "rate")]
     matches = stash(met.agg(F.count("*").alias("n_queries"), F.min("query").alias("first_query"), *best), "matches")
     raw = F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).cast("binary")
